@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from brevia.llm import secrets
+from brevia.llm import mixing, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_source_mix": mixing.op2_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
