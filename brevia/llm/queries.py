@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from brevia.llm import mixing, secrets, toxicity, urls
+from brevia.llm import mixing, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mix": mixing.op2_source_mix,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op8_url_filter": urls.op8_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -19,7 +19,7 @@ from brevia.llm.common import cut, table
 TRAIN_ROWS = 12_000
 LEXICON_ENTRIES = 5_000
 #: A lexicon entry occurs in so many toxic documents at least, and so much of its documents are toxic.
-LEAST_TOXIC, LEAST_SHARE = 5, 0.7
+LEAST_TOXIC, LEAST_SHARE = 4, 0.75
 
 #: Pronouns of the second person in the corpus's languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros".split())
