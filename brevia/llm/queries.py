@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brevia.llm import bpe, mixing, neighbours, quality, secrets, toxicity, urls
+from brevia.llm import bpe, jaccard, mixing, neighbours, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_shingle_join": jaccard.op9_shingle_join,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
