@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from brevia.llm import bpe, jaccard, mixing, neighbours, quality, secrets, toxicity, urls
+from brevia.llm import bpe, jaccard, mixing, neighbours, quality, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mix": mixing.op2_source_mix,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op6_repeated_strings": suffixes.op6_repeated_strings,
     "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
     "op8_url_filter": urls.op8_url_filter,
     "op9_shingle_join": jaccard.op9_shingle_join,
