@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from brevia.llm import bpe, jaccard, mixing, neighbours, quality, secrets, suffixes, toxicity, urls
+from brevia.llm import bpe, chunks, jaccard, mixing, neighbours, quality, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_chunk_dedup": chunks.op3_chunk_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_repeated_strings": suffixes.op6_repeated_strings,
