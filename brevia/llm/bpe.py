@@ -20,7 +20,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words of more bytes are merged with a heap, for which time is no square of the length.
 SHORT = 128
 #: Encoded words that a task remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _NEVER = 1 << 30
 
 
@@ -158,6 +158,20 @@ class BpeTokenizer:
         return of(ids)
 
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct (ids, text) of encoding and decoding in one step, so that a task has one Python worker."""
+        sent = self._sent
+
+        @F.pandas_udf("ids binary, text string")
+        def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            vocabulary = Vocabulary(sent.value)
+            for texts in batches:
+                ids = [None if t is None else vocabulary.encode(t) for t in texts]
+                yield pd.DataFrame({"ids": ids, "text": [None if x is None else vocabulary.decode(x) for x in ids]}, dtype=object)
+
+        return of(text)
+
+
 def ids_array(ids: Column) -> Column:
     """The ids as an array of long, without Python."""
     at = F.sequence(F.lit(1), F.greatest(F.octet_length(ids) - 3, F.lit(1)), F.lit(4))
@@ -172,8 +186,11 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", out: st
     A null text counts as empty. Rows, repeated ones too, are encoded alone; other columns may have any names but these.
     """
     tokenizer = BpeTokenizer(docs.sparkSession, path)
-    d = docs.withColumn(out, tokenizer.encode(F.coalesce(F.col(text_col), F.lit(""))))
-    return d if check is None else d.withColumn(check, tokenizer.decode(F.col(out)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if check is None:
+        return docs.withColumn(out, tokenizer.encode(text))
+    d = docs.select(F.struct("*").alias("__row"), tokenizer.round_trip(text).alias("__both"))
+    return d.select("__row.*", F.col("__both.ids").alias(out), F.col("__both.text").alias(check))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", ids: str = "__ids", decoded: str = "__decoded") -> DataFrame:

@@ -198,7 +198,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with a null id stay; so do all rows of an id that stays.
     """
     found = similar_documents(docs, id_col, text_col, **options).filter("id is not null and component_id < id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"))
+    return rows.join(found, F.col("__id") == F.col("__gone"), "left_anti").select("__row.*")
 
 
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,14 +108,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     taken = mix(docs, id_col, text_col, source_col, **options).groupBy("id", "tie", "source").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"), F.max("size").alias("__size"))
     taken = taken.filter("__taken > 0").select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"), "__taken", "__rows", "__size")
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__tie")) & F.col(source_col).eqNullSafe(F.col("__source"))
-    d = docs.join(taken, on).withColumn("__each", F.ceil(F.col("__taken") / F.col("__rows")).cast("long"))
+    d = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__i"), F.col(text_col).alias("__t"), F.col(source_col).alias("__s"))
+    on = F.col("__i").eqNullSafe(F.col("__id")) & (F.xxhash64("__t") == F.col("__tie")) & F.col("__s").eqNullSafe(F.col("__source"))
+    d = d.join(taken, on).withColumn("__each", F.ceil(F.col("__taken") / F.col("__rows")).cast("long"))
     times = F.ceil(F.col("__each") / F.col("__size")).cast("int")
     d = d.withColumn("__time", F.explode(F.sequence(F.lit(1), times)))
     words = F.least(F.col("__each") - (F.col("__time") - 1) * F.col("__size"), F.col("__size"))
-    text = F.col(text_col)
-    part = F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int")), "")
-    return d.withColumn(text_col, F.when(words < F.col("__size"), part).otherwise(text)).select(*docs.columns)
+    part = F.array_join(F.slice(F.split("__t", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words.cast("int")), "")
+    text = F.when(words < F.col("__size"), part).otherwise(F.col("__t"))
+    return d.select(*[text.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,9 +156,10 @@ def secret_scan(docs: DataFrame, text_col: str = "text", min_length: int = 20, a
     procedure at level ``fdr`` chooses those reported. Random spans within a fixed pattern's span are left out.
 
     Positions are code points, ends exclusive. A null or empty text has no secrets. Rows aren't changed
-    otherwise, repeated rows are judged alike, and other columns may have any names but ``out``.
+    otherwise, repeated rows are judged alike, and other columns may have any names.
     """
-    d = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    # the row travels as one column, so that no name of its columns can clash with those added on the way
+    d = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     empty = F.array().cast("array<string>")
     text = F.col("__text")
     # Most texts have neither a long enough run nor a sign, and cost this one pass.
@@ -185,8 +186,8 @@ def secret_scan(docs: DataFrame, text_col: str = "text", min_length: int = 20, a
     chosen = F.filter("__c", lambda x: (x["p_ordinary"] <= F.col("__cut")) & (x["p_random"] >= alpha))
     found = F.transform(chosen, lambda x: _span(x, "random", x["encoding"], x["p_random"], x["p_ordinary"]))
     every = F.array_sort(F.concat("__base", found))
-    d = d.withColumn(out, F.transform(every, lambda x: F.struct(*[x[f].alias(f) for f in ("kind", "start", "end", "encoding", "p_random", "p_ordinary")])))
-    return d.select(*docs.columns, out)
+    result = F.transform(every, lambda x: F.struct(*[x[f].alias(f) for f in ("kind", "start", "end", "encoding", "p_random", "p_ordinary")]))
+    return d.select("__row.*", result.alias(out))
 
 
 def joined(spans: Column) -> Column:
@@ -199,18 +200,18 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **op
 
     Texts without secrets, nulls among them, stay as they are; rows, columns and their order stay too.
     """
-    d = secret_scan(docs, text_col, out="__secrets", **options)
-    zero = F.lit(0).cast("bigint")
+    d = secret_scan(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__t")), "__t", out="__secrets", **options)
+    text, zero = F.col("__t"), F.lit(0).cast("bigint")
     init = F.struct(zero.alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(F.col(text_col), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        gap = F.substr(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
         fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.lit(mark))).alias("out"))
         return F.when(x["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
 
-    done = F.aggregate("__secrets", init, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text_col), (acc["at"] + 1).cast("int"))))
-    text = F.when(F.size("__secrets") > 0, done).otherwise(F.col(text_col))
-    return d.withColumn(text_col, text).select(*docs.columns)
+    done = F.aggregate("__secrets", init, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
+    d = d.withColumn("__t", F.when(F.size("__secrets") > 0, done).otherwise(text))
+    return d.select(*[F.col("__t").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

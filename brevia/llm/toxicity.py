@@ -121,19 +121,18 @@ class ToxicityModel:
     def score(self, docs: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
         """Add column ``out``, from 0 to 1: the calibrated share of such texts that are toxic.
 
-        A null text scores as an empty one. Rows and other columns stay; they may have any names but ``out`` and
-        names that begin with two underscores.
+        A null text scores as an empty one. Rows and other columns stay and may have any names.
         """
         if self.trees is None:
             return docs.withColumn(out, F.lit(self.prior))
-        d = docs.withColumn("__features", array_to_vector(self.features(F.col(text_col))))
+        d = docs.select(F.struct("*").alias("__row"), array_to_vector(self.features(F.col(text_col))).alias("__features"))
         trees = self.trees.copy()
         trees.setFeaturesCol("__features").setRawPredictionCol("__raw").setProbabilityCol("__p").setPredictionCol("__c")
         d = trees.transform(d).withColumn("__margin", vector_to_array("__p")[1])
         if self.calibration is None:
-            return d.withColumn(out, F.col("__margin")).select(*docs.columns, out)
+            return d.select("__row.*", F.col("__margin").alias(out))
         d = self.calibration.setFeaturesCol("__margin").setPredictionCol("__y").transform(d)
-        return d.withColumn(out, F.greatest(F.least("__y", F.lit(1.0)), F.lit(0.0))).select(*docs.columns, out)
+        return d.select("__row.*", F.greatest(F.least("__y", F.lit(1.0)), F.lit(0.0)).alias(out))
 
 
 def fold_of(id_col: Column) -> Column:
