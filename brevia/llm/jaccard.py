@@ -103,6 +103,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den
     return near.join(of("a"), "a").join(of("b"), "b").filter(linked("s_a", "s_b")).select("a", "b")
 
 
+def _crossing(rows: pd.DataFrame, starts: np.ndarray, num: int, den: int) -> pd.DataFrame:
+    """Pairs of nodes of different components that may link by their sketches, in buckets that begin at ``starts``."""
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(rows):
+        sketches = _sketches(rows["sketch"])
+        block, i, j, node, part, n = (rows[c].to_numpy() for c in ("block", "i", "j", "node", "part", "n"))
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            x = s + np.flatnonzero(block[s:e] == i[s])
+            y = x if i[s] == j[s] else s + np.flatnonzero(block[s:e] == j[s])
+            for row in x:
+                y_now = y[y > row] if i[s] == j[s] else y
+                y_now = y_now[part[y_now] != part[row]]
+                near = y_now[np.abs(sketches[row] - sketches[y_now]).sum(1) <= (n[row] + n[y_now]) * (den - num) // (den + num)]
+                out_a.append(np.maximum(node[row], node[near]))
+                out_b.append(np.minimum(node[row], node[near]))
+    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (id, n_shingles, component_id) of each document; two link if their shingle sets' Jaccard similarity is num/den or more.
 
@@ -167,23 +185,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rest = rest.join(nodes.select("node", "n", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
     rest = rest.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        i, j = b["i"].iloc[0], b["j"].iloc[0]
-        x, y = (b[b["block"] == z].sort_values("node") for z in (i, j))
-        kx, ky = _sketches(x["sketch"]), _sketches(y["sketch"])
-        nx, ny, px, py, vx, vy = (f[c].to_numpy() for c in ("n", "part", "node") for f in (x, y))
-        a, c = [], []
-        for row in range(len(x)):
-            ok = (px[row] != py) & (np.abs(kx[row] - ky).sum(1) <= (nx[row] + ny) * (den - num) // (den + num))
-            if i == j:
-                ok[: row + 1] = False
-            hit = vy[ok]
-            a.append(np.full(len(hit), vx[row]))
-            c.append(hit)
-        a, c = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *c])
-        return pd.DataFrame({"a": np.maximum(a, c), "b": np.minimum(a, c)})
-
-    more = rest.groupBy("sig", "i", "j").applyInPandas(meet, "a bigint, b bigint").distinct()
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last bucket of a batch may go on in the next; it has two blocks at most
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            keys = b[["sig", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(b) else np.zeros(1, int)
+            held = b.iloc[starts[-1] :]
+            yield _crossing(b.iloc[: starts[-1]], starts, num, den)
+        if held is not None:
+            yield _crossing(held, np.array([0, len(held)]), num, den)
+
+    rest = rest.select("sig", "i", "j", "block", "node", "part", "n", "sketch").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    more = rest.mapInPandas(meet, "a bigint, b bigint").distinct()
     links = links.union(cut(_verified(more, nodes, sets, num, den)))
     parts = connected_components(links)
     least_id = parts.join(nodes.select("node", "rid"), "node").groupBy("component").agg(F.min("rid").alias("component_id"))

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,10 +19,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Distinct shingles of ``words`` words, A-Z in lower case; fewer words make one shingle, none make none."""
-    found = _WORD.findall((text or "").translate(_LOWER))
+    # of bytes, lower() knows A-Z only, and split() just the six ASCII white spaces
+    found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, dtype=np.uint64)
-    h = pd.util.hash_array(np.array(found, dtype=object), categorize=len(found) > 64)
+    h = pd.util.hash_array(np.array(found, dtype=object), categorize=False)
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     with np.errstate(over="ignore"):
