@@ -19,6 +19,8 @@ PARTS, MAY_DIFFER = 3, 1
 CLASSES = 64
 #: Rows of a bucket that meet those of another block, or their own, in one task.
 BLOCK = 2_048
+#: Names of documents whose sets are needed are broadcast up to so many, some megabytes.
+BROADCAST_IDS = 200_000
 
 
 @lru_cache(maxsize=None)
@@ -64,19 +66,18 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Shingles in each of CLASSES classes, as 16-bit numbers; how far two sketches differ bounds how far sets do from below."""
+    """Shingles in each of CLASSES classes, 255 at most; how far two sketches differ bounds how far sets do from below."""
     counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-    return np.minimum(counts, 65_535).astype("<u2").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _sketches(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, CLASSES).astype(np.int32)
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int32)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that link, exactly: first by sizes and sketches, then by the sets."""
+def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that may link by their sizes and sketches."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
 
     @F.pandas_udf("boolean")
     def close(n_a: pd.Series, n_b: pd.Series, k_a: pd.Series, k_b: pd.Series) -> pd.Series:
@@ -85,12 +86,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den
         apart = np.abs(_sketches(k_a) - _sketches(k_b)).sum(1)
         return pd.Series(apart <= (n_a + n_b).to_numpy() * (den - num) // (den + num))
 
-    # what remains meets its sets; these are the costly rows
-    near = near.filter(close("n_a", "n_b", "k_a", "k_b")).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(close("n_a", "n_b", "k_a", "k_b")).select("a", "b")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are similar enough, exactly. Only texts of these nodes are looked at again."""
+    pairs = cut(pairs)
+    meant = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("rid").alias("id")), "node")
+    meant = cut(meant)
+    if meant.count() <= BROADCAST_IDS:  # else texts are shuffled by id
+        meant = F.broadcast(meant)
+
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b["text"]]
+            keep = [digest(s) == node for s, node in zip(sets, b["node"], strict=True)]
+            yield pd.DataFrame({"node": b["node"][keep], "s": [s.tobytes() for s, k in zip(sets, keep, strict=True) if k]})
+
+    sets = cut(docs.join(meant, "id").select("node", "text").mapInPandas(sets_of, "node bigint, s binary"))
     of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
 
     @F.pandas_udf("boolean")
-    def linked(s_a: pd.Series, s_b: pd.Series) -> pd.Series:
+    def alike(s_a: pd.Series, s_b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(s_a, s_b, strict=True):
             x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
@@ -100,7 +117,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den
             out.append(den * shared >= num * (len(x) + len(y) - shared))
         return pd.Series(out, dtype=bool)
 
-    return near.join(of("a"), "a").join(of("b"), "b").filter(linked("s_a", "s_b")).select("a", "b")
+    return cut(pairs.join(of("a"), "a").join(of("b"), "b").filter(alike("s_a", "s_b")).select("a", "b"))
 
 
 def _crossing(rows: pd.DataFrame, starts: np.ndarray, num: int, den: int) -> pd.DataFrame:
@@ -165,17 +182,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least, most = F.min("node").over(bucket), F.max("node").over(bucket)
     shared = cut(signed.withColumns({"center": least, "last": most}).filter("center < last").select("sig", "node", "center"))
 
-    meant = shared.select("node").distinct().join(nodes.select("node", F.col("rid").alias("id")), "node")
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t, words) for t in b["text"]]
-            keep = [digest(s) == node for s, node in zip(sets, b["node"], strict=True)]
-            yield pd.DataFrame({"node": b["node"][keep], "s": [s.tobytes() for s, k in zip(sets, keep, strict=True) if k]})
-
-    sets = cut(d.join(meant, "id").select("node", "text").mapInPandas(sets_of, "node bigint, s binary").dropDuplicates(["node"]))
     stars = shared.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    links = cut(_verified(stars, nodes, sets, num, den))
+    links = _linked(_near(stars, nodes, num, den), d, nodes, words, num, den)
     parts = connected_components(links)
 
     rest = shared.filter("node <> center").join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
@@ -198,7 +206,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     rest = rest.select("sig", "i", "j", "block", "node", "part", "n", "sketch").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     more = rest.mapInPandas(meet, "a bigint, b bigint").distinct()
-    links = links.union(cut(_verified(more, nodes, sets, num, den)))
+    links = links.union(_linked(more, d, nodes, words, num, den))
     parts = connected_components(links)
     least_id = parts.join(nodes.select("node", "rid"), "node").groupBy("component").agg(F.min("rid").alias("component_id"))
     ids = nodes.join(parts, "node", "left").join(least_id, "component", "left").select(F.col("node").alias("__node"), F.coalesce("component_id", "rid").alias("component_id"))
