@@ -103,7 +103,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"id": b["id"], "text": b["text"], **{c: [r[i] for r in rows] for i, c in enumerate(("n_chunks", "n_repeated", out))}})
 
     schema = f"id {id_type}, text string, n_chunks long, n_repeated long, {out} array<struct<start:long,`end`:long>>"
-    return d.join(later, "id", "left").select("id", "text", "repeated").mapInPandas(marked, schema)
+    done = d.filter("id is not null").join(later, "id", "left").select("id", "text", "repeated").mapInPandas(marked, schema)
+    # rows without an id don't meet on their null
+    return done.union(d.filter("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("repeated")).mapInPandas(marked, schema))
 
 
 def kept_bytes(data: bytes, spans) -> bytes:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,15 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of sampled beginnings: those least by hash in some window of ``length`` bytes.
+def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, least hash of each window) of sampled beginnings: those least in some window of ``length`` bytes.
 
     Each such window holds one at least, and equal windows hold the same, so two equal strings of ``length`` bytes are
     always met at a common anchor. On average one in 18 positions is an anchor at 50 bytes.
     """
     width = length - BEGIN + 1
     if len(b) < length:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 8)).view("<u8").ravel()
     with np.errstate(over="ignore"):
         h = mixed(mixed(eight[: -BEGIN + 8]) * np.uint64(0x9E3779B97F4A7C15) + eight[BEGIN - 8 :])
@@ -44,7 +45,19 @@ def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(width - 1, dtype=np.uint64)
     most = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero(most == h)
-    return at, h[at]
+    return at, h[at], least
+
+
+def reach(at: np.ndarray, h: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes before and from each anchor on that windows reach in which it is the least; these windows follow each other."""
+    before, nearest = np.zeros(len(at), np.int64), np.full(len(at), length, np.int64)
+    for back in range(length - BEGIN, -1, -1):
+        s = at - back
+        ok = (s >= 0) & (s < len(least))
+        ok[ok] = least[s[ok]] == h[ok]
+        before = np.where(ok & (before == 0), back, before)
+        nearest = np.where(ok, back, nearest)
+    return before, length - nearest
 
 
 def _rows_at(b: np.ndarray, at: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,36 +164,61 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
 _RUN = "bucket int, lengths binary, common binary, tails binary, counts binary, doc binary, pos binary, left_len binary, lefts binary, ids binary, tids binary"
 
 
-def _tid(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) & 0x7FFFFFFFFFFFFFFF
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers that aren't negative, in as few bytes each as the largest needs."""
+    kind = next(k for k in "1248" if not len(numbers) or int(numbers.max()) < 1 << 8 * int(k))
+    return kind.encode() + zlib.compress(numbers.astype(f"<u{kind}").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{chr(data[0])}").astype(np.int64)
+
+
+def _tid(data: bytes, rows: int) -> int:
+    """Tells the texts of an id on several rows apart."""
+    return xxhash.xxh3_64_intdigest(data) & 0x7FFFFFFFFFFFFFFF if rows > 1 else 0
+
+
+def _ids_packed(ids: np.ndarray) -> bytes:
+    """Sorted ids as the first and the steps from each to the next."""
+    return int(ids[0]).to_bytes(8, "little", signed=True) + packed(np.diff(ids).astype(np.uint64))
+
+
+def _ids_unpacked(data: bytes) -> np.ndarray:
+    return np.r_[0, np.cumsum(unpacked(data[8:]))] + int.from_bytes(data[:8], "little", signed=True)
 
 
 def sorted_runs(batch: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
     """A front-coded sorted run for each bucket of the batch's shared anchors; equal suffixes are one entry with several occurrences."""
     left = length - BEGIN
-    docs, places, befores, afters, lens, hashes = [], [], [], [], [], []
+    docs, places, befores, afters, lens, lefts, hashes = [], [], [], [], [], [], []
     ids, tids = batch["id"].to_numpy(np.int64), np.zeros(len(batch), np.int64)
-    for i, (text, keys) in enumerate(zip(batch["text"], batch["keys"], strict=True)):
+    for i, (text, keys, rows) in enumerate(zip(batch["text"], batch["keys"], batch["rows"], strict=True)):
         data = text.encode()
-        tids[i] = _tid(data)
+        tids[i] = _tid(data, rows)
         b = np.frombuffer(data, np.uint8)
-        at, h = anchors(b, length)
+        at, h, least = anchors(b, length)
         keep = np.isin(h, np.asarray(keys, dtype=np.int64).view(np.uint64))
         at, h = at[keep], h[keep]
+        n_before, n_after = reach(at, h, least, length)
         before, after = _rows_at(b, at, left, length)
+        before = np.where(np.arange(left) < n_before[:, None], before, 0).astype(np.uint8)
+        after = np.where(np.arange(length) < n_after[:, None], after, 0).astype(np.uint8)
         docs.append(np.full(len(at), i, np.int32))
         places.append(at)
         befores.append(before)
         afters.append(after)
-        lens.append(np.minimum(length, len(b) - at))
+        lens.append(n_after)
+        lefts.append(n_before)
         hashes.append(h)
     columns = _RUN.replace(" int", "").replace(" binary", "").split(", ")
     if not docs or not sum(map(len, docs)):
         return pd.DataFrame({c: [] for c in columns})
-    doc, pos, before, after, size, h = (np.concatenate(x) for x in (docs, places, befores, afters, lens, hashes))
+    doc, pos, before, after, size, n_left, h = (np.concatenate(x) for x in (docs, places, befores, afters, lens, lefts, hashes))
     bucket = (h >> np.uint64(20)) % np.uint64(buckets)
     order = _order(after, size, bucket)
-    doc, pos, before, after, size, bucket = (x[order] for x in (doc, pos, before, after, size, bucket))
+    doc, pos, before, after, size, n_left, bucket = (x[order] for x in (doc, pos, before, after, size, n_left, bucket))
+    own = np.arange(left) < n_left[:, None]
     common = _common(after, size)
     fresh_bucket = np.r_[True, bucket[1:] != bucket[:-1]]
     same = ~fresh_bucket & (common == size) & np.r_[False, size[1:] == size[:-1]]
@@ -193,11 +231,12 @@ def sorted_runs(batch: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
         mine = (heads >= s) & (heads < e)
         hs = heads[mine]
         used, index = np.unique(doc[s:e], return_inverse=True)
-        n_left = np.minimum(left, pos[s:e])
+        order = np.argsort(ids[used], kind="stable")
+        index = np.argsort(order, kind="stable")[index]
         out.append((
-            int(bucket[s]), size[hs].astype(np.uint8).tobytes(), common[hs].astype(np.uint8).tobytes(), front_coded(after[hs], size[hs], common[hs]),
-            counts[mine].astype("<u4").tobytes(), index.astype("<u4").tobytes(), pos[s:e].astype("<u8").tobytes(), n_left.astype(np.uint8).tobytes(),
-            before[s:e].tobytes(), ids[used].tobytes(), tids[used].tobytes(),
+            int(bucket[s]), packed(size[hs]), packed(common[hs]), zlib.compress(front_coded(after[hs], size[hs], common[hs]), 1),
+            packed(counts[mine]), packed(index), packed(pos[s:e]), packed(n_left[s:e]),
+            zlib.compress(before[s:e][own[s:e]].tobytes(), 1), _ids_packed(ids[used][order]), packed(tids[used][order]),
         ))
     return pd.DataFrame(out, columns=columns)
 
@@ -208,18 +247,17 @@ def repeats_in_bucket(runs: pd.DataFrame, length: int) -> pd.DataFrame:
     lists, offsets, occurrence, total = [], [], [], 0
     parts: dict[str, list[np.ndarray]] = {c: [] for c in ("id", "tid", "pos", "left_len", "lefts")}
     for r in runs.itertuples():
-        size, common = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (r.lengths, r.common))
-        rows = from_front_coded(r.tails, size, common, length)
+        size, common = unpacked(r.lengths), unpacked(r.common)
+        rows = from_front_coded(zlib.decompress(r.tails), size, common, length)
         lists.append(([rows[i, : size[i]].tobytes() for i in range(len(size))], common.tolist()))
-        counts = np.frombuffer(r.counts, "<u4").astype(np.int64)
+        counts = unpacked(r.counts)
         offsets.append(total + np.r_[0, np.cumsum(counts)])
         total += int(counts.sum())
-        doc = np.frombuffer(r.doc, "<u4").astype(np.int64)
-        parts["id"].append(np.frombuffer(r.ids, np.int64)[doc])
-        parts["tid"].append(np.frombuffer(r.tids, np.int64)[doc])
-        parts["pos"].append(np.frombuffer(r.pos, "<u8").astype(np.int64))
-        parts["left_len"].append(np.frombuffer(r.left_len, np.uint8).astype(np.int64))
-        parts["lefts"].append(np.frombuffer(r.lefts, np.uint8).reshape(-1, left))
+        doc, n_left = unpacked(r.doc), unpacked(r.left_len)
+        lefts = np.zeros((len(doc), left), np.uint8)
+        lefts[np.arange(left) < n_left[:, None]] = np.frombuffer(zlib.decompress(r.lefts), np.uint8)
+        for c, x in zip(parts, (_ids_unpacked(r.ids)[doc], unpacked(r.tids)[doc], unpacked(r.pos), n_left, lefts), strict=True):
+            parts[c].append(x)
     run, at, common = merge_runs(lists)
     spans = [(offsets[r][i], offsets[r][i + 1]) for r, i in zip(run, at, strict=True)]
     occurrence = np.concatenate([np.arange(s, e) for s, e in spans]) if spans else np.zeros(0, np.int64)
@@ -290,6 +328,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # by id once; both joins below read the same exchange
+    counted = d.filter("id is not null").withColumn("rows", F.count("*").over(Window.partitionBy("id")))
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -305,17 +345,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         for b in batches:
             yield sorted_runs(b, length, buckets)
 
-    runs = d.join(wanted, "id").select("id", "text", "keys").mapInPandas(runs_of, _RUN)
+    runs = counted.join(wanted, "id").select("id", "text", "rows", "keys").mapInPandas(runs_of, _RUN)
     found = runs.groupBy("bucket").applyInPandas(lambda r: repeats_in_bucket(r, length), 'id long, tid long, start long, `end` long')
     spans = found.groupBy("id").agg(F.collect_list(F.struct("tid", "start", "end")).alias("found"))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text, found in zip(b["text"], b["found"], strict=True):
+            for text, count, found in zip(b["text"], b["rows"], b["found"], strict=True):
                 mine = []
                 if found is not None and len(found):
-                    tid = _tid(text.encode())
+                    tid = _tid(text.encode(), count)
                     hit = np.array([(x["start"], x["end"]) for x in found if x["tid"] == tid], dtype=np.int64).reshape(-1, 2)
                     zero = np.zeros(len(hit), np.int64)
                     m = merged_spans(zero, zero, hit[:, 0], hit[:, 1])
@@ -323,7 +363,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 rows.append(mine)
             yield pd.DataFrame({"id": b["id"], "text": b["text"], out: rows})
 
-    return d.join(spans, "id", "left").select("id", "text", "found").mapInPandas(own, f"id long, text string, {out} array<struct<start:long,`end`:long>>")
+    schema = f"id long, text string, {out} array<struct<start:long,`end`:long>>"
+    done = counted.join(spans, "id", "left").select("id", "text", "rows", "found").mapInPandas(own, schema)
+    # rows without an id don't meet on their null
+    return done.union(d.filter("id is null").select("id", "text", F.array().cast("array<struct<start:long,end:long>>").alias(out)))
 
 
 def cut_spans(data: bytes, spans) -> bytes:
