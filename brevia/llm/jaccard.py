@@ -89,6 +89,13 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(close("n_a", "n_b", "k_a", "k_b")).select("a", "b")
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose ends are in different components."""
+    side = lambda x: parts.select(F.col("node").alias(f"__{x}"), F.col("component").alias(f"part_{x}"))
+    d = pairs.join(side("a"), F.col("a") == F.col("__a"), "left").join(side("b"), F.col("b") == F.col("__b"), "left")
+    return d.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets are similar enough, exactly. Only texts of these nodes are looked at again."""
     pairs = cut(pairs)
@@ -145,7 +152,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets is found or implied: a pair goes untested only if its ends are already in one component.
 
     Documents with equal sets are one node, by a 64-bit digest, from the first step on. Nodes that share a PartEnum
-    signature are candidates. In each bucket all meet its least node; what links is joined into components. Buckets that
+    signature are candidates. In each bucket all meet its least node, unless they are in its component by then; what links is joined. Buckets that
     still hold several components, apart from that node, are then compared pair by pair, in blocks, on sketches that bound
     the distance from below, and pairs of different components that may link are tested. So a large group of near copies
     costs a few tests for each member rather than one for each pair.
@@ -183,7 +190,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = cut(signed.withColumns({"center": least, "last": most}).filter("center < last").select("sig", "node", "center"))
 
     stars = shared.filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    links = _linked(_near(stars, nodes, num, den), d, nodes, words, num, den)
+    stars = cut(_near(stars, nodes, num, den))
+    # each node meets the least of its centres, and others only if that leaves them in different components: so sets,
+    # the costly part, travel about once for each node
+    links = _linked(stars.groupBy("a").agg(F.min("b").alias("b")), d, nodes, words, num, den)
+    links = links.union(_linked(_apart(stars, connected_components(links)), d, nodes, words, num, den))
     parts = connected_components(links)
 
     rest = shared.filter("node <> center").join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
