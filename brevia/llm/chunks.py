@@ -78,7 +78,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "keys": [list(dict.fromkeys(chunks(t.encode())[1])) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "keys": pd.Series([list(dict.fromkeys(chunks(t.encode())[1])) for t in b["text"]], dtype=object)})
 
     keyed = d.filter("id is not null").mapInPandas(digests, f"id {id_type}, keys array<long>").select("id", F.explode("keys").alias("key"))
     several = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first"))
@@ -100,7 +100,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             spans.append([at, end])
                     at = end
                 rows.append((len(ends), hits, [{"start": s, "end": e} for s, e in spans if e - s >= least_run]))
-            yield pd.DataFrame({"id": b["id"], "text": b["text"], **{c: [r[i] for r in rows] for i, c in enumerate(("n_chunks", "n_repeated", out))}})
+            yield pd.DataFrame({"id": b["id"], "text": b["text"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("n_chunks", "int64"), ("n_repeated", "int64"), (out, object)))}})
 
     schema = f"id {id_type}, text string, n_chunks long, n_repeated long, {out} array<struct<start:long,`end`:long>>"
     done = d.filter("id is not null").join(later, "id", "left").select("id", "text", "repeated").mapInPandas(marked, schema)

@@ -108,7 +108,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num
         for b in batches:
             sets = [shingle_set(t, words) for t in b["text"]]
             keep = [digest(s) == node for s, node in zip(sets, b["node"], strict=True)]
-            yield pd.DataFrame({"node": b["node"][keep], "s": [s.tobytes() for s, k in zip(sets, keep, strict=True) if k]})
+            yield pd.DataFrame({"node": b["node"].to_numpy()[np.array(keep, dtype=bool)], "s": pd.Series([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], dtype=object)})
 
     sets = cut(docs.join(meant, "id").select("node", "text").mapInPandas(sets_of, "node bigint, s binary"))
     of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
@@ -166,7 +166,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(len(s), digest(s), sketch(s)) for s in (shingle_set(t, words) for t in b["text"])]
-            yield pd.DataFrame({"id": b["id"], **{c: [r[i] for r in rows] for i, c in enumerate(("n", "node", "sketch"))}})
+            yield pd.DataFrame({"id": b["id"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("n", "int64"), ("node", "int64"), ("sketch", object)))}})
 
     id_type = d.schema["id"].dataType.simpleString()
     named = cut(d.mapInPandas(name, f"id {id_type}, n bigint, node bigint, sketch binary"))
@@ -182,7 +182,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if len(s) and (node := digest(s)) not in seen:
                     seen.add(node)
                     out.append((node, signatures(s, num, den)))
-            yield pd.DataFrame({"node": [x[0] for x in out], "sigs": [x[1] for x in out]})
+            yield pd.DataFrame({"node": np.array([x[0] for x in out], dtype=np.int64), "sigs": pd.Series([x[1] for x in out], dtype=object)})
 
     signed = d.filter("id is not null").mapInPandas(sign, "node bigint, sigs array<bigint>").select("node", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig")

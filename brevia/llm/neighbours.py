@@ -150,7 +150,7 @@ def search(
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "v": b["v"], "cells": [full.probe(np.asarray(v), probed * n) for v in b["v"]]})
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "cells": pd.Series([full.probe(np.asarray(v), probed * n) for v in b["v"]], dtype=object)})
 
     asked = cut(q.mapInPandas(walk, "id long, v array<double>, cells array<int>"))
     shards, blocks = -(-n // SHARD_ROWS), -(-max(1, asked.count()) // BLOCK_ROWS)

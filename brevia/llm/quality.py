@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = [line_features(t.split("\n")).astype(np.float32).ravel().tolist() for t in b["__text"]]
-            yield pd.DataFrame({"__id": b["__id"].astype(str), "__label": b["__label"], "x": x})
+            yield pd.DataFrame({"__id": b["__id"].astype(str), "__label": b["__label"], "x": pd.Series(x, dtype=object)})
 
     got = rows.select("__id", "__label", "__text").mapInPandas(features, "__id string, __label int, x array<float>").toPandas()
     got = got.sort_values("__id", kind="stable")

@@ -213,7 +213,7 @@ def sorted_runs(batch: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
         hashes.append(h)
     columns = _RUN.replace(" int", "").replace(" binary", "").split(", ")
     if not docs or not sum(map(len, docs)):
-        return pd.DataFrame({c: [] for c in columns})
+        return pd.DataFrame({c: pd.Series([], dtype="int32" if c == "bucket" else object) for c in columns})
     doc, pos, before, after, size, n_left, h = (np.concatenate(x) for x in (docs, places, befores, afters, lens, lefts, hashes))
     bucket = (h >> np.uint64(20)) % np.uint64(buckets)
     order = _order(after, size, bucket)
@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = [np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[1]).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "keys": keys})
+            yield pd.DataFrame({"id": b["id"], "keys": pd.Series(keys, dtype=object)})
 
     keyed = d.filter("id is not null").mapInPandas(sample, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     same = Window.partitionBy("key")
@@ -361,7 +361,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     m = merged_spans(zero, zero, hit[:, 0], hit[:, 1])
                     mine = [{"start": int(s), "end": int(e)} for s, e in zip(m["start"], m["end"], strict=True)]
                 rows.append(mine)
-            yield pd.DataFrame({"id": b["id"], "text": b["text"], out: rows})
+            yield pd.DataFrame({"id": b["id"], "text": b["text"], out: pd.Series(rows, dtype=object)})
 
     schema = f"id long, text string, {out} array<struct<start:long,`end`:long>>"
     done = counted.join(spans, "id", "left").select("id", "text", "rows", "found").mapInPandas(own, schema)

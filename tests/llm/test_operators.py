@@ -124,7 +124,7 @@ def test_mix_takes_high_keys_first_and_handles_odd_rows(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).columns == none.columns
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns
-    assert abs(mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD if hasattr(mixing, "WORD") else WORD.pattern)))).first()[0] - got["taken"].sum()) <= 4
+    assert abs(mixed.select(F.sum(F.regexp_count("text", F.lit(WORD.pattern)))).first()[0] - got["taken"].sum()) <= 4
 
 
 def test_mix_prefers_heavy_documents(spark):
@@ -210,8 +210,6 @@ def test_quality_field_agrees_with_labels(spark, odd, none):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     train = labels.filter("doc_id % 2 = 0")
     field = quality.fit(docs, train)
-    d = quality.quality_rules(docs, field).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not quality.base_failed")
-    good, bad = (d.filter(labels["quality"] == y).agg(F.avg(F.col("quality.kept").cast("int"))).first()[0] if False else None for y in (1, 0))
     rows = quality.quality_rules(docs, field, out="q").join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("not q.base_failed").select("quality", "q.kept").collect()
     good, bad = ([r["kept"] for r in rows if r["quality"] == y] for y in (1, 0))
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.2
