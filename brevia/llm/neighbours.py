@@ -115,7 +115,7 @@ def search(
     Nearness is the inner product, greatest first, ties to the smaller id; a query's own id is no candidate of it.
     Vectors are cut in halves, each quantised with a codebook fitted on at most ``max_rows`` rows, and every row is
     entered in the cell of its two codes. A query walks over cells from the nearest until they hold the share ``probed``
-    of all rows and scores the entries of these cells exactly, in double precision. With ``probed`` 1 the search is exact.
+    of all rows, and 5 k rows at least, and scores the entries of these cells exactly, in double precision. With ``probed`` 1 the search is exact.
 
     The index is dealt evenly into shards by a hash of ids, so that a hot cell is spread over all of them; within a shard
     entries lie by cell. Each block of queries meets each shard in a task of bounded size, which passes on k rows a query.
@@ -150,7 +150,7 @@ def search(
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "v": b["v"], "cells": pd.Series([full.probe(np.asarray(v), probed * n) for v in b["v"]], dtype=object)})
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "cells": pd.Series([full.probe(np.asarray(v), max(probed * n, 5 * k)) for v in b["v"]], dtype=object)})
 
     asked = cut(q.mapInPandas(walk, "id long, v array<double>, cells array<int>"))
     shards, blocks = -(-n // SHARD_ROWS), -(-max(1, asked.count()) // BLOCK_ROWS)
