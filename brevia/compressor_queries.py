@@ -67,7 +67,7 @@ def grep_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ls_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat(case c_custkey % 3 when 0 then 'drwxr-xr-x' when 1 then 'lrwxrwxrwx' else '-rw-r--r--' end, '  1 user group ', c_custkey, ' Jan  1 10:00 ', c_name, case when c_custkey % 3 = 1 then ' -> /target' else '' end)"
-    d = runs_of(table(spark, sf_dir, "customer").filter("c_custkey < 1024"), "cast(c_nationkey as bigint)", "c_custkey", line, header="total 8\ndrwxr-xr-x  2 user group 4096 Jan  1 10:00 .\n")
+    d = runs_of(table(spark, sf_dir, "customer"), "cast(c_nationkey as bigint)", "c_custkey", line, header="total 8\ndrwxr-xr-x  2 user group 4096 Jan  1 10:00 .\n")
     return C.ls_entries(d).select("run_id", "shown", "is_dir")
 
 

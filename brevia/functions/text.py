@@ -235,10 +235,10 @@ def format_age(seconds: Column) -> Column:
 
 
 def format_size(size: Column) -> Column:
-    """1024-based with one decimal from K on."""
+    """1024-based with one decimal from K on, a half going to the even digit."""
     out = F.concat(size.cast("long").cast("string"), F.lit("B"))
     for i, unit in enumerate("KMG", 1):
-        out = F.when(size >= 1024**i, F.concat(F.format_string("%.1f", size.cast("double") / float(1024**i)), F.lit(unit))).otherwise(out)
+        out = F.when(size >= 1024**i, F.concat(F.format_string("%.1f", F.bround(size.cast("double") / float(1024**i), 1)), F.lit(unit))).otherwise(out)
     return out
 
 
