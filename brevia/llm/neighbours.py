@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by inner product with an inverted multi-index."""
+"""Nearest neighbours by inner product with an inverted multi-index."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from brevia.llm.common import cut, table
 TRAIN_ROWS = 8_192
 #: Centroids of each half.
 CENTROIDS = 64
-#: A query's traversal ends when its cells hold so large a share of all rows.
+#: A query's traversal holds so large a share of all rows before bounds tell which other cells can still matter.
 PROBED = 0.5
 #: Rows of a shard of the index and of a block of queries, about.
 SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
@@ -74,18 +74,38 @@ class MultiIndex:
                 heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
         return out
 
+    def reach(self, q: np.ndarray, x: np.ndarray, cell: int) -> np.ndarray:
+        """What rows ``x`` of a cell score at most with each query, by the norms of their residuals and their own."""
+        c = np.concatenate((self.first[cell // len(self.second)], self.second[cell % len(self.second)]))
+        h, off, norms = self.first.shape[1], x - c, np.linalg.norm
+        size = norms(q, axis=1)
+        halves = norms(q[:, :h], axis=1) * norms(off[:, :h], axis=1).max() + norms(q[:, h:], axis=1) * norms(off[:, h:], axis=1).max()
+        top = np.minimum(q @ c + np.minimum(halves, size * norms(off, axis=1).max()), size * norms(x, axis=1).max())
+        return top + 1e-9 * (1 + size * (norms(c) + norms(x, axis=1).max()))
 
-def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, at: np.ndarray, near: np.ndarray) -> pd.DataFrame:
-    """The k best of each query in a shard: ``near`` masks the pairs (query, cell) that are probed, ``at`` is each row's cell."""
+
+def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, at: np.ndarray, near: np.ndarray, index: MultiIndex) -> pd.DataFrame:
+    """The k best of each query in a shard: ``near`` masks the pairs (query, cell) that are probed, ``at`` is each row's cell.
+
+    Cells that aren't probed are scored too where their bound reaches the k-th best that the probed ones gave here.
+    """
     score = np.full((len(q), len(x)), -np.inf)
+    own = query_ids[:, None] == ids[None, :]
     order = at.argsort(kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-    for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
-        rows = order[s:e]
+    cells = [order[s:e] for s, e in zip(starts, [*starts[1:], len(order)], strict=True)]
+    for rows in cells:
         asked = np.flatnonzero(near[:, at[rows[0]]])
         if len(asked):
             score[np.ix_(asked, rows)] = q[asked] @ x[rows].T
-    score[query_ids[:, None] == ids[None, :]] = -np.inf
+    score[own] = -np.inf
+    least = np.array([np.partition(held, len(held) - k)[len(held) - k] if len(held) >= k else -np.inf for held in score])
+    for rows in cells:
+        cell = int(at[rows[0]])
+        asked = np.flatnonzero(~near[:, cell] & (index.reach(q, x[rows], cell) >= least))
+        if len(asked):
+            score[np.ix_(asked, rows)] = q[asked] @ x[rows].T
+    score[own] = -np.inf
     parts = []
     for i in range(len(q)):
         held = score[i]
@@ -115,7 +135,9 @@ def search(
     Nearness is the inner product, greatest first, ties to the smaller id; a query's own id is no candidate of it.
     Vectors are cut in halves, each quantised with a codebook fitted on at most ``max_rows`` rows, and every row is
     entered in the cell of its two codes. A query walks over cells from the nearest until they hold the share ``probed``
-    of all rows, and 5 k rows at least, and scores the entries of these cells exactly, in double precision. With ``probed`` 1 the search is exact.
+    of all rows, and 5 k rows at least, and scores the entries of these cells exactly, in double precision. Every other cell
+    is scored as well unless the largest norms of its rows and of their residuals show that none of them is among the k
+    best. So the result is exact whatever ``probed`` is and however many rows are copies; vectors without structure are all scored.
 
     The index is dealt evenly into shards by a hash of ids, so that a hot cell is spread over all of them; within a shard
     entries lie by cell. Each block of queries meets each shard in a task of bounded size, which passes on k rows a query.
@@ -167,7 +189,7 @@ def search(
         for row, cells in zip(near, queries["cells"], strict=True):
             row[np.asarray(cells, dtype=int)] = True
         stack = lambda f: np.stack(f["v"].to_list())
-        return _best(queries["id"].to_numpy(), stack(queries), entries["id"].to_numpy(), stack(entries), k, entries["cell"].to_numpy(), near)
+        return _best(queries["id"].to_numpy(), stack(queries), entries["id"].to_numpy(), stack(entries), k, entries["cell"].to_numpy(), near, full)
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
