@@ -16,7 +16,7 @@ from brevia.llm.shingles import mixed
 
 #: Bytes of a chunk at least and at most, and bits of the hash that are zero where a chunk may end.
 LEAST, MOST, BITS = 16, 128, 4
-#: Runs of repeated chunks of fewer bytes stay.
+#: Runs of repeated chunks of fewer bytes stay, unless they are the whole text.
 LEAST_RUN = 100
 
 #: A random 32-bit number for each byte, from a rule.
@@ -108,6 +108,13 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return done.union(d.filter("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("repeated")).mapInPandas(marked, schema))
 
 
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, out: str = "spans") -> DataFrame:
+    """``repeated_chunks``, where a text whose chunks are all repeated is a span as a whole, however short."""
+    d = repeated_chunks(docs, id_col, text_col, least_run, out)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
+    return d.withColumn(out, F.when((F.col("n_chunks") > 0) & (F.col("n_repeated") == F.col("n_chunks")), whole).otherwise(F.col(out)))
+
+
 def kept_bytes(data: bytes, spans) -> bytes:
     out, at = [], 0
     for x in spans:
@@ -123,7 +130,7 @@ def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: s
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([kept_bytes(t.encode(), x).decode("utf-8", "replace") if len(x) else t for t, x in zip(texts, spans, strict=True)], dtype=object)
 
-    return repeated_chunks(docs, id_col, text_col, least_run).select("id", rest("text", "spans").alias("text"))
+    return repeated_passages(docs, id_col, text_col, least_run).select("id", rest("text", "spans").alias("text"))
 
 
 def _digest(text: str, spans: str) -> Column:
@@ -140,6 +147,6 @@ def _digest(text: str, spans: str) -> Column:
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = repeated_chunks(table(spark, sf_dir, "documents"))
+    d = repeated_passages(table(spark, sf_dir, "documents"))
     d = d.select(F.col("id").alias("doc_id"), "n_chunks", "n_repeated", F.size("spans").cast("long").alias("n_spans"), _digest("text", "spans").alias("x"))
     return d.select("doc_id", "x.n_bytes", "x.n_removed", "n_spans", "n_chunks", "n_repeated", "x.kept_sha256")
