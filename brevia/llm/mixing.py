@@ -71,9 +71,9 @@ def mix(
     first = d.groupBy("source", "p1").agg(F.sum("size").alias("words"))
     first = cut(first)
     goals = source_targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), total, most, weights)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    goals = goals.withColumn("epochs", epochs.cast("long"))
-    goals = cut(goals.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
+    goals = goals.withColumn("goal", F.round("target").cast("long"))  # rounded before it is divided, so that the rest is below the size
+    goals = goals.withColumn("epochs", F.expr("if(source_size > 0, goal div source_size, 0L)"))
+    goals = cut(goals.withColumn("rest", F.expr("if(source_size > 0, goal % source_size, 0L)")).drop("goal"))
     n = goals.count()
 
     def crossing(parts: DataFrame, part: str, goal: str) -> DataFrame:
