@@ -27,3 +27,25 @@ def test_neighbours_of_other_rows_where_a_third_are_copies(spark, noise):
         hits.append(len(found[i] & set(best)) / 20)
     print(f"recall {np.mean(hits):.3f}, worst {min(hits):.2f}")
     assert min(hits) == 1
+
+
+def test_repeated_rows_of_two_similar_texts_make_one_link(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(words[: 100 - i])) for i in (1, 2)] * 1_000
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90).collect()
+    assert len(got) == 2_000 and {r["component_id"] for r in got} == {1}
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_signatures_and_sketches_of_similar_sets(num):
+    rng = np.random.default_rng(num)
+    for n in (*range(1, 40), 100, 500, 3_000):
+        for _ in range(5):
+            s = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            apart = int(rng.integers(0, jaccard.may_be_apart(2 * len(s), num, 100) + 1))
+            gone = int(rng.integers(0, apart + 1))
+            t = np.unique(np.r_[s[rng.permutation(len(s))[: len(s) - gone]], rng.integers(0, 1 << 62, apart - gone).astype(np.uint64)])
+            differ = len(np.setxor1d(s, t))
+            assert jaccard._apart_at_least(jaccard.sketch(s), jaccard.sketch(t)) <= differ
+            if len(t) and 100 * len(np.intersect1d(s, t)) >= num * len(np.union1d(s, t)):
+                assert set(jaccard.signatures(s, num, 100)) & set(jaccard.signatures(t, num, 100))
