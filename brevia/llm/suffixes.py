@@ -18,7 +18,9 @@ from brevia.llm.shingles import mixed
 #: Bytes of a beginning by which suffixes are sampled and dealt out.
 BEGIN = 16
 #: Buckets of suffixes for each shuffle partition.
-BUCKETS = 8
+BUCKETS = 2
+#: Bytes of texts that are sampled together.
+CHUNK = 1 << 20
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -29,23 +31,40 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
-def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, least hash of each window) of sampled beginnings: those least in some window of ``length`` bytes.
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts) of runs of texts with CHUNK bytes or one text each."""
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= CHUNK:
+            size, end = size + len(texts[end]), end + 1
+        yield at, texts[at:end]
+        at = end
 
-    Each such window holds one at least, and equal windows hold the same, so two equal strings of ``length`` bytes are
-    always met at a common anchor. On average one in 18 positions is an anchor at 50 bytes.
+
+def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, positions in all texts joined, hashes) of sampled beginnings: those least in some window of ``length`` bytes of a text.
+
+    Last come the least hash of each window, 0 where it isn't in one text, and where the texts begin. Each window holds
+    one anchor at least, and equal windows hold the same, so two equal strings of ``length`` bytes are always met at a
+    common anchor. On average one in 18 positions is an anchor at 50 bytes.
     """
     width = length - BEGIN + 1
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
     if len(b) < length:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none, ends - sizes
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(b, 8)).view("<u8").ravel()
     with np.errstate(over="ignore"):
         h = mixed(mixed(eight[: -BEGIN + 8]) * np.uint64(0x9E3779B97F4A7C15) + eight[BEGIN - 8 :])
     least = _sliding(h, width, np.minimum)
+    least[np.repeat(ends, sizes)[: len(least)] - np.arange(len(least)) < length] = 0
     pad = np.zeros(width - 1, dtype=np.uint64)
     most = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
     at = np.flatnonzero(most == h)
-    return at, h[at], least
+    return np.searchsorted(ends, at, "right"), at, h[at], least, ends - sizes
 
 
 def reach(at: np.ndarray, h: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +180,10 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return out_run, out_at, out_common
 
 
-_RUN = "bucket int, lengths binary, common binary, tails binary, counts binary, doc binary, pos binary, left_len binary, lefts binary, ids binary, tids binary"
+_RUN = (
+    "bucket int, lengths binary, common binary, tails binary, counts binary, doc binary, pos binary, left_len binary, lefts binary, ids binary, tids binary, "
+    "span_ids binary, span_tids binary, span_starts binary, span_sizes binary"
+)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -188,26 +210,54 @@ def _ids_unpacked(data: bytes) -> np.ndarray:
     return np.r_[0, np.cumsum(unpacked(data[8:]))] + int.from_bytes(data[:8], "little", signed=True)
 
 
+def _doubles(key: np.ndarray, ids: np.ndarray, same=None) -> np.ndarray:
+    """Which rows have an equal key, and then are the ``same`` too, on a row with a smaller id."""
+    order = np.lexsort([ids, key])
+    alike = key[order[1:]] == key[order[:-1]]
+    if same is not None:
+        alike[alike] = same(order[1:][alike], order[:-1][alike])
+    first = np.maximum.accumulate(np.where(np.r_[False, alike], 0, np.arange(len(order))))
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = ids[order] > ids[order][first]
+    return out
+
+
+def _hashed(rows: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    out = mixed(seed)
+    with np.errstate(over="ignore"):
+        for column in wide.view("<u8").T:
+            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
 def sorted_runs(batch: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
-    """A front-coded sorted run for each bucket of the batch's shared anchors; equal suffixes are one entry with several occurrences."""
+    """A front-coded sorted run for each bucket of the batch's shared anchors; equal suffixes are one entry with several occurrences.
+
+    An occurrence whose bytes on both sides, as far as they matter, also are in a document of the batch with a smaller id is known to be
+    a repeat and isn't sent, only the span that it covers.
+    """
     left = length - BEGIN
     docs, places, befores, afters, lens, lefts, hashes = [], [], [], [], [], [], []
     ids, tids = batch["id"].to_numpy(np.int64), np.zeros(len(batch), np.int64)
-    for i, (text, keys, rows) in enumerate(zip(batch["text"], batch["keys"], batch["rows"], strict=True)):
-        data = text.encode()
-        tids[i] = _tid(data, rows)
-        b = np.frombuffer(data, np.uint8)
-        at, h, least = anchors(b, length)
-        keep = np.isin(h, np.asarray(keys, dtype=np.int64).view(np.uint64))
-        at, h = at[keep], h[keep]
+    texts = [t.encode() for t in batch["text"]]
+    keys, rows = batch["keys"].tolist(), batch["rows"].tolist()
+    for i, (data, count) in enumerate(zip(texts, rows, strict=True)):
+        tids[i] = _tid(data, count)
+    named = lambda h, doc: mixed(h ^ mixed(doc.astype(np.uint64) + np.uint64(1)))
+    for start, some in chunks(texts):
+        doc, at, h, least, begins = anchors(some, length)
+        sought = [np.asarray(keys[start + i], dtype=np.int64) for i in range(len(some))]
+        sought = named(np.concatenate(sought).view(np.uint64), np.repeat(np.arange(len(some)), [len(x) for x in sought]))
+        keep = np.isin(named(h, doc), sought)
+        doc, at, h = doc[keep], at[keep], h[keep]
         n_before, n_after = reach(at, h, least, length)
-        before, after = _rows_at(b, at, left, length)
-        before = np.where(np.arange(left) < n_before[:, None], before, 0).astype(np.uint8)
-        after = np.where(np.arange(length) < n_after[:, None], after, 0).astype(np.uint8)
-        docs.append(np.full(len(at), i, np.int32))
-        places.append(at)
-        befores.append(before)
-        afters.append(after)
+        before, after = _rows_at(np.frombuffer(b"".join(some), np.uint8), at, left, length)
+        docs.append(doc + start)
+        places.append(at - begins[doc])
+        befores.append(np.where(np.arange(left) < n_before[:, None], before, 0).astype(np.uint8))
+        afters.append(np.where(np.arange(length) < n_after[:, None], after, 0).astype(np.uint8))
         lens.append(n_after)
         lefts.append(n_before)
         hashes.append(h)
@@ -215,6 +265,11 @@ def sorted_runs(batch: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
     if not docs or not sum(map(len, docs)):
         return pd.DataFrame({c: pd.Series([], dtype="int32" if c == "bucket" else object) for c in columns})
     doc, pos, before, after, size, n_left, h = (np.concatenate(x) for x in (docs, places, befores, afters, lens, lefts, hashes))
+    key = _hashed(before, _hashed(after, h ^ (size * 64 + n_left).astype(np.uint64)))
+    alike = lambda x, y: (before[x] == before[y]).all(1) & (after[x] == after[y]).all(1) & (size[x] == size[y]) & (n_left[x] == n_left[y])
+    known = _doubles(key, ids[doc], alike)
+    spans = merged_spans(ids[doc[known]], tids[doc[known]], pos[known] - n_left[known], pos[known] + size[known])
+    doc, pos, before, after, size, n_left, h = (x[~known] for x in (doc, pos, before, after, size, n_left, h))
     bucket = (h >> np.uint64(20)) % np.uint64(buckets)
     order = _order(after, size, bucket)
     doc, pos, before, after, size, n_left, bucket = (x[order] for x in (doc, pos, before, after, size, n_left, bucket))
@@ -236,19 +291,26 @@ def sorted_runs(batch: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
         out.append((
             int(bucket[s]), packed(size[hs]), packed(common[hs]), zlib.compress(front_coded(after[hs], size[hs], common[hs]), 1),
             packed(counts[mine]), packed(index), packed(pos[s:e]), packed(n_left[s:e]),
-            zlib.compress(before[s:e][own[s:e]].tobytes(), 1), _ids_packed(ids[used][order]), packed(tids[used][order]),
+            zlib.compress(before[s:e][own[s:e]].tobytes(), 1), _ids_packed(ids[used][order]), packed(tids[used][order]), b"", b"", b"", b"",
         ))
+    if len(spans):  # travels with any of the runs
+        some = int(ids[0]) % len(out)
+        size = (spans["end"] - spans["start"]).to_numpy()
+        out[some] = (*out[some][:-4], _ids_packed(spans["id"].to_numpy()), packed(spans["tid"].to_numpy()), packed(spans["start"].to_numpy()), packed(size))
     return pd.DataFrame(out, columns=columns)
 
 
 def repeats_in_bucket(runs: pd.DataFrame, length: int) -> pd.DataFrame:
     """Merge a bucket's runs and report (id, tid, start, end) of strings that also start in a document with a smaller id."""
     left = length - BEGIN
-    lists, offsets, occurrence, total = [], [], [], 0
+    lists, offsets, occurrence, total, ready = [], [], [], 0, []
     parts: dict[str, list[np.ndarray]] = {c: [] for c in ("id", "tid", "pos", "left_len", "lefts")}
     for r in runs.itertuples():
         size, common = unpacked(r.lengths), unpacked(r.common)
         rows = from_front_coded(zlib.decompress(r.tails), size, common, length)
+        if r.span_ids:
+            start = unpacked(r.span_starts)
+            ready.append((_ids_unpacked(r.span_ids), unpacked(r.span_tids), start, start + unpacked(r.span_sizes)))
         lists.append(([rows[i, : size[i]].tobytes() for i in range(len(size))], common.tolist()))
         counts = unpacked(r.counts)
         offsets.append(total + np.r_[0, np.cumsum(counts)])
@@ -270,27 +332,28 @@ def repeats_in_bucket(runs: pd.DataFrame, length: int) -> pd.DataFrame:
     ids, tid, pos, n_left, lefts = (np.concatenate(parts[c])[occurrence] for c in ("id", "tid", "pos", "left_len", "lefts"))
     by_left = _order(lefts, n_left)
     shared_left = _common(lefts[by_left], n_left[by_left])
-    starts, who = [], []
+    # an occurrence with the same bytes on both sides as one with a smaller id is a repeat as far as they reach
+    suffix = np.cumsum((shared < size) | np.r_[True, size[1:] != size[:-1]])
+    prefix = np.empty(len(ids), np.int64)
+    prefix[by_left] = np.cumsum((shared_left < n_left[by_left]) | np.r_[True, n_left[by_left][1:] != n_left[by_left][:-1]])
+    known = _doubles(suffix * (len(ids) + 1) + prefix, ids)
+    spans = [(ids[known], tid[known], pos[known] - n_left[known], pos[known] + size[known]), *ready]
     for back in range(left + 1):
         ahead = length - back
-        ok = np.flatnonzero((n_left >= back) & (size >= ahead))
+        ok = np.flatnonzero((n_left >= back) & (size >= ahead) & ~known)
         if len(ok) < 2:
             continue
         right_class = np.cumsum(shared < ahead)
         left_class = np.empty(len(ids), np.int64)
         left_class[by_left] = np.cumsum(shared_left < back)
         key = right_class[ok] * (len(ids) + 1) + left_class[ok]
-        order = np.lexsort([ids[ok], key])
+        order = np.argsort(key)
         key, mine = key[order], ok[order]
         first = np.r_[True, key[1:] != key[:-1]]
-        least = ids[mine][first][np.cumsum(first) - 1]
+        least = np.minimum.reduceat(ids[mine], np.flatnonzero(first))[np.cumsum(first) - 1]
         hit = mine[ids[mine] > least]
-        starts.append(pos[hit] - back)
-        who.append(hit)
-    if not starts:
-        return pd.DataFrame({"id": [], "tid": [], "start": [], "end": []})
-    start, who = np.concatenate(starts), np.concatenate(who)
-    return merged_spans(ids[who], tid[who], start, start + length)
+        spans.append((ids[hit], tid[hit], pos[hit] - back, pos[hit] - back + length))
+    return merged_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))
 
 
 def merged_spans(ids: np.ndarray, tid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
@@ -317,7 +380,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Only suffixes at anchors are sorted, one in 18 or so, and of these only such whose first BEGIN bytes occur in two
     documents; any two equal strings share an anchor, and how far the match reaches to its left is settled by sorting
     what lies there. Tasks send each other front-coded sorted runs, dealt by a hash of those first bytes, as only
-    suffixes that agree in them matter to each other; each receiver merges its runs with a loser tree.
+    suffixes that agree in them matter to each other; each receiver merges its runs with a loser tree. Of occurrences with the
+    same bytes on both sides a task sends those of the least id only, so that a passage of many documents is one occurrence a task.
 
     A null text is empty. Rows with a null id neither lose bytes nor cause it. An id on several rows stands for
     documents of equal rank, which lose nothing to each other. Other columns aren't looked at; an empty table
@@ -333,8 +397,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[1]).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "keys": pd.Series(keys, dtype=object)})
+            found, texts = [], [t.encode() for t in b["text"]]
+            for _, some in chunks(texts):
+                doc, _, h, _, _ = anchors(some, length)
+                order = np.lexsort([h, doc])
+                doc, h = doc[order], h[order]
+                fresh = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+                found += np.split(h[fresh].view(np.int64), np.searchsorted(doc[fresh], np.arange(1, len(some))))
+            yield pd.DataFrame({"id": b["id"].to_numpy(), "keys": pd.Series(found, dtype=object)})
 
     keyed = d.filter("id is not null").mapInPandas(sample, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     same = Window.partitionBy("key")
@@ -349,24 +419,24 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     found = runs.groupBy("bucket").applyInPandas(lambda r: repeats_in_bucket(r, length), 'id long, tid long, start long, `end` long')
     spans = found.groupBy("id").agg(F.collect_list(F.struct("tid", "start", "end")).alias("found"))
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text, count, found in zip(b["text"], b["rows"], b["found"], strict=True):
-                mine = []
-                if found is not None and len(found):
-                    tid = _tid(text.encode(), count)
-                    hit = np.array([(x["start"], x["end"]) for x in found if x["tid"] == tid], dtype=np.int64).reshape(-1, 2)
-                    zero = np.zeros(len(hit), np.int64)
-                    m = merged_spans(zero, zero, hit[:, 0], hit[:, 1])
-                    mine = [{"start": int(s), "end": int(e)} for s, e in zip(m["start"], m["end"], strict=True)]
-                rows.append(mine)
-            yield pd.DataFrame({"id": b["id"], "text": b["text"], out: pd.Series(rows, dtype=object)})
-
-    schema = f"id long, text string, {out} array<struct<start:long,`end`:long>>"
-    done = counted.join(spans, "id", "left").select("id", "text", "rows", "found").mapInPandas(own, schema)
+    kind = "array<struct<start:long,`end`:long>>"
+
+    @F.pandas_udf(kind)
+    def own(texts: pd.Series, founds: pd.Series) -> pd.Series:
+        rows = []
+        for text, found in zip(texts, founds, strict=True):
+            tid, mine = _tid(text.encode(), 2) if text is not None else 0, []
+            for start, end in sorted((x["start"], x["end"]) for x in found if x["tid"] == tid) if found is not None else ():
+                if mine and start <= mine[-1]["end"]:
+                    mine[-1]["end"] = max(end, mine[-1]["end"])
+                else:
+                    mine.append({"start": start, "end": end})
+            rows.append(mine)
+        return pd.Series(rows, dtype=object)
+
+    done = counted.join(spans, "id", "left").select("id", "text", own(F.when(F.col("rows") > 1, F.col("text")), "found").alias(out))
     # rows without an id don't meet on their null
-    return done.union(d.filter("id is null").select("id", "text", F.array().cast("array<struct<start:long,end:long>>").alias(out)))
+    return done.union(d.filter("id is null").select("id", "text", F.array().cast(kind).alias(out)))
 
 
 def cut_spans(data: bytes, spans) -> bytes:
