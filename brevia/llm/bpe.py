@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia.llm.common import table
+from brevia.llm.common import slices, table
 
 #: The split into words that byte-level vocabularies of this kind are made for.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -140,7 +140,7 @@ class BpeTokenizer:
         @F.pandas_udf("binary")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             vocabulary = Vocabulary(sent.value)
-            for texts in batches:
+            for texts in slices(batches):
                 yield pd.Series([None if t is None else vocabulary.encode(t) for t in texts], dtype=object)
 
         return of(text)
@@ -152,7 +152,7 @@ class BpeTokenizer:
         @F.pandas_udf("string")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             vocabulary = Vocabulary(sent.value)
-            for rows in batches:
+            for rows in slices(batches):
                 yield pd.Series([None if x is None else vocabulary.decode(x) for x in rows], dtype=object)
 
         return of(ids)
@@ -165,7 +165,7 @@ class BpeTokenizer:
         @F.pandas_udf("ids binary, text string")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             vocabulary = Vocabulary(sent.value)
-            for texts in batches:
+            for texts in slices(batches):
                 ids = [None if t is None else vocabulary.encode(t) for t in texts]
                 yield pd.DataFrame({"ids": ids, "text": [None if x is None else vocabulary.decode(x) for x in ids]}, dtype=object)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ BROADCAST_ROWS = 5_000
 #: Copies of the smaller side in a salted join, and so the parts into which one hot key is split.
 SALTS = 16
 
+#: Rows that a Python worker holds the results of at once.
+SLICE = 500
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,6 +38,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def slices(batches: Iterator, rows: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The same rows in smaller pieces, so that what a worker makes of a batch of long texts isn't held for all of them; an empty batch is one piece."""
+    for b in batches:
+        for i in range(0, max(1, len(b)), rows):
+            yield b.iloc[i : i + rows]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder, so that lost executors lose no data.
 

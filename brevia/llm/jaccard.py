@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brevia.llm.common import connected_components, cut, table
+from brevia.llm.common import connected_components, cut, slices, table
 from brevia.llm.shingles import digest, mixed, shingle_set
 
 #: Second-level parts of a group, and how many of them may differ.
 PARTS, MAY_DIFFER = 3, 1
 #: Groups beyond those needed, as a share, where a signature stands for few shingles; so those that stand for none can be left out.
 SPARE = 0.15
+#: Bits that names of signatures go without in the shuffle; 52 are left, by which few of 10^13 meet by chance, and such pairs are told apart later.
+SPARED_BITS = 12
 #: Bits of a sketch for each shingle, at least.
 SKETCH_BITS = 4
 #: Rows of a bucket that meet those of another block, or their own, in one task.
@@ -53,8 +55,8 @@ def groups_for(k: int, num: int, den: int) -> tuple[int, int]:
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Signatures of a set: two similar enough sets share one.
 
-    For the band of its size and the next, which meet larger sets there, k bounds how many shingles two similar sets
-    don't share. The domain of shingles is cut into groups, so many that in one of them at most MAY_DIFFER such
+    A set has signatures for the band of its size, where it meets sets of the band below, and for the next, where it meets
+    those of its own band and the next; k bounds how many shingles two similar sets there don't share. The domain of shingles is cut into groups, so many that in one of them at most MAY_DIFFER such
     shingles lie, and each group into PARTS parts; a signature stands for a group without MAY_DIFFER of its parts, in
     every way to choose them. It is a sum over the shingles in the others, so all follow from sums over parts.
 
@@ -69,8 +71,8 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     out = []
     with np.errstate(over="ignore"):
         value, place = mixed(s + np.uint64(7)), mixed(s ^ np.uint64(0x5851F42D4C957F2D))
-        for band in (at, at + 1):
-            k = may_be_apart(2 * steps[band][1], num, den)
+        for band in (at, at + 1) if at else (1,):
+            k = may_be_apart(steps[band - 1][1] + steps[band][1], num, den)
             need, groups, parts = (*groups_for(k, num, den), PARTS) if k else (1, 1, 1)
             where = (place % np.uint64(groups * parts)).astype(np.int64)
             sums = np.zeros(groups * parts, dtype=np.uint64)
@@ -82,7 +84,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
             out.append(found[some.ravel()])
             if int(some.all(1).sum()) < need:
                 out.append(mixed(found ^ np.uint64(0x2545F4914F6CDD1D)))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(out).astype(np.int64) >> SPARED_BITS
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -134,7 +136,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num
         meant = F.broadcast(meant)
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, words) for t in b["text"]]
             keep = [digest(s) == node for s, node in zip(sets, b["node"], strict=True)]
             yield pd.DataFrame({"node": b["node"].to_numpy()[np.array(keep, dtype=bool)], "s": pd.Series([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], dtype=object)})
@@ -231,9 +233,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(len(s), digest(s), sketch(s)) for s in (shingle_set(t, words) for t in b["text"])]
-            yield pd.DataFrame({"id": b["id"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("n", "int64"), ("node", "int64"), ("sketch", object)))}})
+            yield pd.DataFrame({"id": b["id"].reset_index(drop=True), **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("n", "int64"), ("node", "int64"), ("sketch", object)))}})
 
     id_type = d.schema["id"].dataType.simpleString()
     named = cut(d.mapInPandas(name, f"id {id_type}, n bigint, node bigint, sketch binary"))
@@ -242,7 +244,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies within a task; it grows with the task's rows only
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b["text"]:
                 s = shingle_set(t, words)

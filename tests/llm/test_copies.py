@@ -1,9 +1,9 @@
-"""Neighbours by brute force where a third of all rows are copies of one vector."""
+"""Neighbours where a third of all rows are copies of one vector, and shingle sets that are hard to tell apart."""
 
 import numpy as np
 import pytest
 
-from brevia.llm import neighbours
+from brevia.llm import jaccard, neighbours
 
 
 @pytest.mark.parametrize("noise", [0.0, 0.02])
