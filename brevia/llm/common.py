@@ -18,6 +18,9 @@ BROADCAST_ROWS = 5_000
 #: Copies of the smaller side in a salted join, and so the parts into which one hot key is split.
 SALTS = 16
 
+#: Edges that one task of a connected-components round handles, some megabytes; fewer edges take fewer tasks and files.
+EDGES = 200_000
+
 #: Rows that a Python worker holds the results of at once.
 SLICE = 500
 
@@ -83,22 +86,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): a logarithmic number of rounds,
     each of two joins and a distinct on keys that partial aggregation shrinks before the shuffle. Each
-    round is cut into the shared checkpoint folder. Self-loops and rows with a null end are no edges.
+    round is cut into the shared checkpoint folder, in tasks of EDGES edges or more, as no round makes more edges. Self-loops and rows with a null end are no edges.
     """
-    e = (
+    e = cut(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .filter("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    mark = None
+    mark, tasks = None, 1 + e.count() // EDGES
+    e = e.coalesce(tasks)
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, both.u == low.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(low, large.u == low.w).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        e = cut(small.union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -128,6 +128,13 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return d.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links: each node and its component stand for the links known before."""
+    if links.isEmpty():
+        return parts
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets are similar enough, exactly. Only texts of these nodes are looked at again."""
     meant = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("rid").alias("id")), "node")
@@ -262,9 +269,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stars = cut(_near(stars, nodes, num, den))
     # each node meets the least of its centres, and others only if that leaves them in different components: so sets,
     # the costly part, travel about once for each node
-    links = _linked(cut(stars.groupBy("a").agg(F.min("b").alias("b"))), d, nodes, words, num, den)
-    links = links.union(_linked(cut(_apart(stars, connected_components(links))), d, nodes, words, num, den))
-    parts = connected_components(links)
+    parts = connected_components(_linked(cut(stars.groupBy("a").agg(F.min("b").alias("b"))), d, nodes, words, num, den))
+    parts = _joined(parts, _linked(cut(_apart(stars, parts)), d, nodes, words, num, den))
 
     tested = None
     for i in range(NEAREST_ROUNDS + 1):
@@ -275,9 +281,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if tested is None:  # no pair is left that may link; later only the nearest are known not to
                 break
             continue
-        more = _linked(pairs, d, nodes, words, num, den)
-        links, tested = links.union(more), pairs if tested is None else tested.union(pairs)
-        parts = connected_components(links)
+        parts = _joined(parts, _linked(pairs, d, nodes, words, num, den))
+        tested = pairs if tested is None else tested.union(pairs)
     least_id = parts.join(nodes.select("node", "rid"), "node").groupBy("component").agg(F.min("rid").alias("component_id"))
     ids = nodes.join(parts, "node", "left").join(least_id, "component", "left").select(F.col("node").alias("__node"), F.coalesce("component_id", "rid").alias("component_id"))
     out = named.join(ids, F.when(F.col("n") > 0, F.col("node")) == F.col("__node"), "left")
