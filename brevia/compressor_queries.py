@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia.operators import compressors as C
+from brevia.operators import tools
+from brevia.plans.rules import Rule
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,162 +28,167 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def runs_of(rows: DataFrame, run: str, order: str, line: str, header: str = "", footer: str = "") -> DataFrame:
-    """(run_id, raw): the rows' lines put together in order, by SQL expressions."""
+    """(run_id, raw): the rows' lines put together in order, by SQL expressions.
+
+    Runs are ranges of a unique key, so that they stay as short and become more as a table grows.
+    """
     d = rows.select(F.expr(run).alias("run_id"), F.expr(order).alias("o"), F.expr(line).alias("l"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), "\n")
     return d.groupBy("run_id").agg(F.concat(F.lit(header), text, F.lit(footer)).alias("raw"))
 
 
 @query(
-    "SELECT run_id, rank, bytes, path, more FROM (SELECT p_partkey % 20 AS run_id, (p_size * 1024)::DOUBLE AS bytes, './' || p_brand || '/' || p_partkey AS path, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_size DESC, p_partkey) AS rank, "
-    "greatest(count(*) OVER (PARTITION BY p_partkey % 20) - 15, 0) AS more FROM part) WHERE rank <= 15"
+    "SELECT run_id, rank, bytes, path, more FROM (SELECT p_partkey // 500 AS run_id, (p_size * 1024)::DOUBLE AS bytes, './' || p_brand || '/' || p_partkey AS path, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_size DESC, p_partkey) AS rank, "
+    "greatest(count(*) OVER (PARTITION BY p_partkey // 500) - 15, 0) AS more FROM part) WHERE rank <= 15"
 )
 def du_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.du_top(runs_of(table(spark, sf_dir, "part"), "p_partkey % 20", "p_partkey", "concat(p_size, '.0K\t./', p_brand, '/', p_partkey)"))
+    return C.du_top(runs_of(table(spark, sf_dir, "part"), "p_partkey div 500", "p_partkey", "concat(p_size, '.0K\t./', p_brand, '/', p_partkey)"))
 
 
-@query("SELECT p_partkey % 20 AS run_id, lower(p_type) AS ext, count(*) AS files, sum(p_size)::BIGINT AS lines FROM part GROUP BY 1, 2")
+@query("SELECT p_partkey // 500 AS run_id, lower(p_type) AS ext, count(*) AS files, sum(p_size)::BIGINT AS lines FROM part GROUP BY 1, 2")
 def wc_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.wc_by_extension(runs_of(table(spark, sf_dir, "part"), "p_partkey % 20", "p_partkey", "concat('  ', p_size, ' src/f', p_partkey, '.', lower(p_type))", footer="\n  999 total"))
+    return C.wc_by_extension(runs_of(table(spark, sf_dir, "part"), "p_partkey div 500", "p_partkey", "concat('  ', p_size, ' src/f', p_partkey, '.', lower(p_type))", footer="\n  999 total"))
 
 
 @query(
-    "WITH f AS (SELECT p_partkey % 50 AS run_id, lower(p_type) AS ext, 'src/f' || p_partkey || '.' || lower(p_type) AS path, row_number() OVER (PARTITION BY p_partkey % 50, p_type ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_partkey % 50, p_type) AS files FROM part) "
+    "WITH f AS (SELECT p_partkey // 500 AS run_id, lower(p_type) AS ext, 'src/f' || p_partkey || '.' || lower(p_type) AS path, row_number() OVER (PARTITION BY p_partkey // 500, p_type ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_partkey // 500, p_type) AS files FROM part) "
     "SELECT run_id, ext, path, files, files - CASE WHEN files <= 5 THEN files ELSE 3 END AS more FROM f WHERE k <= CASE WHEN files <= 5 THEN files ELSE 3 END"
 )
 def find_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.find_by_extension(runs_of(table(spark, sf_dir, "part"), "p_partkey % 50", "p_partkey", "concat('src/f', p_partkey, '.', lower(p_type))"))
+    return C.find_by_extension(runs_of(table(spark, sf_dir, "part"), "p_partkey div 500", "p_partkey", "concat('src/f', p_partkey, '.', lower(p_type))"))
 
 
 @query(
-    "WITH m AS (SELECT o_orderkey % 10 AS run_id, 'src/' || (o_custkey % 7) || '.py' AS file, o_orderkey AS lineno, o_orderpriority || ' order' AS content, row_number() OVER (PARTITION BY o_orderkey % 10, o_custkey % 7 ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderkey % 10, o_custkey % 7) AS matches FROM orders), "
+    "WITH m AS (SELECT o_orderkey // 4000 AS run_id, 'src/' || (o_custkey % 7) || '.py' AS file, o_orderkey AS lineno, o_orderpriority || ' order' AS content, row_number() OVER (PARTITION BY o_orderkey // 4000, o_custkey % 7 ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderkey // 4000, o_custkey % 7) AS matches FROM orders), "
     "s AS (SELECT run_id, file, count(*) AS shown FROM m WHERE k <= 25 GROUP BY 1, 2), b AS (SELECT run_id, file, coalesce(sum(shown) OVER (PARTITION BY run_id ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) "
     "SELECT m.run_id, m.file, matches, lineno, content FROM m JOIN b USING (run_id, file) WHERE k <= 25 AND before < 100"
 )
 def grep_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.grep_grouped(runs_of(table(spark, sf_dir, "orders"), "o_orderkey % 10", "o_orderkey", "concat('src/', o_custkey % 7, '.py:', o_orderkey, ':', o_orderpriority, ' order')"))
+    return C.grep_grouped(runs_of(table(spark, sf_dir, "orders"), "o_orderkey div 4000", "o_orderkey", "concat('src/', o_custkey % 7, '.py:', o_orderkey, ':', o_orderpriority, ' order')"))
 
 
 @query(
-    "SELECT c_nationkey::BIGINT AS run_id, CASE c_custkey % 3 WHEN 0 THEN c_name || '/' WHEN 1 THEN c_name || ' ->' ELSE c_name || ' (' || c_custkey || 'B)' END AS shown, c_custkey % 3 = 0 AS is_dir FROM customer WHERE c_custkey < 1024"
+    "SELECT c_custkey // 500 AS run_id, CASE c_custkey % 3 WHEN 0 THEN c_name || '/' WHEN 1 THEN c_name || ' ->' ELSE c_name || ' (' || CASE "
+    "WHEN c_custkey >= 1073741824 THEN printf('%.1fG', c_custkey / 1073741824.0::DOUBLE) WHEN c_custkey >= 1048576 THEN printf('%.1fM', c_custkey / 1048576.0::DOUBLE) "
+    "WHEN c_custkey >= 1024 THEN printf('%.1fK', c_custkey / 1024.0::DOUBLE) ELSE c_custkey || 'B' END || ')' END AS shown, c_custkey % 3 = 0 AS is_dir FROM customer"
 )
 def ls_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat(case c_custkey % 3 when 0 then 'drwxr-xr-x' when 1 then 'lrwxrwxrwx' else '-rw-r--r--' end, '  1 user group ', c_custkey, ' Jan  1 10:00 ', c_name, case when c_custkey % 3 = 1 then ' -> /target' else '' end)"
-    d = runs_of(table(spark, sf_dir, "customer"), "cast(c_nationkey as bigint)", "c_custkey", line, header="total 8\ndrwxr-xr-x  2 user group 4096 Jan  1 10:00 .\n")
+    d = runs_of(table(spark, sf_dir, "customer"), "c_custkey div 500", "c_custkey", line, header="total 8\ndrwxr-xr-x  2 user group 4096 Jan  1 10:00 .\n")
     return C.ls_entries(d).select("run_id", "shown", "is_dir")
 
 
-@query("SELECT c_nationkey::BIGINT AS run_id, CASE WHEN c_custkey % 4 = 0 THEN '(dir)' ELSE lower(c_mktsegment) END AS ext, count(*) AS files, sum(c_custkey)::BIGINT AS bytes FROM customer GROUP BY 1, 2")
+@query("SELECT c_custkey // 500 AS run_id, CASE WHEN c_custkey % 4 = 0 THEN '(dir)' ELSE lower(c_mktsegment) END AS ext, count(*) AS files, sum(c_custkey)::BIGINT AS bytes FROM customer GROUP BY 1, 2")
 def tar_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat(case when c_custkey % 4 = 0 then 'drwxr-xr-x' else '-rw-r--r--' end, ' user/group ', c_custkey, ' 2024-01-01 10:00 a/', c_custkey, '.', lower(c_mktsegment))"
-    return C.tar_by_extension(runs_of(table(spark, sf_dir, "customer"), "cast(c_nationkey as bigint)", "c_custkey", line))
+    return C.tar_by_extension(runs_of(table(spark, sf_dir, "customer"), "c_custkey div 500", "c_custkey", line))
 
 
-@query("SELECT s_suppkey % 5 AS run_id, 'disk' || s_suppkey || ' 10G 5G 5G 50% /mnt/' || s_suppkey AS line FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT DISTINCT s_suppkey % 5, 'Filesystem Size Used Avail Use% Mounted on' FROM supplier")
+@query("SELECT s_suppkey // 100 AS run_id, 'disk' || s_suppkey || ' 10G 5G 5G 50% /mnt/' || s_suppkey AS line FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT DISTINCT s_suppkey // 100, 'Filesystem Size Used Avail Use% Mounted on' FROM supplier")
 def df_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat(case when s_suppkey % 3 = 0 then 'tmpfs' else concat('disk', s_suppkey) end, ' 10G 5G 5G 50% /mnt/', s_suppkey)"
-    return C.df_mounts(runs_of(table(spark, sf_dir, "supplier"), "s_suppkey % 5", "s_suppkey", line, header="Filesystem Size Used Avail Use% Mounted on\n")).select("run_id", "line")
+    return C.df_mounts(runs_of(table(spark, sf_dir, "supplier"), "s_suppkey div 100", "s_suppkey", line, header="Filesystem Size Used Avail Use% Mounted on\n")).select("run_id", "line")
 
 
 @query(
-    "WITH c AS (SELECT o_orderkey % 10 AS run_id, 'cmd' || (o_custkey % 40) AS cmd, count(*) AS files FROM orders GROUP BY 1, 2) SELECT run_id, cmd, files FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY files DESC, cmd) AS k, sum(files) OVER (PARTITION BY run_id) AS n FROM c) WHERE k <= 20 AND n > 100"
+    "WITH c AS (SELECT o_orderkey // 4000 AS run_id, 'cmd' || (o_custkey % 40) AS cmd, count(*) AS files FROM orders GROUP BY 1, 2) SELECT run_id, cmd, files FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY files DESC, cmd) AS k, sum(files) OVER (PARTITION BY run_id) AS n FROM c) WHERE k <= 20 AND n > 100"
 )
 def lsof_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat('cmd', o_custkey % 40, ' ', o_custkey, ' user 5u REG 1,4 100 ', o_orderkey, ' /tmp/f')"
-    return C.lsof_top(runs_of(table(spark, sf_dir, "orders"), "o_orderkey % 10", "o_orderkey", line, header="COMMAND PID USER FD TYPE DEVICE SIZE NODE NAME\n"))
+    return C.lsof_top(runs_of(table(spark, sf_dir, "orders"), "o_orderkey div 4000", "o_orderkey", line, header="COMMAND PID USER FD TYPE DEVICE SIZE NODE NAME\n"))
 
 
 @query(
-    "WITH s AS (SELECT c_custkey % 10 AS run_id, c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'LISTEN' WHEN 1 THEN 'ESTABLISHED' WHEN 2 THEN 'TIME_WAIT' ELSE 'CLOSE_WAIT' END AS state FROM customer), "
+    "WITH s AS (SELECT c_custkey // 500 AS run_id, c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'LISTEN' WHEN 1 THEN 'ESTABLISHED' WHEN 2 THEN 'TIME_WAIT' ELSE 'CLOSE_WAIT' END AS state FROM customer), "
     "k AS (SELECT *, row_number() OVER (PARTITION BY run_id, state ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY run_id, state) AS sockets FROM s) "
     "SELECT run_id, state, sockets, CASE WHEN state = 'LISTEN' THEN '0.0.0.0:' ELSE '10.0.0.1:' END || c_custkey AS peer, CASE WHEN state = 'LISTEN' THEN 0 ELSE greatest(sockets - 10, 0) END AS more FROM k WHERE state = 'LISTEN' OR k <= 10"
 )
 def netstat_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat('tcp        0      0 0.0.0.0:', c_custkey, '  10.0.0.1:', c_custkey, '   ', case c_nationkey % 4 when 0 then 'LISTEN' when 1 then 'ESTABLISHED' when 2 then 'TIME_WAIT' else 'CLOSE_WAIT' end)"
-    return C.netstat_states(runs_of(table(spark, sf_dir, "customer"), "c_custkey % 10", "c_custkey", line, header="Proto Recv-Q Send-Q Local Address Foreign Address State\n"))
+    return C.netstat_states(runs_of(table(spark, sf_dir, "customer"), "c_custkey div 500", "c_custkey", line, header="Proto Recv-Q Send-Q Local Address Foreign Address State\n"))
 
 
 @query(
-    "SELECT c_custkey % 10 AS run_id, CASE WHEN c_custkey % 5 = 0 THEN 'API_KEY_' ELSE 'VAR_' END || c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN '[REDACTED]' ELSE c_name END AS value FROM customer"
+    "SELECT c_custkey // 500 AS run_id, CASE WHEN c_custkey % 5 = 0 THEN 'API_KEY_' ELSE 'VAR_' END || c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN '[REDACTED]' ELSE c_name END AS value FROM customer"
 )
 def env_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat(case when c_custkey % 5 = 0 then 'API_KEY_' else 'VAR_' end, c_custkey, '=', c_name)"
-    return C.env_pairs(runs_of(table(spark, sf_dir, "customer"), "c_custkey % 10", "c_custkey", line, footer="\nSHLVL=1\n_=/usr/bin/env"))
+    return C.env_pairs(runs_of(table(spark, sf_dir, "customer"), "c_custkey div 500", "c_custkey", line, footer="\nSHLVL=1\n_=/usr/bin/env"))
 
 
 @query(
-    "SELECT s_suppkey % 5 AS run_id, left(md5(s_name), 12) AS id, 'team/app' || s_suppkey AS image, CASE WHEN s_suppkey % 4 = 0 THEN 'exited(1)' ELSE 'up' END AS status, s_name AS name FROM supplier"
+    "SELECT s_suppkey // 100 AS run_id, left(md5(s_name), 12) AS id, 'team/app' || s_suppkey AS image, CASE WHEN s_suppkey % 4 = 0 THEN 'exited(1)' ELSE 'up' END AS status, s_name AS name FROM supplier"
 )
 def docker_ps_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat(md5(s_name), '   registry.local:5000/team/app', s_suppkey, ':v1   \"run it\"   2 hours ago   ', case when s_suppkey % 4 = 0 then 'Exited (1) 3 hours ago' else 'Up 2 hours (healthy)' end, '   0.0.0.0:80->80/tcp   ', s_name)"
-    return C.docker_ps(runs_of(table(spark, sf_dir, "supplier"), "s_suppkey % 5", "s_suppkey", line, header="CONTAINER ID   IMAGE   COMMAND   CREATED   STATUS   PORTS   NAMES\n")).drop("pos")
+    return C.docker_ps(runs_of(table(spark, sf_dir, "supplier"), "s_suppkey div 100", "s_suppkey", line, header="CONTAINER ID   IMAGE   COMMAND   CREATED   STATUS   PORTS   NAMES\n")).drop("pos")
 
 
-@query("SELECT s_suppkey % 5 AS run_id, 'pod-' || s_suppkey || ' 1/1 Running ' || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE (s_suppkey % 5)::VARCHAR || ' ' END || '3d' AS shown FROM supplier")
+@query("SELECT s_suppkey // 50 AS run_id, 'pod-' || s_suppkey || ' 1/1 Running ' || CASE WHEN s_suppkey // 50 % 2 = 1 THEN '' ELSE (s_suppkey % 5)::VARCHAR || ' ' END || '3d' AS shown FROM supplier")
 def kubectl_pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = "concat('pod-', s_suppkey, '   1/1   Running   ', s_suppkey % 5, '   3d')"
-    return C.kubectl_pods(runs_of(table(spark, sf_dir, "supplier"), "s_suppkey % 5", "s_suppkey", line, header="NAME READY STATUS RESTARTS AGE\n")).drop("pos")
+    line = "concat('pod-', s_suppkey, '   1/1   Running   ', if((s_suppkey div 50) % 2 = 1, 0, s_suppkey % 5), '   3d')"
+    return C.kubectl_pods(runs_of(table(spark, sf_dir, "supplier"), "s_suppkey div 50", "s_suppkey", line, header="NAME READY STATUS RESTARTS AGE\n")).drop("pos")
 
 
 @query(
-    "WITH l AS (SELECT o_custkey % 20 AS run_id, o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 'ERROR at ' ELSE 'line ' END || o_orderkey AS line, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey % 20) AS n FROM orders), "
+    "WITH l AS (SELECT o_orderkey // 4000 AS run_id, o_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 'ERROR at ' ELSE 'line ' END || o_orderkey AS line, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderkey // 4000) AS n FROM orders), "
     "k AS (SELECT * FROM l WHERE pos < 20 OR pos >= n - 20 OR o_orderkey % 31 = 0) SELECT run_id, line, (pos - coalesce(lag(pos) OVER (PARTITION BY run_id ORDER BY pos), -1) - 1)::INT AS gap FROM k"
 )
 def docker_logs_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat(case when o_orderkey % 31 = 0 then 'ERROR at ' else 'line ' end, o_orderkey)"
-    return C.head_important_tail(runs_of(table(spark, sf_dir, "orders"), "o_custkey % 20", "o_orderkey", line)).select("run_id", "line", "gap")
+    return C.head_important_tail(runs_of(table(spark, sf_dir, "orders"), "o_orderkey div 4000", "o_orderkey", line)).select("run_id", "line", "gap")
 
 
-@query("SELECT o_custkey % 20 AS run_id, left(md5(o_orderkey::VARCHAR), 7) AS hash, 'Fix ' || o_orderpriority AS subject FROM orders")
+@query("SELECT o_orderkey // 4000 AS run_id, left(md5(o_orderkey::VARCHAR), 7) AS hash, 'Fix ' || o_orderpriority AS subject FROM orders")
 def git_log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat('commit ', md5(cast(o_orderkey as string)), '\nAuthor: A <a@b.c>\nDate:   ', o_orderdate, '\n\n    Fix ', o_orderpriority, '\n\n    Body text.\n')"
-    return C.git_log(runs_of(table(spark, sf_dir, "orders"), "o_custkey % 20", "o_orderkey", line)).drop("pos")
+    return C.git_log(runs_of(table(spark, sf_dir, "orders"), "o_orderkey div 4000", "o_orderkey", line)).drop("pos")
 
 
-@query("SELECT l_suppkey % 20 AS run_id, 'src/' || l_suppkey || '.py' AS file, sum(l_linenumber)::BIGINT AS added, count(*) AS deleted, count(*) AS hunks FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_orderkey // 2000 AS run_id, 'src/' || l_suppkey || '.py' AS file, sum(l_linenumber)::BIGINT AS added, count(*) AS deleted, count(*) AS hunks FROM lineitem GROUP BY 1, 2")
 def git_diff_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.collect_list(F.expr("concat('@@ -1 +1 @@\n-old\n', repeat('+new\n', l_linenumber), ' same')")), "\n").alias("hunks"))
+    d = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 2000").alias("r"), "l_suppkey").agg(F.array_join(F.collect_list(F.expr("concat('@@ -1 +1 @@\n-old\n', repeat('+new\n', l_linenumber), ' same')")), "\n").alias("hunks"))
     line = "concat('diff --git a/src/', l_suppkey, '.py b/src/', l_suppkey, '.py\nindex 1..2 100644\n--- a/src/', l_suppkey, '.py\n+++ b/src/', l_suppkey, '.py\n', hunks)"
-    return C.git_diff(runs_of(d, "l_suppkey % 20", "l_suppkey", line)).drop("pos")
+    return C.git_diff(runs_of(d, "r", "l_suppkey", line)).drop("pos")
 
 
 @query(
-    "WITH f AS (SELECT p_partkey % 20 AS run_id, CASE p_size % 3 WHEN 0 THEN 'staged' WHEN 1 THEN 'unstaged' ELSE 'untracked' END AS section, 'f' || p_partkey AS file, CASE WHEN p_size % 3 = 2 THEN '' ELSE 'modified' END AS action, "
-    "row_number() OVER (PARTITION BY p_partkey % 20, p_size % 3 ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_partkey % 20, p_size % 3) AS n FROM part) "
+    "WITH f AS (SELECT p_partkey // 500 AS run_id, CASE p_size % 3 WHEN 0 THEN 'staged' WHEN 1 THEN 'unstaged' ELSE 'untracked' END AS section, 'f' || p_partkey AS file, CASE WHEN p_size % 3 = 2 THEN '' ELSE 'modified' END AS action, "
+    "row_number() OVER (PARTITION BY p_partkey // 500, p_size % 3 ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_partkey // 500, p_size % 3) AS n FROM part) "
     "SELECT run_id, section, file, action, CASE WHEN section = 'untracked' THEN greatest(n - 10, 0) ELSE 0 END AS more FROM f WHERE section <> 'untracked' OR k <= 10"
 )
 def git_status_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = "case s when 0 then 'Changes to be committed:' when 1 then 'Changes not staged for commit:' else 'Untracked files:' end"
-    d = table(spark, sf_dir, "part").selectExpr("p_partkey % 20 as r", "p_size % 3 as s", "p_partkey", "concat('\t', case when p_size % 3 = 2 then '' else 'modified:   ' end, 'f', p_partkey) as l")
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey div 500 as r", "p_size % 3 as s", "p_partkey", "concat('\t', case when p_size % 3 = 2 then '' else 'modified:   ' end, 'f', p_partkey) as l")
     d = d.groupBy("r", "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "l"))), lambda x: x["l"]), "\n").alias("files"))
     return C.git_status(runs_of(d, "r", "s", f"concat({titles}, '\n  (use it)\n', files, '\n')", header="On branch main\n\n"))
 
 
-@query("SELECT p_partkey % 20 AS run_id, 'E' || p_size AS code, arg_min('src/' || p_partkey || '.py:' || p_size || ':1: E' || p_size || ' bad', p_partkey) AS first, count(*) - 1 AS more FROM part GROUP BY 1, 2")
+@query("SELECT p_partkey // 500 AS run_id, 'E' || p_size AS code, arg_min('src/' || p_partkey || '.py:' || p_size || ':1: E' || p_size || ' bad', p_partkey) AS first, count(*) - 1 AS more FROM part GROUP BY 1, 2")
 def ruff_first_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ruff_by_code(runs_of(table(spark, sf_dir, "part"), "p_partkey % 20", "p_partkey", "concat('src/', p_partkey, '.py:', p_size, ':1: E', p_size, ' bad')", footer="\nFound many errors.")).drop("pos")
+    return C.ruff_by_code(runs_of(table(spark, sf_dir, "part"), "p_partkey div 500", "p_partkey", "concat('src/', p_partkey, '.py:', p_size, ':1: E', p_size, ' bad')", footer="\nFound many errors.")).drop("pos")
 
 
 @query(
-    "WITH t AS (SELECT p_partkey % 20 AS run_id, p_partkey, 'src/' || (p_partkey % 9) || '.ts' AS file, p_partkey AS lineno, 'TS' || p_size AS code, p_brand AS message FROM part), "
+    "WITH t AS (SELECT p_partkey // 500 AS run_id, p_partkey, 'src/' || (p_partkey % 9) || '.ts' AS file, p_partkey AS lineno, 'TS' || p_size AS code, p_brand AS message FROM part), "
     "g AS (SELECT run_id, code, message, count(DISTINCT file) AS files, count(*) AS n, array_to_string(list_sort(list(DISTINCT file))[1:4], ',') AS sample FROM t GROUP BY 1, 2, 3), "
     "r AS (SELECT t.*, row_number() OVER (PARTITION BY t.run_id, t.file ORDER BY p_partkey) AS k FROM t JOIN g USING (run_id, code, message) WHERE files < 3) "
     "SELECT run_id, 'shared' AS kind, code, message, sample AS file, NULL::BIGINT AS lineno, n FROM g WHERE files >= 3 UNION ALL SELECT run_id, 'file', code, message, file, lineno, 1 FROM r WHERE k <= 3"
 )
 def tsc_cross_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tsc_findings(runs_of(table(spark, sf_dir, "part"), "p_partkey % 20", "p_partkey", "concat('src/', p_partkey % 9, '.ts(', p_partkey, ',5): error TS', p_size, ': ', p_brand)"))
+    return C.tsc_findings(runs_of(table(spark, sf_dir, "part"), "p_partkey div 500", "p_partkey", "concat('src/', p_partkey % 9, '.ts(', p_partkey, ',5): error TS', p_size, ': ', p_brand)"))
 
 
-@query("SELECT p_partkey % 20 AS run_id, '/src/' || (p_partkey % 7) || '.js' AS file, count_if(p_size % 2 = 0) AS errors, count_if(p_size % 2 = 1) AS warnings FROM part GROUP BY 1, 2 HAVING count_if(p_size % 2 = 0) > 0")
+@query("SELECT p_partkey // 500 AS run_id, '/src/' || (p_partkey % 7) || '.js' AS file, count_if(p_size % 2 = 0) AS errors, count_if(p_size % 2 = 1) AS warnings FROM part GROUP BY 1, 2 HAVING count_if(p_size % 2 = 0) > 0")
 def eslint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey % 20").alias("r"), F.expr("p_partkey % 7").alias("f")).agg(F.array_join(F.collect_list(F.expr("concat('  ', p_size, ':1  ', if(p_size % 2 = 0, 'error', 'warning'), '  message  rule')")), "\n").alias("x"))
+    d = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 500").alias("r"), F.expr("p_partkey % 7").alias("f")).agg(F.array_join(F.collect_list(F.expr("concat('  ', p_size, ':1  ', if(p_size % 2 = 0, 'error', 'warning'), '  message  rule')")), "\n").alias("x"))
     return C.eslint_files(runs_of(d, "r", "f", "concat('/src/', f, '.js\n', x, '\n')"))
 
 
-@query("SELECT p_partkey % 20 AS run_id, 'f' || p_partkey || '.sh' AS file, p_size::BIGINT AS lineno, 'SC' || p_partkey AS code, p_name AS message FROM part")
+@query("SELECT p_partkey // 500 AS run_id, 'f' || p_partkey || '.sh' AS file, p_size::BIGINT AS lineno, 'SC' || p_partkey AS code, p_name AS message FROM part")
 def shellcheck_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = "concat('In f', p_partkey, '.sh line ', p_size, ':\necho $x\n     ^-- SC', p_partkey, ' (info): ', p_name, '\n')"
-    return C.shellcheck_flat(runs_of(table(spark, sf_dir, "part"), "p_partkey % 20", "p_partkey", line)).drop("pos")
+    return C.shellcheck_flat(runs_of(table(spark, sf_dir, "part"), "p_partkey div 500", "p_partkey", line)).drop("pos")
 
 
 @query("SELECT n_regionkey::BIGINT AS run_id, n_nationkey || ' ' || n_name AS line FROM nation UNION ALL SELECT r_regionkey::BIGINT, 'id name' FROM region UNION ALL SELECT r_regionkey::BIGINT, '(some rows)' FROM region")
@@ -197,13 +204,60 @@ def aws_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     " UNION ALL ".join(
-        f"(SELECT p_partkey % 20 AS run_id, 'failure' AS kind, {bad} AS line FROM part WHERE p_size % 9 = 0 UNION ALL SELECT DISTINCT p_partkey % 20, 'summary', {end} FROM part)"
+        f"(SELECT p_partkey // 500 AS run_id, 'failure' AS kind, {bad} AS line FROM part WHERE p_size % 9 = 0 UNION ALL SELECT DISTINCT p_partkey // 500, 'summary', {end} FROM part)"
         for bad, end in (("'test t' || p_partkey || ' ... FAILED'", "'test result: FAILED. 9 passed'"), ("'FAILED tests/t.py::t' || p_partkey", "'=== 3 failed, 9 passed in 1s ==='"))
     )
 )
 def test_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for tool, bad, good, end in (("cargo", "'test t', p_partkey, ' ... FAILED'", "'test t', p_partkey, ' ... ok'", "test result: FAILED. 9 passed"), ("pytest", "'FAILED tests/t.py::t', p_partkey", "'tests/t.py::t', p_partkey, ' PASSED'", "=== 3 failed, 9 passed in 1s ===")):
-        runs = runs_of(table(spark, sf_dir, "part"), "p_partkey % 20", "p_partkey", f"if(p_size % 9 = 0, concat({bad}), concat({good}))", footer="\n" + end)
+        runs = runs_of(table(spark, sf_dir, "part"), "p_partkey div 500", "p_partkey", f"if(p_size % 9 = 0, concat({bad}), concat({good}))", footer="\n" + end)
         parts.append(C.failures_and_summary(runs, *C.TEST_RUNNERS[tool]).select("run_id", "kind", "line"))
     return parts[0].union(parts[1])
+
+
+#: Rules that the mixed commands fall back to.
+RULES = [Rule("lint", ("lint",), strip_patterns=("^ok ",), head_lines=2, tail_lines=1, dedupe=False, empty_message="lint: ok"), Rule("lint fix", ("lint fix",), strip_patterns=(".",), empty_message="lint: fixed")]
+#: Expected text of lines joined in order; ``want`` is null for lines that are left out.
+JOINED = "coalesce(string_agg(want, chr(10) ORDER BY k), '')"
+#: For each tool the command, what a row of part prints, what is kept of it, the expected text, and lines before and after; expressions are of either SQL.
+TOOLS = {
+    "npm": ("npm install left-pad", "CASE p_size % 4 WHEN 0 THEN 'npm warn deprecated x' WHEN 1 THEN concat('added ', k, ' packages') WHEN 2 THEN 'reify: x' ELSE '' END", "CASE WHEN p_size % 4 = 1 THEN line END", JOINED, "", ""),
+    "pip": ("pip install x", "CASE p_size % 3 WHEN 0 THEN 'Collecting x' WHEN 1 THEN '  Downloading y (1 MB)' ELSE concat('Successfully installed x', k) END", "CASE WHEN p_size % 3 = 2 THEN line END", JOINED, "", ""),
+    "go": ("go build ./...", "CASE p_size % 3 WHEN 0 THEN '# pkg' WHEN 1 THEN concat('a/', k, '.go:1:2: bad', chr(10), chr(9), 'have x') ELSE 'other' END", "CASE WHEN p_size % 3 = 1 THEN line END", JOINED, "", ""),
+    "golangci": ("golangci-lint run", "CASE WHEN p_size % 2 = 0 THEN concat('a/', k, '.go:1:2: bad') ELSE 'level=info' END", "CASE WHEN p_size % 2 = 0 THEN line END", JOINED, "", ""),
+    "images": ("docker images", "CASE WHEN p_size % 5 = 0 THEN '<none>   <none>   abc   2 days ago   5MB' ELSE concat('reg.io:5000/team/a', k, '   v', p_size, '   abc123   2 days ago   ', p_size, 'MB') END", "CASE WHEN p_size % 5 > 0 THEN concat('team/a', k, ':v', p_size, ' ', p_size, 'MB') END", JOINED, "REPOSITORY   TAG   IMAGE ID   CREATED   SIZE\n", ""),
+    "build": ("docker build .", "CASE p_size % 4 WHEN 0 THEN concat('Step 1/2 : RUN ', k) WHEN 1 THEN ' ---> Using cache' WHEN 2 THEN concat('error ', k) ELSE concat(' out ', k) END", "CASE p_size % 4 WHEN 0 THEN concat('  RUN ', k) WHEN 2 THEN line WHEN 3 THEN concat('    out ', k) END", JOINED, "", ""),
+    "compose": ("docker compose up", "CASE p_size % 3 WHEN 0 THEN concat(' Container a-', k, ' Started') WHEN 1 THEN 'abc1: Pull complete' ELSE concat('web | ', k) END", "CASE p_size % 3 WHEN 0 THEN trim(line) WHEN 2 THEN concat('  ', line) END", JOINED, "", ""),
+    "kubectl": ("kubectl get svc", "concat('svc-', k, '    ClusterIP   ', p_size, 'd')", "concat('svc-', k, ' ClusterIP ', p_size, 'd')", f"concat('NAME TYPE AGE', chr(10), {JOINED})", "NAME   TYPE   AGE\n", ""),
+    "terraform": ("terraform apply", "concat('a.b', k, ': ', CASE p_size % 3 WHEN 0 THEN 'Creating...' WHEN 1 THEN 'Still creating... [10s elapsed]' ELSE 'Creation complete after 1s' END)", "CASE WHEN p_size % 3 <> 1 THEN line END", JOINED, "", ""),
+    "clippy": ("cargo clippy", "CASE p_size % 3 WHEN 0 THEN concat('    Checking c', k, ' v1.0') WHEN 1 THEN concat('warning: unused ', k, chr(10), '  --> src/', k, '.rs:1:1', chr(10), '   |', chr(10)) ELSE 'note' END", "CASE WHEN p_size % 3 = 1 THEN concat('warning: unused ', k, chr(10), '  --> src/', k, '.rs:1:1') END", JOINED, "", ""),
+    "cargo": ("cargo build", "CASE WHEN p_size % 3 = 0 THEN concat('   Compiling c', k, ' v1') ELSE 'warning: x' END", "CASE WHEN p_size % 3 = 0 THEN line END", "concat(coalesce(concat(arg_max(want, k), chr(10)), ''), '    Finished dev', chr(10), 'error: bad', chr(10), '  why')", "", "\n    Finished dev\nerror: bad\n  why\n\nnote"),
+    "caveats": ("brew install x", "concat('hint ', k)", "line", f"concat('==> Caveats', chr(10), {JOINED}, chr(10), '🍺  /opt/x')", "==> Pouring x\n==> Caveats\n", "\n==> Summary\n🍺  /opt/w\n🍺  /opt/x"),
+    "brew": ("brew list", "concat('pkg', k, '   1.0')", "concat('pkg', k)", "concat(count(*), ' installed: ', string_agg(want, ', ' ORDER BY k))", "", ""),
+    "redis": ("redis-cli info", "CASE p_size % 3 WHEN 0 THEN concat('# Section', k) WHEN 1 THEN concat('db', k, ':keys=1') ELSE concat('noise:', k) END", "CASE WHEN p_size % 3 < 2 THEN line END", JOINED, "", ""),
+    "push": ("git push origin", "'Everything up-to-date'", "line", "'ok push'", "", ""),
+    "mkdir": ("mkdir a", "''", "line", "'ok'", "", ""),
+    "curl": ("curl -v h", "CASE p_size % 5 WHEN 0 THEN '* TLS x' WHEN 1 THEN '> GET / HTTP/1.1' WHEN 2 THEN '< Server: x' WHEN 3 THEN '< HTTP/1.1 200' ELSE concat('{', k, '}') END", "CASE WHEN p_size % 5 IN (1, 3, 4) THEN line END", f"concat('* Connected to h', chr(10), {JOINED})", "* Connected to h\n", ""),
+    "cat": ("cat src/x.py", "concat('line ', k)", "concat(lpad(CAST(rn AS VARCHAR), 4, ' '), '  ', line)", f"CASE WHEN count(*) <= 100 THEN concat('src/x.py  (', count(*), ' lines)', chr(10), {JOINED}) ELSE concat('src/x.py  (', count(*), ' lines, showing first 40 + last 20)', chr(10), string_agg(want, chr(10) ORDER BY k) FILTER (rn <= 40), chr(10), chr(10), '... (', count(*) - 60, ' lines omitted) ...', chr(10), chr(10), string_agg(want, chr(10) ORDER BY k) FILTER (rn > n - 20)) END", "", ""),
+    "lint": ("lint all", "CASE WHEN p_size % 2 = 0 THEN 'ok x' ELSE concat('bad ', k) END", "CASE WHEN p_size % 2 = 1 THEN line END", f"CASE WHEN count(want) = 0 THEN 'lint: ok' WHEN count(want) <= 3 THEN {JOINED} ELSE concat(list(want ORDER BY k) FILTER (want IS NOT NULL)[1], chr(10), list(want ORDER BY k) FILTER (want IS NOT NULL)[2], chr(10), list(want ORDER BY k DESC) FILTER (want IS NOT NULL)[1]) END", "", ""),
+    "fix": ("lint fix all", "concat('bad ', k)", "line", "'lint: fixed'", "", ""),
+    "other": ("other tool", "concat('at /home/ann/', k)", "concat('at /home/user/', k)", JOINED, "", ""),
+}
+HOW = {"lint": "rule", "fix": "rule", "other": "none"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT run_id, '{tool}' AS tool, '{HOW.get(tool, 'native')}' AS how, {text} AS compressed FROM (SELECT *, {want} AS want FROM (SELECT *, {line} AS line FROM "
+        "(SELECT p_partkey // 200 AS run_id, p_partkey AS k, p_size, row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) AS rn, count(*) OVER (PARTITION BY p_partkey // 200) AS n FROM part))) GROUP BY run_id"
+        for tool, (_, line, want, text, _, _) in TOOLS.items()
+    )
+)
+def compress_mixed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    lines = [F.struct(F.lit(t).alias("tool"), F.lit(c[0]).alias("command"), F.expr(c[1]).alias("line"), F.lit(c[4]).alias("header"), F.lit(c[5]).alias("footer")) for t, c in TOOLS.items()]
+    d = rows.select(F.expr("k div 200").alias("run_id"), "k", F.inline(F.array(*lines)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
+    runs = d.groupBy("run_id", "tool", "command", "header", "footer").agg(text.alias("text")).withColumn("raw", F.concat("header", "text", "footer"))
+    return tools.compress(runs, RULES).select("run_id", "tool", "how", "compressed")

@@ -1,4 +1,4 @@
-"""Compressor queries over whole tables, where the registered SQL takes less."""
+"""Compressor queries over whole tables, and text filters of single tools."""
 
 import duckdb
 
@@ -7,29 +7,14 @@ from brevia.functions import text as T
 
 SF = "/root/testdata/sf0.01"
 
-#: ls_listing's registered SQL takes customers below 1024 only; this takes all, with sizes as T.format_size gives them.
-LS_LISTING = """
-SELECT c_nationkey::BIGINT AS run_id, CASE c_custkey % 3 WHEN 0 THEN c_name || '/' WHEN 1 THEN c_name || ' ->' ELSE c_name || ' (' || CASE
-  WHEN c_custkey >= 1073741824 THEN printf('%.1fG', c_custkey / 1073741824.0::DOUBLE) WHEN c_custkey >= 1048576 THEN printf('%.1fM', c_custkey / 1048576.0::DOUBLE)
-  WHEN c_custkey >= 1024 THEN printf('%.1fK', c_custkey / 1024.0::DOUBLE) ELSE c_custkey || 'B' END || ')' END AS shown, c_custkey % 3 = 0 AS is_dir FROM customer
-"""
-
-
 def test_ls_listing_takes_every_customer(spark):
     con = duckdb.connect()
     con.execute(f"create view customer as select * from read_parquet('{SF}/customer.parquet')")
     got = sorted((r["run_id"], r["shown"], r["is_dir"]) for r in compressor_queries.ls_listing(spark, SF).collect())
-    assert got == sorted(con.execute(LS_LISTING).fetchall())
+    assert got == sorted(con.execute(compressor_queries.ORACLE_SQL["ls_listing"]).fetchall())
     assert len(got) == con.execute("select count(*) from customer").fetchone()[0] and any(x[1].endswith("K)") for x in got)
 
 
-def test_ls_listing_keeps_the_rows_of_its_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"create view customer as select * from read_parquet('{SF}/customer.parquet')")
-    got = {(r["run_id"], r["shown"], r["is_dir"]) for r in compressor_queries.ls_listing(spark, SF).collect()}
-    assert set(con.execute(compressor_queries.ORACLE_SQL["ls_listing"]).fetchall()) <= got
-
-
 def test_sizes_of_every_unit(spark):
     sizes = {1023: "1023B", 1024: "1.0K", 1280: "1.2K", 1792: "1.8K", 2**20: "1.0M", 5 * 2**18: "1.2M", 2**30: "1.0G", 7 * 2**28: "1.8G", 2**41: "2048.0G"}
     d = spark.createDataFrame([(x,) for x in sizes], "size long")
