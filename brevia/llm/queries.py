@@ -17,4 +17,84 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _host(url: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), '{upper}', '{upper.lower()}'), '')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+
+
+def _node(url: str) -> str:
+    rest = f"regexp_extract({url}, '^.*?://[^/?#]*([^#]*)', 1, 's')"
+    return f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || CASE WHEN starts_with({rest}, '/') THEN '' ELSE '/' END || {rest} END"
+
+
+def _ruled(host: str, path: str, what: str) -> str:
+    found = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{v if what == 'verdict' else h + p}'" for v, h, p in found)
+    return f"(CASE {cases} END)"
+
+
+def _tags(name: str, has: str, link: str) -> str:
+    """Links of the tags of a name that have an attribute; (url, link)."""
+    tags = rf"SELECT url, unnest(regexp_extract_all(html, '(?is)<{name}\b[^>]*')) AS tag FROM pages"
+    return f"SELECT url, regexp_extract(tag, '{link}', 1, 'is') AS link FROM ({tags}) WHERE regexp_matches(tag, '{has}', 'is')"
+
+
+# \x27 is a single quote
+_CANONICAL = r"\brel\s*=\s*[\"\x27]?canonical\b", r"\bhref\s*=\s*[\"\x27]?([^\"\x27\s>]+)"
+_REFRESH = r"\bhttp-equiv\s*=\s*[\"\x27]?refresh\b", r"\bcontent\s*=\s*[\"\x27]?[^\"\x27>]*?url\s*=\s*[\"\x27]?([^\"\x27\s>]+)"
+_URL_FILTER = f"""
+WITH RECURSIVE links AS (
+  {_tags("link", *_CANONICAL)} UNION ALL {_tags("meta", *_REFRESH)}
+), found AS (
+  SELECT *, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS base, regexp_extract(url, '^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1, 's') AS folder FROM links WHERE link <> ''
+), whole AS (
+  SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN base || link
+    WHEN ends_with(folder, '/') THEN folder || link ELSE folder || '/' || link END AS target FROM found
+), named AS (SELECT {_node("url")} AS a, {_node("target")} AS b FROM whole
+), edges AS (SELECT a, b FROM named WHERE a <> b UNION SELECT b, a FROM named WHERE a <> b
+), reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a
+), seen AS (SELECT node, {_ruled(_host("'http://' || other"), _path("'http://' || other"), "verdict")} AS verdict FROM (SELECT node, other FROM reach UNION SELECT node, node FROM reach)
+), fate AS (SELECT node, bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false) AS blocked FROM seen GROUP BY node
+), p AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, {_node("url")} AS node FROM pages)
+SELECT page_id, host, path, {_ruled("host", "path", "rule")} AS rule, coalesce({_ruled("host", "path", "verdict")}, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fate USING (node)
+"""
+
+_SHINGLE_JOIN = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 90 * (na.n + nb.n - shared)
+), reach AS (SELECT a AS node, b AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a
+), lowest AS (SELECT node, min(other) AS other FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(lowest.other, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN lowest ON lowest.node = w.doc_id
+"""
+
+#: Bytes are two hexadecimal digits each, so that strings of 50 bytes are 100 digits; they are cut from pieces, as cutting from long texts takes long.
+_REPEATED_STRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, sha256(encode(coalesce(text, ''))) AS whole FROM documents
+), pieces AS (SELECT doc_id, 1000 * j AS base, substr(x, 2000 * j + 1, 2098) AS part FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2 - 50) // 1000 + 1)) AS j FROM d WHERE len(x) >= 100)
+), starts AS (SELECT doc_id, base + i AS i, substr(part, 2 * i + 1, 100) AS s FROM (SELECT doc_id, base, part, unnest(range(0, len(part) // 2 - 49)) AS i FROM pieces)
+), lowest AS (SELECT s, min(doc_id) AS low FROM starts GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (SELECT doc_id, i FROM starts JOIN lowest USING (s) WHERE low < doc_id
+), fresh AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS f FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM fresh) GROUP BY doc_id, k
+), gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans
+), kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS left_over FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_spans IS NULL THEN whole ELSE sha256(unhex(left_over)) END AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_repeated_strings": _REPEATED_STRINGS, "op8_url_filter": _URL_FILTER, "op9_shingle_join": _SHINGLE_JOIN}
