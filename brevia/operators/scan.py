@@ -57,14 +57,18 @@ def _anchored(prefixes: tuple[str, ...]) -> str:
     return "^(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in prefixes) + ")"
 
 
-def is_compressible(command: Column) -> Column:
-    c = T.trimmed(command)
+def is_compressible(command: Column, trimmed: bool = False) -> Column:
+    """Whether a command has a beginning that can be compressed; one that is ``trimmed`` already isn't trimmed again."""
+    c = command if trimmed else T.trimmed(command)
     return c.rlike(_anchored(COMPRESSIBLE)) | c.isin(*[p.strip() for p in COMPRESSIBLE])
 
 
-def classify(command: Column) -> Column:
-    """The first category with a beginning of the command, else null."""
-    c = T.trimmed(command)
+def classify(command: Column, trimmed: bool = False) -> Column:
+    """The first category with a beginning of the command, else null.
+
+    Where the command is an expression, it's copied into every test; give a plain column that is ``trimmed`` already.
+    """
+    c = command if trimmed else T.trimmed(command)
     out = F.lit(None).cast("string")
     for name, prefixes in reversed(CATEGORIES.items()):
         out = F.when(c.rlike(_anchored(prefixes)), F.lit(name)).otherwise(out)
@@ -77,9 +81,10 @@ def base_command(command: Column) -> Column:
 
 def opportunities(commands: DataFrame, command: str = "command") -> DataFrame:
     """(command, category, count) of compressible commands not proxied yet, most frequent first."""
-    d = commands.filter(~F.startswith(F.col(command), F.lit(PREFIX + " "))).select(base_command(F.col(command)).alias("command"))
-    d = d.filter(is_compressible(F.col("command"))).groupBy("command").agg(F.count("*").alias("count"))
-    return d.withColumn("category", classify(F.col("command"))).filter("category is not null").select("command", "category", "count").orderBy(F.desc("count"), "command")
+    d = commands.filter(~F.startswith(F.col(command), F.lit(PREFIX + " ")))
+    d = T.once(d.select(F.col(command).alias("__c")), command=base_command(F.col("__c")))
+    d = d.filter(is_compressible(F.col("command"), trimmed=True)).groupBy("command").agg(F.count("*").alias("count"))
+    return T.once(d, category=classify(F.col("command"), trimmed=True)).filter("category is not null").select("command", "category", "count").orderBy(F.desc("count"), "command")
 
 
 def report(found: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:
