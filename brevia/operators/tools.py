@@ -243,7 +243,7 @@ def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str =
     has no filter. Filters that give rows (``operators.compressors``) aren't among a tool's own here. Runs aren't shuffled; rules are few and broadcast. Columns named like ``out``, ``how`` or ``rule`` are replaced.
     """
     d = runs.drop(out, "how", "rule")
-    words = F.split(F.trim(F.coalesce(F.col(command), F.lit(""))), r"\s+")
+    words = F.split(T.trimmed(F.coalesce(F.col(command), F.lit(""))), r"\s+")
     word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
     d = T.once(d, __tool=word(0), __sub=word(1), __raw=T.strip_ansi(F.coalesce(F.col(raw), F.lit(""))))
     path = F.coalesce(F.element_at(words, -1), F.lit(""))

@@ -4,6 +4,7 @@ import duckdb
 
 from brevia import compressor_queries
 from brevia.functions import text as T
+from brevia.operators import tools
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,3 +20,18 @@ def test_sizes_of_every_unit(spark):
     sizes = {1023: "1023B", 1024: "1.0K", 1280: "1.2K", 1792: "1.8K", 2**20: "1.0M", 5 * 2**18: "1.2M", 2**30: "1.0G", 7 * 2**28: "1.8G", 2**41: "2048.0G"}
     d = spark.createDataFrame([(x,) for x in sizes], "size long")
     assert {r["size"]: r["shown"] for r in d.select("size", T.format_size(d["size"]).alias("shown")).collect()} == sizes
+
+
+def test_compress_on_odd_runs(spark):
+    rows = [
+        (1, None, None), (2, "", ""), (3, "git push", None), (4, None, "token=abcdefgh12345678 at /home/ann/x"), (5, "cat  a.txt", "  "), (6, "rm x", ""), (7, "npm i", "\n \n"),
+        (8, "go build", "nothing wrong"), (9, "go build", "nothing wrong"), (10, "docker images", "no table"), (11, "kubectl get svc", "error: x"), (12, "brew list", ""), (13, "\tcargo clippy ", "    Checking x\n"),
+        (14, "cat b", "\n".join(map(str, range(101)))), (15, "pip install x", "\x1b[1mSuccessfully installed x\x1b[0m\r\n"),
+    ]
+    d = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "run_id long, command string, raw string, rule string, how string")
+    got = {r["run_id"]: (r["how"], r["compressed"]) for r in tools.compress(d).collect()}
+    assert len(got) == 15 and all(x[1] is not None for x in got.values())
+    assert got[1] == got[2] == ("none", "") and got[3] == ("native", "ok push") and got[4][0] == "none" and "abcdefgh" not in got[4][1] and "/home/user" in got[4][1]
+    assert [got[i][1] for i in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15)] == ["(empty file: a.txt)", "ok", "", "nothing wrong", "nothing wrong", "no table", "error: x", "", "ok", "Successfully installed x"]
+    assert got[14][1].startswith("b  (101 lines, showing first 40 + last 20)\n   1  0\n") and "\n\n... (41 lines omitted) ...\n\n  82  81\n" in got[14][1]
+    assert tools.compress(d.limit(0)).count() == 0
