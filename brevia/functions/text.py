@@ -6,6 +6,7 @@ so that classes are Unicode's and only a line feed ends a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,11 @@ def once(d: DataFrame, **columns: Column) -> DataFrame:
     return d.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value, which is evaluated once however often ``f`` uses it, within lambdas too."""
+    return F.transform(F.array(value), lambda x: f(x))[0]
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends (LF or CRLF); a last end makes no further line, and an empty text has none."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1))
@@ -138,6 +144,36 @@ def drop_lines(array: Column, *patterns: str) -> Column:
     return F.filter(array, lambda x: ~x.rlike(alternation))
 
 
+def blocks(text: Column, head: str, stop: str | None = None, others: str = "") -> Column:
+    """Blocks of lines: one that starts like ``head`` with those up to the next that starts like ``stop`` (or ``head``), or a line ``others`` alone.
+
+    The patterns see the whole text, so their white space must not match a line feed. The repetition is possessive: long
+    blocks take neither stack nor backtracking.
+    """
+    alone = rf"|^(?:{others})" if others else ""
+    return F.regexp_extract_all(joined(lines(text)), F.lit(rf"(?dm)^(?:{head}).*(?:\n(?!{stop or head}).*)*+{alone}"), F.lit(0))
+
+
+def grouped(rows: Column) -> Column:
+    """Structs with a field ``key`` first, as (key, rows): sorted by all their fields, then cut where the key changes."""
+
+    def cut(a: Column) -> Column:
+        starts = F.filter(F.transform(a, lambda _, i: i + 1), lambda i: (i == 1) | (F.get(a, i - 1)["key"] != F.get(a, i - 2)["key"]))
+        group = lambda s: lambda x, i: F.struct(F.get(a, x - 1)["key"].alias("key"), F.slice(a, x, F.coalesce(F.get(s, i + 1), F.size(a) + 1) - x).alias("rows"))
+        return let(starts, lambda s: F.transform(s, group(s)))
+
+    return let(F.array_sort(rows), cut)
+
+
+def right(text: Column, width: int) -> Column:
+    """Padded on the left; longer texts stay whole."""
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+
+
+def left(text: Column, width: int) -> Column:
+    return F.rpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+
+
 def keep_lines(array: Column, *patterns: str) -> Column:
     alternation = U + "|".join(f"(?:{p})" for p in patterns)
     return F.filter(array, lambda x: x.rlike(alternation))

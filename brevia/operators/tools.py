@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brevia.functions import text as T
+from brevia.operators import findings as S
+from brevia.operators import listings as L
 from brevia.plans import rules as R
 
 # What the tools print.
@@ -99,7 +101,7 @@ def done(subcommand: Column) -> Filter:
 
 def go_build(raw: Column) -> Column:
     """Errors with the tabbed lines that follow."""
-    return _or_input(T.joined(F.regexp_extract_all(raw, F.lit(rf"(?m)^(?!{GO_NO_ERROR}){GO_ERROR}.*(?:\n\t.*)*"), F.lit(0))), raw)
+    return _or_input(T.joined(F.regexp_extract_all(raw, F.lit(rf"(?m)^(?!{GO_NO_ERROR}){GO_ERROR}.*(?:\n\t.*)*+"), F.lit(0))), raw)
 
 
 def golangci_lint(raw: Column) -> Column:
@@ -151,7 +153,7 @@ def kubectl_get(raw: Column) -> Column:
 
 def brew_install(raw: Column) -> Column:
     """The first block of caveats and the last line of something installed."""
-    block = F.regexp_extract(raw, rf"(?m)^==> Caveats$(?:\n(?!==> Caveats$|{BREW_HEADER[1:-1]}$|{BREW_DONE[1:]}).*)*", 0)
+    block = F.regexp_extract(raw, rf"(?m)^==> Caveats$(?:\n(?!==> Caveats$|{BREW_HEADER[1:-1]}$|{BREW_DONE[1:]}).*)*+", 0)
     installed = F.element_at(F.concat(F.array(F.lit("")), F.filter(T.lines(raw), lambda x: x.rlike(BREW_DONE))), -1)
     return _or_input(T.joined(F.filter(F.concat(T.lines(block), F.array(installed)), lambda x: ~T.blank(x))), raw)
 
@@ -168,16 +170,16 @@ def cargo_build(raw: Column) -> Column:
     """
     text = T.joined(F.filter(T.lines(raw), lambda x: ~x.rlike(CARGO_FETCH)))
     step = r"[ \t]*(?:Compiling|Finished) "
-    found = F.regexp_extract_all(text, F.lit(rf"(?m)^{step}.*$|^error.*(?:\n(?![ \t]*$|{step}|error).*)*(?:\n[ \t]*$)?"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(rf"(?m)^{step}.*$|^error.*(?:\n(?![ \t]*$|{step}|error).*)*+(?:\n[ \t]*$)?"), F.lit(0))
     crate = lambda x: x.rlike(r"\A\s*Compiling ")
-    kept = F.filter(found, lambda x, i: ~crate(x) | ~crate(F.coalesce(F.get(found, i + 1), F.lit("Compiling x"))) & crate(x) & F.get(found, i + 1).isNotNull())
+    kept = T.let(found, lambda a: F.filter(a, lambda x, i: ~crate(x) | ~crate(F.coalesce(F.get(a, i + 1), F.lit("Compiling x"))) & crate(x) & F.get(a, i + 1).isNotNull()))
     out = F.regexp_replace(T.joined(kept), r"\A\n+|\n+\z", "")
     return F.when(~text.rlike(rf"(?m)^{step}"), raw).otherwise(_or_input(out, raw))
 
 
 def cargo_clippy(raw: Column) -> Column:
     """Findings with the places they point at; ``ok`` if a check found nothing."""
-    finding = rf"(?m)^{CLIPPY_GENERATED}.*$|^{CLIPPY_FINDING}.*(?:\n(?!\s*$|[ \t]*Finished |{CLIPPY_FINDING}).*)*"
+    finding = rf"(?m)^{CLIPPY_GENERATED}.*$|^{CLIPPY_FINDING}.*(?:\n(?!\s*$|[ \t]*Finished |{CLIPPY_FINDING}).*)*+"
     blocks = F.regexp_extract_all(raw, F.lit(finding), F.lit(0))
     out = T.joined(F.flatten(F.transform(blocks, lambda b: F.filter(F.split(b, "\n"), lambda x, i: (i == 0) | x.rlike(r"^\s+-->")))))
     checked = raw.rlike(r"(?m)^\s*(?:Checking|Finished|Downloading|Downloaded|Fetching|Fetch) ")
@@ -210,44 +212,113 @@ def curl(raw: Column) -> Column:
     return F.when(T.blank(raw), F.lit("")).when(~verbose, raw).otherwise(T.trimmed(T.joined(kept)))
 
 
-def native(tool: Column, subcommand: Column, argument: Column, raw: Column) -> Column:
-    """The filter of the tool and its subcommand; null where there is none."""
-    install, sub = ("install", "i", "add", "ci"), subcommand
-    cases: list[tuple[Column, Filter]] = [
-        (tool.isin("cat", "head", "tail", "bat"), read(argument)),
+#: Filters by family: the tools, then for each case its subcommands (none: any) and its filter, which may take the run's words.
+def _families(words: Column) -> list[tuple[Column, Filter]]:
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    tool, sub, third = word(0), word(1), word(2)
+    path = F.coalesce(F.element_at(words, -1), F.lit(""))
+    is_build = F.array_contains(words, "build")
+    docker, cluster, packages = tool.isin("docker", "podman", "nerdctl"), tool.isin("kubectl", "k"), tool.isin("npm", "pnpm", "yarn", "bun")
+    return [
+        (tool.isin("cat", "head", "tail", "bat"), read(F.when(F.size(words) > 1, path).otherwise(F.lit("")))),
         (tool.isin("touch", "mkdir", "cp", "mv", "rm", "chmod", "chown", "ln"), silent),
-        ((tool == "git") & ~sub.isin("", "log", "status", "diff"), done(sub)),
+        ((tool == "git") & (sub == "log"), L.git_log),
+        ((tool == "git") & (sub == "status"), L.git_status),
+        ((tool == "git") & (sub == "diff"), L.git_diff),
+        (tool == "git", done(sub)),
+        ((tool == "gh") & (sub == "pr") & (third == "list"), L.gh_pr_list),
+        ((tool == "gh") & (sub == "pr") & (third == "view"), L.gh_pr_view),
+        ((tool == "gh") & (sub == "issue") & (third == "list"), L.gh_issue_list),
+        ((tool == "gh") & (sub == "issue") & (third == "view"), L.gh_issue_view),
+        ((tool == "gh") & (sub == "run") & (third == "list"), L.gh_run_list),
+        ((tool == "gh") & (sub == "run") & (third == "view"), L.gh_run_view),
+        (tool == "ls", L.ls(F.when(sub == "", F.lit(".")).otherwise(sub))),
+        (tool.isin("grep", "rg", "ag"), L.grep),
+        (tool.isin("find", "fd"), L.find),
+        (tool == "diff", L.diff),
+        (tool == "du", L.du),
+        (tool == "df", L.df),
+        (tool == "wc", L.wc),
+        (tool == "curl", curl),
+        (tool == "dig", L.dig),
+        (tool == "lsof", L.lsof),
+        (tool.isin("netstat", "ss"), L.netstat),
+        (tool == "openssl", L.openssl),
+        (tool == "tar", L.tar),
+        (tool == "smart", L.smart),
+        (tool.isin("env", "printenv"), L.env()),
+        ((tool == "cargo") & sub.isin("test", "t", "nextest"), S.cargo_test),
         ((tool == "cargo") & sub.isin("build", "b", "check", "c"), cargo_build),
         ((tool == "cargo") & (sub == "clippy"), cargo_clippy),
-        (tool.isin("npm", "pnpm", "yarn", "bun") & sub.isin(*install), npm_install),
+        (packages & sub.isin("install", "i", "add", "ci"), npm_install),
+        (packages & sub.isin("test", "t", "run"), S.npm_test),
+        (tool.isin("vitest", "jest"), S.vitest),
+        (tool.isin("tsc", "tsgo"), S.tsc),
+        (tool == "vite", lambda raw: S.vite(raw, is_build)),
+        (tool == "next", lambda raw: S.next_js(raw, is_build)),
+        (tool == "prisma", lambda raw: S.prisma(raw, words)),
+        ((tool == "pytest") | (tool == "python") & (sub == "-m") & (third == "pytest"), S.pytest),
+        (tool == "ruff", S.ruff),
         (tool.isin("pip", "pip3") & (sub == "install") | (tool == "uv") & (sub == "pip"), pip_install),
+        ((tool == "go") & (sub == "test"), S.go_test),
         ((tool == "go") & sub.isin("build", "install"), go_build),
         (tool == "golangci-lint", golangci_lint),
-        ((tool == "docker") & (sub == "build"), docker_build),
-        ((tool == "docker") & (sub == "images"), docker_images),
-        ((tool == "docker") & (sub == "compose") | (tool == "docker-compose"), docker_compose),
-        ((tool == "kubectl") & (sub == "get") & (argument != "pods"), kubectl_get),
+        (docker & (sub == "ps"), L.docker_ps),
+        (docker & (sub == "build"), docker_build),
+        (docker & sub.isin("images", "image"), docker_images),
+        (docker & (sub == "logs"), L.docker_logs),
+        (docker & (sub == "compose") | (tool == "docker-compose"), docker_compose),
+        (docker & (sub == "inspect"), lambda raw: raw),
+        (cluster & (sub == "get") & (third == "pods"), L.kubectl_pods),
+        (cluster & (sub == "get"), kubectl_get),
+        (cluster & (sub == "describe"), L.kubectl_describe),
+        (cluster & sub.isin("logs", "log"), L.kubectl_logs),
+        (tool.isin("terraform", "tf", "tofu") & (sub == "plan"), L.terraform_plan),
         (tool.isin("terraform", "tf", "tofu") & (sub == "apply"), terraform_apply),
+        (tool == "aws", L.aws),
+        (tool.isin("make", "gmake"), S.make),
         ((tool == "brew") & sub.isin("install", "upgrade", "reinstall"), brew_install),
         ((tool == "brew") & sub.isin("list", "ls", "leaves"), brew_list),
-        ((tool == "redis-cli") & (sub == "info"), redis_info),
-        (tool == "curl", curl),
-    ]
-    return reduce(lambda out, c: out.when(c[0], c[1](raw)), cases[1:], F.when(cases[0][0], cases[0][1](raw)))
+        (tool.isin("apt", "apt-get") & sub.isin("install", "upgrade", "dist-upgrade"), S.apt_install),
+        (tool == "eslint", S.eslint),
+        (tool == "shellcheck", S.shellcheck),
+        ((tool == "dotnet") & (sub == "test"), S.dotnet_test),
+        (tool.isin("gradle", "gradlew", "./gradlew"), S.gradle),
+        ((tool == "rspec") | (tool == "bundle") & (sub == "exec") & (third == "rspec"), S.rspec),
+        (tool == "psql", S.psql),
+        ((tool == "redis-cli") & sub.isin("info", "INFO"), redis_info),
+    ]
+
+
+def native(words: Column, raw: Column) -> Column:
+    """The filter that a command's words ask for, the first that fits; null where there is none.
 
+    Each filter has the text as a variable of its own, so that only the one that fits is evaluated and generated code stays small.
+    """
+    return reduce(lambda out, c: F.when(c[0], T.let(raw, c[1])).otherwise(out), reversed(_families(words)), F.lit(None).cast("string"))
+
+
+def prints_json(words: Column) -> Column:
+    """Whether a command's words ask for a nested value that is worth compacting."""
+    tool, sub = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    args = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    return F.coalesce(tool.isin("docker", "podman", "nerdctl") & (sub == "inspect") | tool.isin("kubectl", "k") & (sub == "get") & (T.output_format(args) == "json"), F.lit(False))
 
-def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str = "command", raw: str = "raw", out: str = "compressed", agent: str = "unknown", ultra: bool = False) -> DataFrame:
+
+def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str = "command", raw: str = "raw", out: str = "compressed", agent: str = "unknown", ultra: bool = False, nested: bool = True) -> DataFrame:
     """Add ``out`` and ``how``: a tool's own filter, else the rule whose beginning fits best, else the text with secrets and paths redacted.
 
     What filters and rules give is capped by the agent's policy and passes the last clean-up. Null texts count as empty, and a null command
-    has no filter. Filters that give rows (``operators.compressors``) aren't among a tool's own here. Runs aren't shuffled; rules are few and broadcast. Columns named like ``out``, ``how`` or ``rule`` are replaced.
+    has no filter. ``nested`` compacts JSON that a command prints, in Python workers that get only such texts; without it all stays in the JVM.
+    Runs aren't shuffled; rules are few and broadcast. Columns named like ``out``, ``how`` or ``rule`` are replaced.
     """
     d = runs.drop(out, "how", "rule")
-    words = F.split(T.trimmed(F.coalesce(F.col(command), F.lit(""))), r"\s+")
-    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-    d = T.once(d, __tool=word(0), __sub=word(1), __raw=T.strip_ansi(F.coalesce(F.col(raw), F.lit(""))))
-    path = F.coalesce(F.element_at(words, -1), F.lit(""))
-    own = native(F.col("__tool"), F.col("__sub"), F.when(F.col("__tool") == "kubectl", word(2)).otherwise(path), F.col("__raw"))
+    words = F.filter(F.split(T.trimmed(F.coalesce(F.col(command), F.lit(""))), r"\s+"), lambda w: w != "")
+    d = T.once(d, __words=words, __raw=T.strip_progress_noise(T.strip_ansi(F.coalesce(F.col(raw), F.lit("")))))
+    own = native(F.col("__words"), F.col("__raw"))
+    if nested:
+        d = d.withColumn("__json", S.compact_json(F.when(prints_json(F.col("__words")), F.col("__raw"))))
+        own = F.coalesce(F.col("__json"), own)
     d = T.once(d, __own=own)
     if rules:
         d = R.match_rules(d, R.rule_table(d.sparkSession, rules), command).withColumn("rule", F.when(F.col("__own").isNull(), F.col("rule")))
@@ -258,4 +329,4 @@ def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str =
     capped = T.post_pass(T.output_cap(F.col("__found"), *T.POLICIES[agent]), ultra)
     how = F.when(F.col("__own").isNotNull(), "native").when(F.col("rule").isNotNull(), "rule").otherwise("none")
     done = found.withColumns({out: F.when(F.col("__found").isNotNull(), capped).otherwise(T.sanitize_output(F.col("__raw"))), "how": how})
-    return done.drop("__tool", "__sub", "__raw", "__own", "__ruled", "__found", "rule")
+    return done.drop("__words", "__raw", "__json", "__own", "__ruled", "__found", "rule")
