@@ -244,20 +244,74 @@ TOOLS = {
     "fix": ("lint fix all", "concat('bad ', k)", "line", "'lint: fixed'", "", ""),
     "other": ("other tool", "concat('at /home/ann/', k)", "concat('at /home/user/', k)", JOINED, "", ""),
 }
+#: As ``TOOLS``: version control, listings, clusters, test runners, linters and builds.
+MORE_TOOLS = {
+    "git_log": ("git log", "concat('commit ', lpad(concat('', k), 7, '0'), 'abc', chr(10), 'Author: a', chr(10), 'Date: d', chr(10), chr(10), '    fix ', k, chr(10))", "concat('  ', lpad(concat('', k), 7, '0'), ' fix ', k)", f"concat(count(*), ' commits', chr(10), {JOINED})", "", ""),
+    "git_diff": ("git diff", "concat('diff --git a/f', k, ' b/f', k, chr(10), '+++ b/f', k, chr(10), '@@ -1 +1 @@', chr(10), '-old', chr(10), '+new', chr(10), '+', p_size)", "concat('  f', k, ' (+2 -1, 1 hunks)')", f"concat(count(*), ' files changed, +', 2 * count(*), ' -', count(*), chr(10), {JOINED})", "", ""),
+    "git_status": ("git status", "concat(chr(9), 'modified:   f', k)", "concat('  modified: f', k)", f"concat('branch: main', chr(10), chr(10), 'unstaged (', count(*), '):', chr(10), {JOINED})", "On branch main\nChanges not staged for commit:\n  (use \"git add\")\n", ""),
+    "diff": ("diff a b", "concat('diff --git a/f', k, ' b/f', k, chr(10), '@@ -1,2 +1,2 @@', chr(10), '-a', chr(10), '+b', chr(10), '+c', chr(10), '+d')", "concat(chr(10), 'f', k, '  (+3 -1, 1 hunks)', chr(10), '  -a', chr(10), '  +b', chr(10), '  +c', chr(10), '  ... +1 more changes')", f"concat(count(*), ' files changed, +', 3 * count(*), ' -', count(*), chr(10), {JOINED})", "", ""),
+    "gh": ("gh pr list", "concat('  #', k, '  Title ', p_size, '  br  OPEN  about')", "concat('#', k, ' Title ', p_size, ' [OPEN]')", JOINED, "Showing 9 of 9\n", ""),
+    "ls": ("ls src", "concat('-rw-r--r--  1 a b ', p_size, ' Jan  1 10:00 f', k)", "concat('  f', k, ' (', p_size, 'B)')", f"concat('src  (1 dirs, ', count(*), ' files)', chr(10), '  d/', chr(10), {JOINED})", "total 8\ndrwxr-xr-x  2 a b 64 Jan  1 10:00 .\ndrwxr-xr-x  2 a b 64 Jan  1 10:00 d\n", ""),
+    "grep": ("grep x", "concat('a.py:', k, ': x')", "concat('  ', k, ':x')", "CASE WHEN count(*) <= 100 THEN string_agg(line, chr(10) ORDER BY k) ELSE concat(count(*), ' matches across 1 files', chr(10), chr(10), 'a.py  (', count(*), ' matches)', chr(10), string_agg(want, chr(10) ORDER BY k) FILTER (rn <= 25), chr(10), '  ... +', count(*) - 25, ' more') END", "", ""),
+    "find": ("find .", "concat('f', k, '.py')", "concat('  f', k, '.py')", "CASE WHEN count(*) <= 10 THEN string_agg(line, chr(10) ORDER BY k) ELSE concat(count(*), ' files found', chr(10), chr(10), '.py (', count(*), '):', chr(10), string_agg(want, chr(10) ORDER BY k) FILTER (rn <= 3), chr(10), '  ... +', count(*) - 3, ' more') END", "", ""),
+    "du": ("du -h", "concat(p_size, 'K', chr(9), 'd', k)", "concat(lpad(concat(p_size, 'K'), 8, ' '), '  d', k)", "CASE WHEN count(*) <= 15 THEN string_agg(want, chr(10) ORDER BY p_size DESC, k) ELSE concat('top 15 of ', count(*), ' entries (sorted by size):', chr(10), '  ', array_to_string(list_slice(list(want ORDER BY p_size DESC, k), 1, 15), concat(chr(10), '  ')), chr(10), '  ... and ', count(*) - 15, ' more entries') END", "", ""),
+    "df": ("df -h", "CASE WHEN p_size % 2 = 0 THEN concat('tmpfs 1G /run/', k) ELSE concat('/dev/sda 1G /mnt/', k) END", "CASE WHEN p_size % 2 = 1 THEN line END", "concat('Filesystem Size Mounted', chr(10), '/dev/root 9G /', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''), CASE WHEN count(want) < count(*) THEN concat(chr(10), '# (', count(*) - count(want), ' virtual/internal mounts omitted)') ELSE '' END)", "Filesystem Size Mounted\n/dev/root 9G /\n", ""),
+    "wc": ("wc -l", "concat('  ', p_size, ' f', k, '.py')", "concat('  ', lpad(concat('', p_size), 8, ' '), '  f', k, '.py')", "CASE WHEN count(*) = 1 THEN concat('f', max(k), '.py: ', max(p_size), ' lines') WHEN count(*) <= 10 THEN concat('total: 77 lines', chr(10), string_agg(want, chr(10) ORDER BY k)) ELSE concat('total: 77 lines across ', count(*), ' files', chr(10), chr(10), 'by extension:', chr(10), '  .py           ', lpad(concat('', sum(p_size)), 8, ' '), ' lines  (', count(*), ' files)', chr(10), chr(10), 'top files:', chr(10), array_to_string(list_slice(list(want ORDER BY p_size DESC, k), 1, 5), chr(10))) END", "", "\n  77 total"),
+    "smart": ("smart a.py", "CASE p_size % 4 WHEN 0 THEN '# c' WHEN 1 THEN concat('def f', k, '():') WHEN 2 THEN '    x' ELSE '' END", "CASE WHEN p_size % 4 = 1 THEN concat('  L', rn + 40, ': def f', k, '():') END", "concat(count(*) + 41, ' lines (', 41 + count(*) FILTER (p_size % 4 IN (1, 2)), ' code, ', count(*) FILTER (p_size % 4 = 3), ' blank, ', count(*) FILTER (p_size % 4 = 0), ' comments)', coalesce(concat(chr(10), chr(10), 'Definitions (', nullif(count(want), 0), '):'), ''), coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''))", "x\n" * 40, "\nx"),
+    "dig": ("dig h", "concat('h', k, '. 60 IN A 10.0.0.', p_size)", "line", JOINED, "; <<>> DiG\n;; ANSWER SECTION:\n", "\n\n;; Query time: 1 msec"),
+    "lsof": ("lsof", "concat('py ', k, ' me 3u REG 1,2 100 55 /tmp/x')", "concat('py ', k, ' me 3u REG /tmp/x')", f"concat('COMMAND PID USER FD TYPE NAME', chr(10), CASE WHEN count(*) <= 100 THEN {JOINED} ELSE concat('(', count(*), ' rows across 1 processes; showing top by fd count)', chr(10), '  py               ', count(*), ' fds') END)", "COMMAND PID USER FD TYPE DEVICE SIZE/OFF NODE NAME\n", ""),
+    "netstat": ("ss -tn", "concat('LISTEN 0 128 10.0.0.1:', k, ' *:*')", "concat('  tcp 10.0.0.1:', k)", f"concat('LISTEN (', count(*), '):', chr(10), {JOINED}, chr(10), chr(10), 'ESTAB (1):', chr(10), '  tcp -> b')", "", "\nESTAB 0 0 a b"),
+    "env": ("env", "concat('V', lpad(concat('', k), 9, '0'), CASE p_size % 2 WHEN 0 THEN '_TOKEN=abc' ELSE concat('=', p_size) END)", "CASE p_size % 2 WHEN 0 THEN concat('V', lpad(concat('', k), 9, '0'), '_TOKEN=[REDACTED]') ELSE line END", f"concat({JOINED}, chr(10), '# (1 internal/tooling vars omitted)')", "VSCODE_PID=1\n", ""),
+    "docker_ps": ("docker ps", "concat(lpad(concat('', k), 14, '0'), '   reg.io:5000/a/b:1   x   2 h   Up 2 hours   80/tcp   w', k)", "concat(substr(lpad(concat('', k), 14, '0'), 1, 12), ' a/b up w', k)", JOINED, "CONTAINER ID   IMAGE   COMMAND   CREATED   STATUS   PORTS   NAMES\n", ""),
+    "docker_logs": ("docker logs w", "concat('line ', k)", "line", "CASE WHEN count(*) <= 40 THEN string_agg(line, chr(10) ORDER BY k) ELSE concat(string_agg(want, chr(10) ORDER BY k) FILTER (rn <= 20), chr(10), '... (', count(*) - 40, ' lines omitted)', chr(10), string_agg(want, chr(10) ORDER BY k) FILTER (rn > n - 20)) END", "", ""),
+    "kubectl_logs": ("kubectl logs w", "concat(CASE WHEN p_size % 7 = 0 THEN 'error ' ELSE 'line ' END, k)", "CASE WHEN rn > 20 AND rn <= n - 20 AND p_size % 7 = 0 THEN line END", "CASE WHEN count(*) <= 40 THEN string_agg(line, chr(10) ORDER BY k) ELSE concat(string_agg(line, chr(10) ORDER BY k) FILTER (rn <= 20), chr(10), '[... ', count(*) - 40 - count(want), ' lines omitted', CASE WHEN count(want) > 0 THEN concat(', ', count(want), ' errors/warnings kept') ELSE '' END, ' ...]', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''), chr(10), string_agg(line, chr(10) ORDER BY k) FILTER (rn > n - 20)) END", "", ""),
+    "pods": ("kubectl get pods", "concat('p', k, '   1/1   Running   ', p_size % 2, '   5d')", "concat('p', k, ' 1/1 Running ', p_size % 2, ' 5d')", f"concat('NAME READY STATUS RESTARTS AGE', chr(10), {JOINED}, chr(10), 'q 1/1 Running 3 5d')", "NAME   READY   STATUS   RESTARTS   AGE\n", "\nq   1/1   Running   3   5d"),
+    "plan": ("terraform plan", "concat('  # a.b', k, ' will be created', chr(10), '  + resource \"a\" \"b', k, '\" {', chr(10), '      + id = (known after apply)', chr(10), '      + n = ', p_size, chr(10), '    }')", "concat('  # a.b', k, ' will be created', chr(10), '  + resource \"a\" \"b', k, '\" {', chr(10), '      + n = ', p_size)", f"concat({JOINED}, chr(10), 'Plan: 1 to add')", "a.b: Refreshing state... [id=1]\n", "\n\nPlan: 1 to add"),
+    "cargo_test": ("cargo test", "CASE WHEN p_size % 5 = 0 THEN concat('test t', k, ' ... FAILED') ELSE concat('test t', k, ' ... ok') END", "CASE WHEN p_size % 5 = 0 THEN line END", "concat('running 9 tests', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''), chr(10), chr(10), 'test result: FAILED. 1 passed')", "running 9 tests\n", "\ntest result: FAILED. 1 passed"),
+    "pytest": ("python -m pytest", "concat('FAILED tests/t.py::t', k)", "line", f"concat({JOINED}, chr(10), '=== 9 failed in 1s ===')", "== test session starts ==\n=== short test summary info ===\n", "\n=== 9 failed in 1s ==="),
+    "rspec": ("rspec", "concat('rspec ./t.rb:', k)", "line", f"concat('Failures:', chr(10), chr(10), '  1) x', chr(10), chr(10), '9 examples, 1 failure', chr(10), 'Failed examples:', chr(10), {JOINED})", ".F\nFailures:\n\n  1) x\n\n9 examples, 1 failure\n\nFailed examples:\n\n", ""),
+    "go_test": ("go test ./...", "CASE WHEN p_size % 3 = 0 THEN concat('--- FAIL: T', k, chr(10), '    t.go:1: bad') ELSE concat('--- PASS: T', k, chr(10), '    t.go:2: fine') END", "CASE WHEN p_size % 3 = 0 THEN line END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), 'FAIL', chr(9), 'pkg', chr(9), '1s')", "=== RUN T\n", "\nFAIL\tpkg\t1s"),
+    "npm_test": ("npm test", "concat(CASE WHEN p_size % 3 = 0 THEN ' FAIL  ' ELSE ' PASS  ' END, 'a', k, '.js', chr(10), '  ✓ fine')", "CASE WHEN p_size % 3 = 0 THEN concat(' FAIL  a', k, '.js') END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), 'Tests: 9')", "", "\nTests: 9"),
+    "dotnet": ("dotnet test", "CASE WHEN p_size % 3 = 0 THEN concat('  X T', k) ELSE concat('  P T', k) END", "CASE WHEN p_size % 3 = 0 THEN line END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), 'Failed!  - Failed: 1')", "Build started 1\n", "\nFailed!  - Failed: 1"),
+    "gradle": ("gradle build", "concat('> Task :t', k, CASE p_size % 3 WHEN 0 THEN ' UP-TO-DATE' WHEN 1 THEN ' FAILED' ELSE '' END)", "CASE WHEN p_size % 3 > 0 THEN line END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), '* What went wrong:', chr(10), 'bad', chr(10), 'BUILD FAILED in 3s')", "Starting Gradle Daemon\n", "\n* What went wrong:\nbad\n\nother\nBUILD FAILED in 3s"),
+    "make": ("make all", "CASE p_size % 3 WHEN 0 THEN concat('gcc -c f', k, '.c') WHEN 1 THEN concat('f', k, '.c:1:2: error: bad', chr(10), '    int x;', chr(10), '    ^') ELSE concat('f', k, '.c:1: warning: w', chr(10), '    int y;') END", "CASE p_size % 3 WHEN 1 THEN line WHEN 2 THEN concat('f', k, '.c:1: warning: w') END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), 'make: *** [all] Error 1', chr(10), count(*) FILTER (p_size % 3 = 0), ' compiled, ', count(*) FILTER (p_size % 3 = 2), ' warnings, ', count(*) FILTER (p_size % 3 = 1), ' errors')", "make[1]: Entering directory 'x'\n", "\nmake: *** [all] Error 1"),
+    "apt": ("apt install x", "concat(CASE p_size % 3 WHEN 0 THEN 'Unpacking ' WHEN 1 THEN 'Get:1 ' ELSE 'W: ' END, 'p', k)", "CASE WHEN p_size % 3 = 2 THEN line END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), '1 newly installed')", "Suggested packages:\n  a\n  b\n", "\n1 newly installed"),
+    "ruff": ("ruff check", "concat('f', k, '.py:1:2: F1', ' bad')", "line", "concat('F1 f', min(k), '.py:1: bad', CASE WHEN count(*) > 1 THEN concat(' (+', count(*) - 1, ' more)') ELSE '' END, chr(10), 'Found 9 errors.')", "", "\nFound 9 errors."),
+    "tsc": ("tsc", "concat('f', k, '.ts(', p_size, ',1): error TS1: bad ', k)", "concat('f', k, '.ts (1 error)', chr(10), '  ', p_size, ':TS1: bad ', k)", f"concat('TS2 in 3 files: same', chr(10), '  a.ts:1, b.ts:2, c.ts:3', chr(10), {JOINED}, chr(10), 'Found 9 errors.')", "a.ts(1,1): error TS2: same\nb.ts(2,1): error TS2: same\nc.ts(3,1): error TS2: same\n", "\nFound 9 errors."),
+    "eslint": ("eslint .", "concat('/a/f', k, '.js', chr(10), '  1:2  ', CASE WHEN p_size % 2 = 0 THEN 'error' ELSE 'warning' END, '  Bad  no-x', chr(10))", "CASE WHEN p_size % 2 = 0 THEN concat('/a/f', k, '.js  [1 error]', chr(10), '  1:2  error  Bad  no-x') END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), '✖ 9 problems')", "", "\n✖ 9 problems"),
+    "shellcheck": ("shellcheck a.sh", "concat('In a.sh line ', k, ':', chr(10), 'x', chr(10), '  ^-- SC2086: Quote')", "concat('a.sh:', k, ': SC2086: Quote')", JOINED, "", ""),
+    "psql": ("psql", "concat(' ', k, ' | a  ', p_size)", "concat(k, ' a ', p_size)", f"concat('id name', chr(10), {JOINED}, chr(10), '(9 rows)')", " id | name\n----+-----\n", "\n(9 rows)\n"),
+    "vite": ("vite build", "CASE WHEN p_size % 2 = 0 THEN concat('dist/a', k, '.js  1.2 kB │ gzip: 1 kB') ELSE 'transforming...' END", "CASE WHEN p_size % 2 = 0 THEN line END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), '✓ built in 1s')", "", "\n✓ built in 1s"),
+    "next": ("next dev", "CASE WHEN p_size % 2 = 0 THEN ' ○ Compiling /p ...' ELSE concat(' ✓ Compiled /q', k, ' in 1s') END", "CASE WHEN p_size % 2 = 1 THEN line END", "concat(' ○ Compiling /p ...', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''))", " ○ Compiling /p ...\n", ""),
+    "prisma": ("prisma generate", "CASE WHEN p_size % 2 = 0 THEN concat('built in ', k) ELSE 'x' END", "CASE WHEN p_size % 2 = 0 THEN line END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), '✔ Generated Prisma Client')", "", "\n✔ Generated Prisma Client"),
+    "inspect": ("docker inspect x", "concat(k, ',')", "CASE WHEN rn <= 16 THEN CAST(k AS VARCHAR) END", "concat('[', chr(10), array_to_string(list(want ORDER BY k) FILTER (want IS NOT NULL), concat(',', chr(10))), ',', chr(10), CASE WHEN count(*) >= 16 THEN concat('\"…', count(*) - 15, ' more…\"') ELSE '0' END, chr(10), ']')", "[", "\n0]"),
+}
 HOW = {"lint": "rule", "fix": "rule", "other": "none"}
 
 
-@query(
-    " UNION ALL ".join(
+
+def _mixed_sql(all_tools: dict) -> str:
+    return " UNION ALL ".join(
         f"SELECT run_id, '{tool}' AS tool, '{HOW.get(tool, 'native')}' AS how, {text} AS compressed FROM (SELECT *, {want} AS want FROM (SELECT *, {line} AS line FROM "
         "(SELECT p_partkey // 200 AS run_id, p_partkey AS k, p_size, row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) AS rn, count(*) OVER (PARTITION BY p_partkey // 200) AS n FROM part))) GROUP BY run_id"
-        for tool, (_, line, want, text, _, _) in TOOLS.items()
+        for tool, (_, line, want, text, _, _) in all_tools.items()
     )
-)
-def compress_mixed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _mixed(spark: SparkSession, sf_dir: str, all_tools: dict) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
-    lines = [F.struct(F.lit(t).alias("tool"), F.lit(c[0]).alias("command"), F.expr(c[1]).alias("line"), F.lit(c[4]).alias("header"), F.lit(c[5]).alias("footer")) for t, c in TOOLS.items()]
+    lines = [F.struct(F.lit(t).alias("tool"), F.lit(c[0]).alias("command"), F.expr(c[1]).alias("line"), F.lit(c[4]).alias("header"), F.lit(c[5]).alias("footer")) for t, c in all_tools.items()]
     d = rows.select(F.expr("k div 200").alias("run_id"), "k", F.inline(F.array(*lines)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
     runs = d.groupBy("run_id", "tool", "command", "header", "footer").agg(text.alias("text")).withColumn("raw", F.concat("header", "text", "footer"))
     return tools.compress(runs, RULES).select("run_id", "tool", "how", "compressed")
+
+
+@query(_mixed_sql(TOOLS))
+def compress_mixed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, TOOLS)
+
+
+@query(_mixed_sql(MORE_TOOLS))
+def compress_more_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, MORE_TOOLS)

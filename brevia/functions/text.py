@@ -154,6 +154,11 @@ def blocks(text: Column, head: str, stop: str | None = None, others: str = "") -
     return F.regexp_extract_all(joined(lines(text)), F.lit(rf"(?dm)^(?:{head}).*(?:\n(?!{stop or head}).*)*+{alone}"), F.lit(0))
 
 
+def block_lines(block: Column) -> Column:
+    """Lines of a block, an empty last one too."""
+    return F.split(block, "\n", -1)
+
+
 def grouped(rows: Column) -> Column:
     """Structs with a field ``key`` first, as (key, rows): sorted by all their fields, then cut where the key changes."""
 

@@ -8,6 +8,7 @@ is found stays as it is, but for the filters that say otherwise.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,7 +92,7 @@ def cargo_test(raw: Column) -> Column:
         return _bare(F.transform(array, gap))
 
     found = T.blocks(raw, "failures:|---- ", "test result:", r"test result:.*|test .+ \.\.\. FAILED$|running .*")
-    kept = F.filter(_flat(found, T.lines), lambda x: ~x.rlike(CARGO_PASSED))
+    kept = F.filter(_flat(found, T.block_lines), lambda x: ~x.rlike(CARGO_PASSED))
     return F.when(T.blank(raw), F.lit("")).when(~raw.rlike(r"(?m)^test result:"), raw).otherwise(T.let(kept, of))
 
 
@@ -106,7 +107,7 @@ def rspec(raw: Column) -> Column:
     """The summary; with failures these, the summary and the failed examples."""
     failures = r"|Failures:$(?:\n(?!Failed examples:|\d+ examples?,).*)*+|\d+ examples?,.*"
     found = T.blocks(raw, "Failed examples:", r"Failures:$|\d+ examples?,", failures[1:])
-    lines = lambda b: F.filter(T.lines(b), lambda x, i: ~F.startswith(b, F.lit("Failed examples:")) | (i == 0) | F.startswith(x, F.lit("rspec ")))
+    lines = lambda b: F.filter(T.block_lines(b), lambda x, i: ~F.startswith(b, F.lit("Failed examples:")) | (i == 0) | F.startswith(x, F.lit("rspec ")))
     return F.when(T.blank(raw), F.lit("")).when(raw.rlike(RSPEC_FAILED), _or_input(_bare(_flat(found, lines)), raw)).otherwise(_summary(raw, RSPEC_SUMMARY))
 
 
@@ -119,7 +120,7 @@ def go_test(raw: Column) -> Column:
 def _suites(raw: Column, head: str, stop: str, noise: str) -> Column:
     """Lines that aren't noise; empty ones only within blocks of failed suites. May give nothing."""
     found = T.blocks(raw, head, stop, r".*\S.*")
-    return F.when(T.blank(raw), F.lit("")).otherwise(_end(T.joined(F.filter(_flat(found, T.lines), lambda x: ~x.rlike(noise)))))
+    return F.when(T.blank(raw), F.lit("")).otherwise(_end(T.joined(F.filter(_flat(found, T.block_lines), lambda x: ~x.rlike(noise)))))
 
 
 def npm_test(raw: Column) -> Column:
@@ -142,7 +143,7 @@ def dotnet_test(raw: Column) -> Column:
 def gradle(raw: Column) -> Column:
     """Tasks that ran or failed, the result and sections on errors."""
     found = T.blocks(raw, GRADLE_SECTION, "$", GRADLE_KEPT)
-    kept = F.filter(_flat(found, T.lines), lambda x: ~x.rlike(GRADLE_NOISE))
+    kept = F.filter(_flat(found, T.block_lines), lambda x: ~x.rlike(GRADLE_NOISE))
     return F.when(~raw.rlike(GRADLE_SEEN), raw).otherwise(_or_input(_bare(kept), raw))
 
 
@@ -284,41 +285,50 @@ def prisma(raw: Column, words: Column) -> Column:
 # Nested values
 
 
-def _short(value: object, items: int, keys: int) -> object:
-    if isinstance(value, list):
-        kept = [_short(x, items, keys) for x in value[:items]]
-        return kept + [f"…{len(value) - items} more…"] if len(value) > items else kept
-    if isinstance(value, dict):
-        short = {k: _short(value[k], items, keys) for k in sorted(value)[:keys]}
-        if len(value) > keys:
-            short["__truncated__"] = f"…{len(value) - keys} more keys…"
-        return dict(sorted(short.items()))
-    return value
+def json_shortener(items: int = 16, keys: int = 32) -> Callable[[str | None], str | None]:
+    """A function of one JSON text: a line for each element of its top level, keys sorted, long arrays and objects cut; null if it is none.
 
-
-def _no_constant(name: str) -> object:
-    raise ValueError(name)
-
-
-def short_json(text: str | None, items: int = 16, keys: int = 32) -> str | None:
-    """A JSON text with a line for each element of its top level, keys sorted, long arrays and objects cut; null if it is none.
-
-    A helper of one value: nothing built in walks a value of unknown depth.
+    Nothing built in walks a value of unknown depth. Its parts are local, so that it is sent whole to workers that lack this package.
     """
-    dump = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-    try:
-        v = _short(json.loads(text, parse_constant=_no_constant), items, keys) if text is not None else None
-    except (ValueError, RecursionError):
-        return None
-    if text is None:
-        return None
-    if isinstance(v, list) and v:
-        return "[\n" + ",\n".join(map(dump, v)) + "\n]"
-    if isinstance(v, dict) and v:
-        return "{\n" + ",\n".join(f"{dump(k)}:{dump(x)}" for k, x in v.items()) + "\n}"
-    return dump(v)
-
-
-@F.pandas_udf(StringType())
-def compact_json(text: pd.Series) -> pd.Series:
-    return pd.Series([short_json(t if isinstance(t, str) else None) for t in text], dtype=object)
+
+    def short(value: object) -> object:
+        if isinstance(value, list):
+            kept = [short(x) for x in value[:items]]
+            return kept + [f"…{len(value) - items} more…"] if len(value) > items else kept
+        if isinstance(value, dict):
+            cut = {k: short(value[k]) for k in sorted(value)[:keys]}
+            if len(value) > keys:
+                cut["__truncated__"] = f"…{len(value) - keys} more keys…"
+            return dict(sorted(cut.items()))
+        return value
+
+    def no_constant(name: str) -> object:
+        raise ValueError(name)
+
+    def dump(value: object) -> str:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+    def shown(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            v = short(json.loads(text, parse_constant=no_constant))
+        except (ValueError, RecursionError):
+            return None
+        if isinstance(v, list) and v:
+            return "[\n" + ",\n".join(map(dump, v)) + "\n]"
+        if isinstance(v, dict) and v:
+            return "{\n" + ",\n".join(f"{dump(k)}:{dump(x)}" for k, x in v.items()) + "\n}"
+        return dump(v)
+
+    return shown
+
+
+def compact_json(text: Column) -> Column:
+    """``json_shortener`` of each text, a batch at a time."""
+    shown = json_shortener()
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([shown(t if isinstance(t, str) else None) for t in texts], dtype=object)
+
+    return F.pandas_udf(batch, StringType())(text)

@@ -480,7 +480,7 @@ def kubectl_describe(raw: Column) -> Column:
 
     # A heading of its own stands for the part before the first one.
     found = T.blocks(_say(":\n", raw), r"(?:[^ \t\n].*)?:[ \t]*$")
-    return _or_raw(raw, _flat(found, lambda b: T.let(T.lines(b), section)), lambda a: T.let(_end(T.joined(a)), lambda x: F.when(x == "", raw).otherwise(x)))
+    return _or_raw(raw, _flat(found, lambda b: T.let(T.block_lines(b), section)), lambda a: T.let(_end(T.joined(a)), lambda x: F.when(x == "", raw).otherwise(x)))
 
 
 def terraform_plan(raw: Column) -> Column:

@@ -212,8 +212,8 @@ def curl(raw: Column) -> Column:
     return F.when(T.blank(raw), F.lit("")).when(~verbose, raw).otherwise(T.trimmed(T.joined(kept)))
 
 
-#: Filters by family: the tools, then for each case its subcommands (none: any) and its filter, which may take the run's words.
 def _families(words: Column) -> list[tuple[Column, Filter]]:
+    """Filters with the commands that they are for."""
     word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
     tool, sub, third = word(0), word(1), word(2)
     path = F.coalesce(F.element_at(words, -1), F.lit(""))
@@ -295,7 +295,8 @@ def native(words: Column, raw: Column) -> Column:
 
     Each filter has the text as a variable of its own, so that only the one that fits is evaluated and generated code stays small.
     """
-    return reduce(lambda out, c: F.when(c[0], T.let(raw, c[1])).otherwise(out), reversed(_families(words)), F.lit(None).cast("string"))
+    (condition, first), *others = _families(words)
+    return reduce(lambda out, c: out.when(c[0], T.let(raw, c[1])), others, F.when(condition, T.let(raw, first)))
 
 
 def prints_json(words: Column) -> Column:

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia.functions import text as T
@@ -128,9 +128,22 @@ def apply_rule(d: DataFrame, rule: Rule, text: str = "raw", out: str = "compress
     return d.withColumn(out, kept).drop("__a", "__t")
 
 
+def filtered(raw: Column, rule: Rule, strip_ansi_first: bool = True) -> Column:
+    """What ``apply_rule`` adds, as an expression over the text."""
+    a = T.drop_lines(T.lines(T.strip_ansi(raw) if strip_ansi_first else raw), *rule.strip_patterns)
+    if rule.dedupe:
+        a = T.let(a, T.dedupe_repeated_lines)
+    a = T.let(a, lambda x: T.window(x, rule.head_lines, rule.tail_lines) if rule.max_tokens is None else T.head_tail_by_tokens(x, rule.max_tokens))
+    if rule.max_line_chars is not None:
+        a = F.transform(a, lambda x: F.left(x, F.lit(rule.max_line_chars)))
+    return T.let(T.joined(a), lambda t: F.when(T.blank(raw) | T.blank(t), F.lit(rule.empty_message or "")).otherwise(t))
+
+
 def apply_rules(runs: DataFrame, rules: list[Rule], text: str = "raw", out: str = "compressed") -> DataFrame:
-    """Apply to each run the rule named in its column ``rule``; runs without a known one keep their text."""
-    known = [r.name for r in rules]
-    parts = [runs.filter(F.col("rule").isNull() | ~F.col("rule").isin(*known)).withColumn(out, F.col(text))]
-    parts += [apply_rule(runs.filter(F.col("rule") == r.name), r, text, out) for r in rules]
-    return reduce(DataFrame.unionByName, parts)
+    """Apply to each run the rule named in its column ``rule``; runs without a known one keep their text.
+
+    One pass over the runs, however many rules there are: of a run's rules only its own is evaluated.
+    """
+    raw = F.col(text)
+    own = reduce(lambda c, r: c.when(F.col("rule") == r.name, T.let(raw, lambda x: filtered(x, r))), rules, F.when(F.col("rule").isNull(), raw))
+    return runs.withColumn(out, own.otherwise(raw))
