@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brevia.llm import bpe, chunks, jaccard, mixing, neighbours, quality, secrets, suffixes, toxicity, urls
+from brevia.llm import bpe, chunks, jaccard, mixing, neighbours, quality, search, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_shingle_join": jaccard.op9_shingle_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_ranked_search": search.op11_ranked_search,
 }
 
 
@@ -97,4 +98,21 @@ SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_repeated_strings": _REPEATED_STRINGS, "op8_url_filter": _URL_FILTER, "op9_shingle_join": _SHINGLE_JOIN}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents
+), whole AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS words FROM d
+), tf AS (SELECT doc_id, len(terms) AS n, term, count(*) AS tf FROM d, unnest(terms) AS u(term) GROUP BY ALL
+), weight AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs
+), asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term), whole GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_repeated_strings": _REPEATED_STRINGS,
+    "op8_url_filter": _URL_FILTER,
+    "op9_shingle_join": _SHINGLE_JOIN,
+    "op11_ranked_search": _RANKED_SEARCH,
+}
