@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brevia.llm import bpe, chunks, jaccard, mixing, neighbours, quality, search, secrets, suffixes, toxicity, urls
+from brevia.llm import bpe, chunks, jaccard, manifest, mixing, neighbours, quality, search, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_shingle_join": jaccard.op9_shingle_join,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_ranked_search": search.op11_ranked_search,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
 
@@ -110,9 +111,40 @@ WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
 """
 
+
+def _leaf(text: str) -> str:
+    fields = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+#: The checksum of decimal digits, bit by bit; its last bit is turned in the end.
+_CRC32 = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), lambda a, c: list_reduce(range(8)::UBIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, c)), 4294967295::UBIGINT), 4294967295)"
+#: The level above a list of nodes.
+_ABOVE = "list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))"
+_MERKLE_MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_CRC32} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS now FROM documents
+), trees AS (SELECT source, 0 AS level, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS nodes FROM d GROUP BY source
+  UNION ALL SELECT source, level + 1, {_ABOVE} FROM trees WHERE len(nodes) > 1
+), subroots AS (SELECT source, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place FROM trees WHERE len(nodes) = 1
+), whole AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots UNION ALL SELECT level + 1, {_ABOVE} FROM whole WHERE len(nodes) > 1
+), roots AS (SELECT nodes[1] AS root, level AS levels FROM whole WHERE len(nodes) = 1
+), ranks AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, row_number() OVER () AS k FROM d
+), start AS (SELECT k, rank, now, subroot, height, place, root, levels FROM ranks, subroots, roots WHERE ranks.source IS NOT DISTINCT FROM subroots.source
+), steps AS (
+  SELECT k, level, nodes, rank // (3 ** level)::BIGINT AS i FROM ranks, trees WHERE ranks.source IS NOT DISTINCT FROM trees.source AND len(nodes) > 1
+  UNION ALL SELECT k, height + level, nodes, place // (3 ** level)::BIGINT FROM start, whole WHERE len(nodes) > 1
+), siblings AS (SELECT k, level, array_to_string(nodes[i - i % 3 + 1 : i], '') AS l, array_to_string(nodes[i + 2 : i - i % 3 + 3], '') AS r FROM steps
+), proofs AS (SELECT k, string_agg(l || r, '' ORDER BY level) AS proof FROM siblings GROUP BY k
+), fold AS (SELECT k, 0 AS level, now AS node FROM ranks UNION ALL SELECT k, level + 1, sha256(l || node || r) FROM fold JOIN siblings USING (k, level)
+), ends AS (SELECT k, max_by(node, level) AS folded_root FROM fold GROUP BY k)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ranks JOIN start USING (k) JOIN ends USING (k) LEFT JOIN proofs USING (k)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_repeated_strings": _REPEATED_STRINGS,
     "op8_url_filter": _URL_FILTER,
     "op9_shingle_join": _SHINGLE_JOIN,
     "op11_ranked_search": _RANKED_SEARCH,
+    "op12_merkle_manifest": _MERKLE_MANIFEST,
 }
