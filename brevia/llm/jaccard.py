@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -220,14 +220,14 @@ def _met(shared: DataFrame, parts: DataFrame, nodes: DataFrame, num: int, den: i
     return rest.mapInPandas(meet, "a bigint, b bigint").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, sign: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Rows (id, n_shingles, component_id) of each document; two link if their shingle sets' Jaccard similarity is num/den or more.
 
     component_id is the smallest id reachable over links, the document's own if it has none. Every link between different
     sets is found or implied: a pair goes untested only if its ends are already in one component.
 
     Documents with equal sets are one node, by a 64-bit digest, from the first step on. Nodes that share a PartEnum
-    signature are candidates. In each bucket all meet its least node, unless they are in its component by then; what links is joined. Buckets that
+    signature are candidates (``sign`` gives other signatures, by which all is found that shares one). In each bucket all meet its least node, unless they are in its component by then; what links is joined. Buckets that
     still hold several components, apart from that node, are then compared in blocks, on sketches that bound
     the distance from below and nearly reach it. In some rounds each node is tested against the nearest of another component
     that may link, and what links is joined; at last all pairs of components that are still different are. So a large group of
@@ -238,6 +238,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sign_set = sign or (lambda s: signatures(s, num, den))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
@@ -249,7 +250,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     live = named.filter("id is not null and n > 0")
     nodes = cut(live.groupBy("node").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies within a task; it grows with the task's rows only
         for b in slices(batches):
             out = []
@@ -257,10 +258,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 s = shingle_set(t, words)
                 if len(s) and (node := digest(s)) not in seen:
                     seen.add(node)
-                    out.append((node, signatures(s, num, den)))
+                    out.append((node, sign_set(s)))
             yield pd.DataFrame({"node": np.array([x[0] for x in out], dtype=np.int64), "sigs": pd.Series([x[1] for x in out], dtype=object)})
 
-    signed = d.filter("id is not null").mapInPandas(sign, "node bigint, sigs array<bigint>").select("node", F.explode("sigs").alias("sig"))
+    signed = d.filter("id is not null").mapInPandas(signed_sets, "node bigint, sigs array<bigint>").select("node", F.explode("sigs").alias("sig"))
     bucket = Window.partitionBy("sig")
     least, most = F.min("node").over(bucket), F.max("node").over(bucket)
     shared = cut(signed.withColumns({"center": least, "last": most}).filter("center < last").select("sig", "node", "center"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brevia.llm import bpe, chunks, jaccard, manifest, mixing, neighbours, quality, search, secrets, suffixes, toxicity, urls
+from brevia.llm import bpe, chunks, jaccard, manifest, minmax, mixing, neighbours, quality, search, secrets, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,12 +17,10 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_ranked_search": search.op11_ranked_search,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_minmax_dedup": minmax.op13_minmax_dedup,
 }
 
 
-_WORDS = r"[^\x20\x09-\x0D]+"
-
-
 def _host(url: str) -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), '{upper}', '{upper.lower()}'), '')"
@@ -70,18 +68,25 @@ SELECT page_id, host, path, {_ruled("host", "path", "rule")} AS rule, coalesce({
 FROM p LEFT JOIN fate USING (node)
 """
 
-_SHINGLE_JOIN = rf"""
+
+
+def _similar(num: int, more: str = "") -> str:
+    """Components of documents whose sets of three-word shingles have a similarity of num / 100 or more."""
+    return _SHINGLE_JOIN.replace("{num}", str(num)).replace("{more}", more)
+
+
+_SHINGLE_JOIN = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS words FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
     ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
-), links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 90 * (na.n + nb.n - shared)
+), links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= {num} * (na.n + nb.n - shared)
 ), reach AS (SELECT a AS node, b AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a
 ), lowest AS (SELECT node, min(other) AS other FROM reach GROUP BY node)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(lowest.other, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN lowest ON lowest.node = w.doc_id
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(lowest.other, w.doc_id)) AS component_id{more} FROM w LEFT JOIN n USING (doc_id) LEFT JOIN lowest ON lowest.node = w.doc_id
 """
 
 #: Bytes are two hexadecimal digits each, so that strings of 50 bytes are 100 digits; they are cut from pieces, as cutting from long texts takes long.
@@ -144,7 +149,8 @@ FROM ranks JOIN start USING (k) JOIN ends USING (k) LEFT JOIN proofs USING (k)
 ORACLE_SQL: dict[str, str] = {
     "op6_repeated_strings": _REPEATED_STRINGS,
     "op8_url_filter": _URL_FILTER,
-    "op9_shingle_join": _SHINGLE_JOIN,
+    "op9_shingle_join": _similar(90),
     "op11_ranked_search": _RANKED_SEARCH,
     "op12_merkle_manifest": _MERKLE_MANIFEST,
+    "op13_minmax_dedup": _similar(85, ", w.doc_id = component_id AS kept"),
 }
