@@ -114,6 +114,15 @@ def window(array: Column, head: int | None, tail: int | None) -> Column:
     return array if tail is None else last
 
 
+def windowed(array: Column, head: Column, tail: Column) -> Column:
+    """``window`` with numbers from columns; a null is no number."""
+    n = F.size(array)
+    first = F.slice(array, F.lit(1), head)
+    last = F.slice(array, F.greatest(n - tail + 1, F.lit(1)), tail)
+    both = F.when(n > head + tail, F.concat(first, last)).otherwise(array)
+    return F.when(head.isNotNull() & tail.isNotNull(), both).when(head.isNotNull(), first).when(tail.isNotNull(), last).otherwise(array)
+
+
 def _budgeted(tokens: Column, budget: Column) -> Column:
     """How many leading numbers fit in a budget, stopping at the first that doesn't."""
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
@@ -125,12 +134,13 @@ def _budgeted(tokens: Column, budget: Column) -> Column:
     return F.aggregate(tokens, zero, step, lambda acc: acc["n"])
 
 
-def head_tail_by_tokens(array: Column, most: int, ratio: float = 0.6) -> Column:
+def head_tail_by_tokens(array: Column, most: int | Column, ratio: float = 0.6) -> Column:
     """Whole lines up to a token budget, of which ``ratio`` is for the head; unchanged if all fits or nothing does."""
-    head_budget = int(most * ratio + 0.5)
+    most = most if isinstance(most, Column) else F.lit(most)
+    head_budget = F.floor(most * ratio + 0.5)
     tokens = F.transform(array, count_tokens)
     total = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a + x)
-    n, h, t = F.size(array), _budgeted(tokens, F.lit(head_budget)), _budgeted(F.reverse(tokens), F.lit(most - head_budget))
+    n, h, t = F.size(array), _budgeted(tokens, head_budget), _budgeted(F.reverse(tokens), most - head_budget)
     gap = F.concat(F.lit("... ("), (n - h - t).cast("string"), F.lit(" lines omitted) ..."))
     cut = F.concat(F.slice(array, F.lit(1), h), F.array(gap), F.slice(array, n - t + 1, t))
     return F.when((total <= most) | (h + t >= n) | ((h == 0) & (t == 0)), array).otherwise(cut)

@@ -120,7 +120,7 @@ def git_status(raw: Column) -> Column:
     """Branch, staged and unstaged files with what was done, and up to ten untracked ones; never the text itself."""
 
     def of(found: Column) -> Column:
-        inside = lambda head: _flat(F.filter(found, lambda b: F.startswith(b, F.lit(head))), lambda b: F.filter(T.lines(b), lambda x, i: (i > 0) & ~x.rlike(r'^\s+\(use "git"')))
+        inside = lambda head: _flat(F.filter(found, lambda b: F.startswith(b, F.lit(head))), lambda b: F.filter(T.lines(b), lambda x, i: (i > 0) & ~x.rlike(r'^\s+\(use "git')))
         entries = lambda head: F.transform(F.filter(inside(head), lambda x: x.rlike(STATUS_ENTRY)), lambda x: _say("  ", _part(x, STATUS_ENTRY), ": ", T.trimmed(_part(x, STATUS_ENTRY, 2))))
         other = F.transform(F.filter(inside("Untracked"), lambda x: x.rlike(r"^\s+\S.+$") & ~x.rlike(STATUS_ENTRY)), lambda x: _say("  ", T.trimmed(x)))
         section = lambda name, rows, most: T.let(rows, lambda a: F.when(F.size(a) > 0, F.concat(F.array(F.lit(""), _say(name, " (", F.size(a), "):")), F.slice(a, 1, most), _more(F.size(a), most))).otherwise(_no_lines()))

@@ -164,15 +164,15 @@ def brew_list(raw: Column) -> Column:
 
 
 def cargo_build(raw: Column) -> Column:
-    """Error blocks, the end, and before each the last crate that was compiled.
-
-    A line about another crate ends a block of errors.
-    """
+    """Error blocks, up to a blank line, and the end; before each the last crate that was compiled since the one before."""
     text = T.joined(F.filter(T.lines(raw), lambda x: ~x.rlike(CARGO_FETCH)))
     step = r"[ \t]*(?:Compiling|Finished) "
-    found = F.regexp_extract_all(text, F.lit(rf"(?m)^{step}.*$|^error.*(?:\n(?![ \t]*$|{step}|error).*)*+(?:\n[ \t]*$)?"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(rf"(?m)^{step}.*$|^error.*(?:\n(?![ \t]*$|[ \t]*Finished |error).*)*+(?:\n[ \t]*$)?"), F.lit(0))
     crate = lambda x: x.rlike(r"\A\s*Compiling ")
-    kept = T.let(found, lambda a: F.filter(a, lambda x, i: ~crate(x) | ~crate(F.coalesce(F.get(a, i + 1), F.lit("Compiling x"))) & crate(x) & F.get(a, i + 1).isNotNull()))
+    # crates that are compiled within a block are told after it
+    parted = lambda b: T.let(F.split(b, "\n", -1), lambda a: F.concat(F.array(T.joined(F.filter(a, lambda x: ~crate(x)))), F.filter(a, crate)))
+    found = F.flatten(F.transform(found, lambda b: F.when(F.startswith(b, F.lit("error")), parted(b)).otherwise(F.array(b))))
+    kept = T.let(found, lambda a: F.filter(a, lambda x, i: ~crate(x) | F.get(a, i + 1).isNotNull() & ~crate(F.get(a, i + 1))))
     out = F.regexp_replace(T.joined(kept), r"\A\n+|\n+\z", "")
     return F.when(~text.rlike(rf"(?m)^{step}"), raw).otherwise(_or_input(out, raw))
 
@@ -311,23 +311,45 @@ def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str =
 
     What filters and rules give is capped by the agent's policy and passes the last clean-up. Null texts count as empty, and a null command
     has no filter. ``nested`` compacts JSON that a command prints, in Python workers that get only such texts; without it all stays in the JVM.
-    Runs aren't shuffled; rules are few and broadcast. Columns named like ``out``, ``how`` or ``rule`` are replaced.
+    Runs aren't shuffled; rules are joined as data. Other columns stay as they are; columns named like ``out`` or ``how`` are replaced.
     """
-    d = runs.drop(out, "how", "rule")
-    words = F.filter(F.split(T.trimmed(F.coalesce(F.col(command), F.lit(""))), r"\s+"), lambda w: w != "")
-    d = T.once(d, __words=words, __raw=T.strip_progress_noise(T.strip_ansi(F.coalesce(F.col(raw), F.lit("")))))
+    kept = runs.select(F.struct(*[c for c in runs.columns if c not in (out, "how")]).alias("__row"), F.col(command).alias("__command"), F.coalesce(F.col(raw), F.lit("")).alias("__given"))
+    words = F.filter(F.split(T.trimmed(F.coalesce("__command", F.lit(""))), r"\s+"), lambda w: w != "")
+    d = T.once(kept, __words=words, __raw=T.strip_progress_noise(T.strip_ansi(F.col("__given"))))
     own = native(F.col("__words"), F.col("__raw"))
     if nested:
         d = d.withColumn("__json", S.compact_json(F.when(prints_json(F.col("__words")), F.col("__raw"))))
         own = F.coalesce(F.col("__json"), own)
     d = T.once(d, __own=own)
     if rules:
-        d = R.match_rules(d, R.rule_table(d.sparkSession, rules), command).withColumn("rule", F.when(F.col("__own").isNull(), F.col("rule")))
+        d = R.match_rules(d, R.rule_table(d.sparkSession, rules), F.array_join("__words", " ")).withColumn("rule", F.when(F.col("__own").isNull(), F.col("rule")))
         d = R.apply_rules(d, rules, "__raw", "__ruled")
     else:
         d = d.withColumns({"rule": F.lit(None).cast("string"), "__ruled": F.col("__raw")})
     found = T.once(d, __found=F.coalesce("__own", F.when(F.col("rule").isNotNull(), F.col("__ruled"))))
     capped = T.post_pass(T.output_cap(F.col("__found"), *T.POLICIES[agent]), ultra)
     how = F.when(F.col("__own").isNotNull(), "native").when(F.col("rule").isNotNull(), "rule").otherwise("none")
-    done = found.withColumns({out: F.when(F.col("__found").isNotNull(), capped).otherwise(T.sanitize_output(F.col("__raw"))), "how": how})
-    return done.drop("__words", "__raw", "__json", "__own", "__ruled", "__found", "rule")
+    text = F.when(F.col("__found").isNotNull(), capped).otherwise(T.sanitize_output(F.col("__raw")))
+    return found.select("__row.*", text.alias(out), how.alias("how"))
+
+
+def env_flag(value: Column) -> Column:
+    """Whether the value of an environment variable switches something on: it is set and none of ``0``, ``false`` and ``no``."""
+    return ~F.lower(T.trimmed(F.coalesce(value, F.lit("")))).isin("", "0", "false", "no")
+
+
+def should_compress(terminal: Column, force_compress: Column, force_raw: Column) -> Column:
+    """Whether output is for a reader, who gets it compressed, or for a pipe, which gets it as it is; the flags override that, raw first."""
+    return ~env_flag(force_raw) & (env_flag(force_compress) | F.coalesce(terminal, F.lit(False)))
+
+
+def maybe_compress(runs: DataFrame, should: Column, rules: list[R.Rule] | None = None, raw: str = "raw", out: str = "compressed", **options) -> DataFrame:
+    """Add ``out`` and ``how``: the text as it is where ``should`` is false or null, else compressed and free of secrets and user paths.
+
+    ``how`` is ``raw`` for the former. Options are those of ``compress``.
+    """
+    asked = F.coalesce(should, F.lit(False))
+    d = compress(runs.select(F.struct("*").alias("__run"), F.col(options.pop("command", "command")).alias("__cmd"), F.col(raw).alias("__text"), asked.alias("__asked")), rules, "__cmd", "__text", "__short", **options)
+    text = F.when(F.col("__asked"), T.sanitize_output(F.col("__short"))).otherwise(F.col("__text"))
+    columns = [F.col("__run")[c].alias(c) for c in runs.columns if c not in (out, "how")]
+    return d.select(*columns, text.alias(out), F.when(F.col("__asked"), F.col("how")).otherwise("raw").alias("how"))

@@ -6,9 +6,10 @@ import re
 import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
-from functools import reduce
 from pathlib import Path
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ from brevia.functions import text as T
 LONGEST_PATTERN = 4096
 #: Lower numbers win.
 TIERS = {"project": 0, "extension": 1, "builtin": 2}
+#: Tables of rules and of their beginnings are broadcast up to so many rows, some megabytes; larger ones are joined in a shuffle.
+BROADCAST_RULES = 20_000
+#: Finds nothing.
+_NEVER = "(?!)"
+#: What a rule does, as columns.
+PARAMETERS = "strip string, head int, tail int, width int, tokens int, dedupe boolean, message string"
 
 
 @dataclass(frozen=True)
@@ -38,17 +45,24 @@ class Rule:
 
 
 def usable(pattern: str) -> bool:
+    """Whether a pattern is short enough and one that the engine can compile: Java's, if there is a Spark session, else Python's reading of it."""
     if len(pattern.encode()) > LONGEST_PATTERN:
         return False
+    sc = SparkContext._active_spark_context
     try:
-        re.compile(pattern)
-    except re.error:
+        if sc is None:
+            re.compile(pattern)
+        else:
+            sc._jvm.java.util.regex.Pattern.compile(T.U + pattern)
+    except (re.error, IllegalArgumentException):
         return False
     return True
 
 
 def parse_rule(toml: str, source: str = "builtin") -> Rule:
+    """A rule from a file's text: its fields are in a table ``filter`` or, in short files, at the top."""
     raw = tomllib.loads(toml)
+    raw = raw.get("filter", raw)
     known = {k: tuple(v) if isinstance(v, list) else v for k, v in raw.items() if k in Rule.__dataclass_fields__ and k != "source"}
     if "name" not in known:
         raise ValueError("a rule needs a name")
@@ -98,17 +112,46 @@ def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, prefix string, first_word string, len int, ord int")
 
 
-def match_rules(runs: DataFrame, table: DataFrame, command: str = "command") -> DataFrame:
+def match_rules(runs: DataFrame, table: DataFrame, command: str | Column = "command") -> DataFrame:
     """Add ``rule``: that with the longest beginning of the command, the earliest of equals, null if there is none.
 
-    Candidates share the first word. Rules are broadcast (a driver-side list made the table), and the best candidate is
-    found within the row, so runs aren't shuffled.
+    Candidates share the first word. A table of up to BROADCAST_RULES rows is broadcast, and the best candidate is found within the
+    row, so runs aren't shuffled. The plan is the same for any number of rules.
     """
     best = table.groupBy("first_word").agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("l"), "ord", "prefix", "rule"))).alias("__rules"))
-    d = runs.withColumn("__word", F.regexp_extract(command, r"^(\S*)", 1))
-    d = d.join(F.broadcast(best.withColumnRenamed("first_word", "__first")), F.col("__word") == F.col("__first"), "left")
+    best = F.broadcast(best) if table.count() <= BROADCAST_RULES else best
+    d = runs.withColumn("__command", F.col(command) if isinstance(command, str) else command).withColumn("__word", F.regexp_extract("__command", r"^(\S*)", 1))
+    d = d.join(best.withColumnRenamed("first_word", "__first"), F.col("__word") == F.col("__first"), "left")
+    fits = F.filter("__rules", lambda r: F.startswith(F.col("__command"), r["prefix"]))
+    return d.withColumn("rule", F.try_element_at(fits, F.lit(1))["rule"]).drop("__rules", "__word", "__first", "__command")
+
+
+def match_first(runs: DataFrame, rules: list[Rule], command: str = "command") -> DataFrame:
+    """Add ``rule``: the first in the list with a beginning of the command, whether or not that ends with a word; null if there is none.
+
+    All beginnings start with as many characters as the shortest has; these are the key that runs and rules are joined by.
+    """
+    table = rule_table(runs.sparkSession, rules).filter("prefix <> ''")
+    short = min((len(p) for r in rules for p in r.commands if p), default=0)
+    first = table.groupBy(F.left("prefix", F.lit(short)).alias("__start")).agg(F.array_sort(F.collect_list(F.struct("ord", "prefix", "rule"))).alias("__rules"))
+    first = F.broadcast(first) if len(rules) <= BROADCAST_RULES else first
+    d = runs.join(first, F.left(F.col(command), F.lit(short)) == F.col("__start"), "left")
     fits = F.filter("__rules", lambda r: F.startswith(F.col(command), r["prefix"]))
-    return d.withColumn("rule", F.try_element_at(fits, F.lit(1))["rule"]).drop("__rules", "__word", "__first")
+    return d.withColumn("rule", F.try_element_at(fits, F.lit(1))["rule"]).drop("__rules", "__start")
+
+
+def alternation(rule: Rule) -> str:
+    """A rule's strip patterns as one; what it finds in a line is found by one of them."""
+    return T.U + "|".join(f"(?:{p})" for p in rule.strip_patterns) if rule.strip_patterns else _NEVER
+
+
+def rule_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
+    """(rule, source, ord, commands, patterns, extends, parameters): a row for each rule, in order of precedence."""
+    rows = [
+        (r.name, r.source, i, list(r.commands), list(r.strip_patterns), r.extends, (alternation(r), r.head_lines, r.tail_lines, r.max_line_chars, r.max_tokens, r.dedupe is not False, r.empty_message))
+        for i, r in enumerate(rules)
+    ]
+    return spark.createDataFrame(rows, f"rule string, source string, ord int, commands array<string>, patterns array<string>, extends string, parameters struct<{PARAMETERS.replace(' ', ':').replace(',:', ',')}>")
 
 
 def apply_rule(d: DataFrame, rule: Rule, text: str = "raw", out: str = "compressed", strip_ansi_first: bool = True) -> DataFrame:
@@ -128,22 +171,26 @@ def apply_rule(d: DataFrame, rule: Rule, text: str = "raw", out: str = "compress
     return d.withColumn(out, kept).drop("__a", "__t")
 
 
-def filtered(raw: Column, rule: Rule, strip_ansi_first: bool = True) -> Column:
-    """What ``apply_rule`` adds, as an expression over the text."""
-    a = T.drop_lines(T.lines(T.strip_ansi(raw) if strip_ansi_first else raw), *rule.strip_patterns)
-    if rule.dedupe:
-        a = T.let(a, T.dedupe_repeated_lines)
-    a = T.let(a, lambda x: T.window(x, rule.head_lines, rule.tail_lines) if rule.max_tokens is None else T.head_tail_by_tokens(x, rule.max_tokens))
-    if rule.max_line_chars is not None:
-        a = F.transform(a, lambda x: F.left(x, F.lit(rule.max_line_chars)))
-    return T.let(T.joined(a), lambda t: F.when(T.blank(raw) | T.blank(t), F.lit(rule.empty_message or "")).otherwise(t))
+def filtered(raw: Column, p: Column, strip_ansi_first: bool = True) -> Column:
+    """What ``apply_rule`` adds, as an expression over the text and a struct of a rule's parameters.
+
+    A line's test looks its pattern up, and the pattern is compiled again only where it isn't that of the line before.
+    """
+    a = F.filter(T.lines(T.strip_ansi(raw) if strip_ansi_first else raw), lambda x: F.regexp_instr(x, p["strip"]) == 0)
+    a = T.let(a, lambda x: F.when(p["dedupe"], T.dedupe_repeated_lines(x)).otherwise(x))
+    a = T.let(a, lambda x: F.when(p["tokens"].isNull(), T.windowed(x, p["head"], p["tail"])).otherwise(T.head_tail_by_tokens(x, p["tokens"])))
+    a = F.transform(a, lambda x: F.when(p["width"].isNull(), x).otherwise(F.left(x, p["width"])))
+    return T.let(T.joined(a), lambda t: F.when(T.blank(raw) | T.blank(t), F.coalesce(p["message"], F.lit(""))).otherwise(t))
 
 
-def apply_rules(runs: DataFrame, rules: list[Rule], text: str = "raw", out: str = "compressed") -> DataFrame:
+def apply_rules(runs: DataFrame, rules: Iterable[Rule], text: str = "raw", out: str = "compressed") -> DataFrame:
     """Apply to each run the rule named in its column ``rule``; runs without a known one keep their text.
 
-    One pass over the runs, however many rules there are: of a run's rules only its own is evaluated.
+    Rules are data: they are joined to the runs by name and broadcast where they are few, so the plan is the same for any number of
+    rules, and one pass applies them all. Of rules of one name the first counts.
     """
-    raw = F.col(text)
-    own = reduce(lambda c, r: c.when(F.col("rule") == r.name, T.let(raw, lambda x: filtered(x, r))), rules, F.when(F.col("rule").isNull(), raw))
-    return runs.withColumn(out, own.otherwise(raw))
+    rules = list({r.name: r for r in reversed(list(rules))}.values())
+    known = rule_frame(runs.sparkSession, rules).select(F.col("rule").alias("__name"), F.col("parameters").alias("__rule"))
+    d = runs.join(F.broadcast(known) if len(rules) <= BROADCAST_RULES else known, F.col("rule") == F.col("__name"), "left")
+    done = F.when(F.col("__rule").isNull(), F.col(text)).otherwise(T.let(F.col(text), lambda x: filtered(x, F.col("__rule"))))
+    return d.withColumn(out, done).drop("__name", "__rule")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from brevia.functions import text as T
 from brevia.operators import scan
 from brevia.plans import rules as R
+from brevia.sources import transcripts
 
 
 def one(spark, column, **values):
@@ -90,12 +91,52 @@ def test_rule_loading_and_inheritance(spark, tmp_path):
         R.extended([R.Rule("c", extends="none")])
 
 
-@pytest.mark.parametrize(
-    ("line", "want"),
-    [("a && b", [("a", "&&"), ("b", "")]), ("a 'x && y'; b", [("a 'x && y'", ";"), ("b", "")]), ("a | b", None), ("a $(b)", None), ("a &&", None), ("a 'b", None), ("a <<E", None), ("a || b", [("a", "||"), ("b", "")])],
-)
-def test_compound_commands(line, want):
-    assert scan.split_compound(line) == want
+LINES = {
+    "a && b": [("a", "&&"), ("b", "")], "a 'x && y'; b": [("a 'x && y'", ";"), ("b", "")], "a | b": None, "a $(b)": None, "a &&": None, "a 'b": None, "a <<E": None, "a || b": [("a", "||"), ("b", "")],
+    " a b ": [(" a b ", "")], 'a "$(b) `c` || d" && e': [('a "$(b) `c` || d"', "&&"), ("e", "")], "a \\; b; c": [("a \\; b", ";"), ("c", "")], 'a "x\\"y;" ; b': [('a "x\\"y;"', ";"), ("b", "")],
+    "a ;; b": None, "; a": None, "a `b`": None, "a & b && c": [("a & b", "&&"), ("c", "")], "a '<<' b": None, "a $b; c": [("a $b", ";"), ("c", "")], "a ||| b": None, "a \\": [("a \\", "")], 'a "b\\': None, "": [("", "")],
+}
+
+
+def test_compound_commands(spark):
+    d = spark.createDataFrame([(k,) for k in LINES] + [("x" * 50_000 + '; "' + "y z" * 50_000 + '"',)], "c string").select("c", scan.compound_parts(F.col("c")).alias("p"))
+    got = {r["c"]: None if r["p"] is None else [tuple(x) for x in r["p"]] for r in d.collect()}
+    assert {k: got[k] for k in LINES} == LINES
+    assert [len(v) for k, v in got.items() if k not in LINES] == [2]
+
+
+def test_rewriting(spark):
+    want = {
+        "git status": "brevia git status", "  cat  a b": "brevia read a b", "tree": "brevia ls --tree", "cd /tmp": "cd /tmp", "A=1 b": "A=1 b", "brevia x": "brevia x", "a | b": "a | b", "  ": "  ", "cd x && rg 'a;b' && A=1; ls": "cd x && brevia grep 'a;b' && A=1; brevia ls",
+    }
+    d = spark.createDataFrame([(k, "an_agent", "s-1") for k in want], "command string, tool string, session string")
+    assert {r["command"]: r["rewritten"] for r in scan.rewrite(d).collect()} == want
+    named = {r["command"]: r["rewritten"] for r in scan.rewrite(d, tool="tool", session="session").collect()}
+    assert named == {k: v.replace("brevia", "BREVIA_TOOL=an_agent BREVIA_SESSION=s-1 brevia") if k != "brevia x" else k for k, v in want.items()}
+    assert one(spark, scan.environment_prefix(F.col("t"), F.lit("s")), t="A b") == "" and one(spark, scan.environment_prefix(F.col("t"), F.lit("s s")), t="x") == "BREVIA_TOOL=x "
+
+
+def test_argument_lists(spark):
+    want = {
+        ("git", "status"): "brevia git status", (): "", ("brevia", "ls"): "brevia ls", ("cat",): "brevia read", ("rg", "a b", "c"): "brevia grep a b c", ("cd", "x"): "cd x", ("A=1", "b"): "A=1 b", ("vim", "x"): "vim x",
+        ("sudo", "ls"): "sudo ls", ("a", "&&", "b"): "a && b", ("a", "x<<y"): "a x<<y", ("a", ">", "b"): "a > b", ("a", "b>c"): "brevia a b>c",
+    }
+    d = spark.createDataFrame([(list(k),) for k in want], "a array<string>").select("a", scan.rewrite_argv(F.col("a")).alias("r"))
+    assert {tuple(r["a"]): r["r"] for r in d.collect()} == want
+    words = {"a 'b c'  \"d\\\"e\" f\\ g": ["a", "b c", 'd"e', "f g"], "": [], " x''y ": ["xy"], "a\"b 'c'\"d": ["ab 'c'd"]}
+    d = spark.createDataFrame([(k,) for k in words], "c string").select("c", scan.shell_words(F.col("c")).alias("w"))
+    assert {r["c"]: r["w"] for r in d.collect()} == words
+
+
+def test_hook_payloads_of_three_shapes(spark):
+    bodies = {
+        '{"session_id":"s","tool_name":"Bash","tool_input":{"command":"git status"},"cwd":"/p"}': ("nested", "git status", "s"), '{"tool_name":"Bash","tool_input":{"command":"ls"}}': ("nested", "ls", None),
+        '{"tool":"shell","args":["git","status"]}': ("args", "git status", None), '{"tool":"shell","args":[]}': ("args", "", None), '{"command":"git log"}': ("plain", "git log", None),
+        '{"tool_name":"Read","tool_input":{"command":"x"}}': None, '{"tool_name":"Bash","tool_input":{}}': None, "not json": None, '{"command":3}': None, '{"tool":"shell","args":[1]}': None, "[]": None, '{"tool_name":"Bash","tool_input":{"command":"x"},"session_id":4}': None,
+    }
+    d = spark.createDataFrame([(k, "old") for k in bodies] + [(None, None)], "body string, command string")
+    got = {r["body"]: (r["adapter"], r["command"], r["session_id"]) for r in transcripts.decode_hooks(d.select("body")).collect()}
+    assert got == {k: v for k, v in bodies.items() if v}
 
 
 def test_classification(spark):

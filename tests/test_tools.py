@@ -9,7 +9,9 @@ CASES = {
     "gh issue list": ("#5  Bug in parser  bug, urgent  about 2 days ago", "#5 Bug in parser [bug]"),
     "gh pr view 1": ("title:\tHello\nstate:\tOPEN\nauthor:\tme\nreviewers:\ta\n--\nurl:\tno\n", "title: Hello\nstate: OPEN\nreviewers: a"),
     "gh issue view 1": ("title:\t" + "x" * 61 + "\nreviewers:\ta\n", "title: " + "x" * 59 + "…"),
-    "git status": ("On branch main\nChanges to be committed:\n\tnew file:   a\n\nUntracked files:\n  (use \"git\" add)\n" + "".join(f"\tu{i}\n" for i in range(10, 22)), "branch: main\n\nstaged (1):\n  new file: a\n\nuntracked (12):\n" + "".join(f"  u{i}\n" for i in range(10, 20)) + "  ... +2 more"),
+    "git status": ("On branch main\nChanges to be committed:\n\tnew file:   a\n\nUntracked files:\n  (use \"git add <file>...\" to include in what will be committed)\n" + "".join(f"\tu{i}\n" for i in range(10, 22)), "branch: main\n\nstaged (1):\n  new file: a\n\nuntracked (12):\n" + "".join(f"  u{i}\n" for i in range(10, 20)) + "  ... +2 more"),
+    "git status -v": ("On branch x\n\nUntracked files:\n  (use \"git add <file>...\" to include in what will be committed)\n\taa\n\tb c\n\nno changes added to commit (use \"git add\" and/or \"git commit -a\")\n", "branch: x\n\nuntracked (2):\n  aa\n  b c"),
+    "cargo build": ("   Compiling a v1\nerror[E1]: x\n  --> f\n   Compiling b v1\n   | y\n\n   Compiling c v1\nerror: z\n   Compiling d v1\n", "   Compiling a v1\nerror[E1]: x\n  --> f\n   | y\n\n   Compiling c v1\nerror: z"),
     "tar -tvf x": ("drwxr-xr-x  0 u g 0 Jan  1 10:00 d/\n-rw-r--r--  0 u g 2048 Jan  1 10:00 d/a.py", "archive: 1 files, 1 dirs, 2.0K\n\nentries:\n  d/\n  d/a.py (2.0K)"),
     "tar -tvf y": ("\n".join(f"-rw-r--r--  0 u g {i} Jan  1 10:00 f{i}.py" for i in range(100, 151)), "archive: 51 files, 0 dirs, 6.2K\n\nby extension:\n  .py              51 files  6.2K\n\ntop files:\n" + "\n".join(f"        {i}B  f{i}.py" for i in range(150, 145, -1))),
     "openssl x509": ("Certificate:\n    Data:\n        Version: 3\n        Serial Number:\n            aa:bb\n    Signature Algorithm: sha\n        Issuer: CN=x\n        Subject Public Key Info:\n            pub:\n                04:aa:bb\n    Signature Value:\n        aa:bb\n", "Certificate:\n    Data:\n        Version: 3\n        Issuer: CN=x"),
