@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia.functions import text as T
@@ -299,6 +299,18 @@ def native(words: Column, raw: Column) -> Column:
     return reduce(lambda out, c: out.when(c[0], T.let(raw, c[1])), others, F.when(condition, T.let(raw, first)))
 
 
+_BUILT: dict[str, Column] = {}
+
+
+def _native_once(spark: SparkSession) -> Column:
+    """``native`` over the columns ``__words`` and ``__raw``. Making the expression takes the driver some ten seconds, so each application makes it once."""
+    application = spark.sparkContext.applicationId
+    if application not in _BUILT:
+        _BUILT.clear()
+        _BUILT[application] = native(F.col("__words"), F.col("__raw"))
+    return _BUILT[application]
+
+
 def prints_json(words: Column) -> Column:
     """Whether a command's words ask for a nested value that is worth compacting."""
     tool, sub = F.get(words, F.lit(0)), F.get(words, F.lit(1))
@@ -316,7 +328,7 @@ def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str =
     kept = runs.select(F.struct(*[c for c in runs.columns if c not in (out, "how")]).alias("__row"), F.col(command).alias("__command"), F.coalesce(F.col(raw), F.lit("")).alias("__given"))
     words = F.filter(F.split(T.trimmed(F.coalesce("__command", F.lit(""))), r"\s+"), lambda w: w != "")
     d = T.once(kept, __words=words, __raw=T.strip_progress_noise(T.strip_ansi(F.col("__given"))))
-    own = native(F.col("__words"), F.col("__raw"))
+    own = _native_once(runs.sparkSession)
     if nested:
         d = d.withColumn("__json", S.compact_json(F.when(prints_json(F.col("__words")), F.col("__raw"))))
         own = F.coalesce(F.col("__json"), own)

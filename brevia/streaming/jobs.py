@@ -2,50 +2,91 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from brevia.functions import text as T
-from brevia.operators import dedup, fleet
+from brevia.operators import dedup, fleet, tools
+from brevia.plans.rules import Rule, by_precedence, extended
+from brevia.sources.rule_files import RuleCache
 
-_STATE = "run_id long, ts double, hash string, exit_code int, cwd_mtime long"
+_LAST = "run_id long, ts double, hash string, exit_code int, cwd_mtime long"
 _OUT = "tool_id string, project_path string, cmd_key string, run_id long, decision string, previous_run long"
 
 
-def decide_stream(runs: DataFrame, ttl_s: int = dedup.TTL_S) -> DataFrame:
-    """The decisions of ``dedup.decide`` on a stream of runs; the state of a key is its last run, kept for ``ttl_s`` seconds.
+class LastRuns(StatefulProcessor):
+    """The last run of each key, which the state store forgets by itself ``ttl_s`` seconds after it was written."""
 
-    Runs of a key within a micro-batch are taken in order of time. Rows: the key, run_id, decision and previous_run.
-    """
+    def __init__(self, ttl_s: int):
+        self.ttl_s = ttl_s
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "run_id"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", _LAST, ttlDurationMs=self.ttl_s * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - the interface's names
+        last = self.last.get()
+        before = last
+        runs = pd.concat(list(rows)).sort_values(["ts", "run_id"])  # a key's runs in one micro-batch, without their output
         out = []
-        for r in rows.itertuples():
+        for r in runs.itertuples():
             if r.skip:
                 out.append((*key, r.run_id, "skip", None))
                 continue
-            same = last is not None and r.ts - last[1] <= ttl_s and (r.hash, r.exit_code, r.cwd_mtime) == tuple(last[2:])
+            same = last is not None and r.ts - last[1] <= self.ttl_s and (r.hash, r.exit_code, r.cwd_mtime) == tuple(last[2:])
             out.append((*key, r.run_id, "hit" if same else "miss", last[0] if same else None))
             last = (int(r.run_id), float(r.ts), r.hash, int(r.exit_code), int(r.cwd_mtime))
-        if last is not None:
-            state.update(last)
-            state.setTimeoutDuration(ttl_s * 1000)
+        if last is not before:
+            self.last.update(last)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
         frame["previous_run"] = frame["previous_run"].astype("Int64")
         yield frame
 
+    def close(self) -> None:
+        pass
+
+
+def decide_stream(runs: DataFrame, ttl_s: int = dedup.TTL_S) -> DataFrame:
+    """The decisions of ``dedup.decide`` on a stream of runs; the state of a key is its last run, kept for ``ttl_s`` seconds.
+
+    Runs of a key within a micro-batch are taken in order of time. Rows: the key, run_id, decision and previous_run. The session needs the
+    RocksDB state store (``state_store``), which also removes what has expired. The state can be read by ``last_runs``.
+    """
     skip = (F.coalesce(F.col("output"), F.lit("")) == "") | F.coalesce(F.col("opted_out"), F.lit(False))
     d = runs.select(*dedup.KEY, "run_id", F.unix_timestamp("ts").cast("double").alias("ts"), T.content_hash(F.col("output")).alias("hash"), "exit_code", "cwd_mtime", skip.alias("skip"))
-    return d.groupBy(*dedup.KEY).applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return d.groupBy(*dedup.KEY).transformWithStateInPandas(LastRuns(ttl_s), _OUT, "append", "processingTime")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Let the session's streams keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def last_runs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, run_id, ts, hash, exit_code, cwd_mtime, expires) of the keys that the state of a stopped or running ``decide_stream`` holds."""
+    d = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
+    value = F.col("value.value") if "value" in d.schema["value"].dataType.names else F.col("value")
+    expires = F.timestamp_millis("value.ttlExpirationMs") if "ttlExpirationMs" in d.schema["value"].dataType.names else F.lit(None).cast("timestamp")
+    return d.select("key.*", *[value[c.split()[0]].alias(c.split()[0]) for c in _LAST.split(", ")], expires.alias("expires"))
+
+
+def compress_stream(runs: DataFrame, cache: RuleCache, write: Callable[[DataFrame, int], None], checkpoint: str, builtin: Iterable[Rule] = (), **options) -> StreamingQuery:
+    """Start a query that compresses each micro-batch of runs by the rules as they are then, and hands it to ``write`` with its number.
+
+    Project rules come from the cache's folder, of which only changed files are parsed again; they go before ``builtin`` ones of their name. Files that
+    are no rules, or extend none that there is, are left out.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        rules = [*cache.rules(), *builtin]
+        names = {r.name for r in rules}
+        rules = by_precedence(extended(r for r in rules if r.extends is None or r.extends in names))
+        write(tools.compress(batch, rules, **options), number)
+
+    return runs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 
 
 def daily_tokens(facts: DataFrame, late: str = "1 day") -> DataFrame:
