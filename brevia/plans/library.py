@@ -79,7 +79,7 @@ def _lines() -> Iterator[tuple]:
     yield "basedpyright", "basedpyright", "blank", (r"^(?:No configuration file|Assuming Python|Searching for source|Found \d+ source|basedpyright \d)", r"^0 errors, 0 warnings"), 50, None, None, "basedpyright: ok"
     yield "black", "black", "blank debug", (r"^(?:reformatted|would reformat|Identified|Found input|Using configuration|Sources to be) ", r"^All done!", r"already well formatted"), 20, 5, 140, None
     yield "flake8", "flake8", "blank", (), 80, 5, 250, None
-    yield "mypy", "mypy", "blank quiet", (r"^(?:Building|Searching|Loading|Type.checking|LOG:)\b", r"^Success: no issues"), 80, 5, 300, None
+    yield "mypy", "mypy", "blank quiet", (r"^(?:Building|Searching|Loading|Type.checking)\b", r"^LOG: ", r"^Success: no issues"), 80, 5, 300, None
     yield "poetry-install", "poetry install, poetry lock, poetry update", "blank fetch", (r"^\s*[-•] (?:Installing|Updating|Downgrading|Removing) ", r"^(?:Installing dependencies|Updating dependencies|Writing lock file)", r"^Creating virtualenv", r"^Package operations:"), 20, None, None, None
     yield "pre-commit", "pre-commit", "blank", (r"\.{3,}(?:Passed|\(no files to check\)Skipped|Skipped)$", r"^\[INFO\]", r"^- (?:hook id|duration):"), 40, None, None, None
     yield "ty", "ty", "blank quiet", (r"^(?:Checking|All checks passed)",), 50, None, None, "ty: ok"
@@ -134,7 +134,7 @@ def _lines() -> Iterator[tuple]:
     yield "sops", "sops", "blank", (), 40, None, None, None
     yield "step", "step", "blank", (), 40, 5, 140, None
     # scanners
-    yield "gitleaks", "gitleaks", "blank", (r"^\s*[○│╲░ ]+$", r"\b(?:INF|DBG)\b (?!.*leaks found)", r"gitleaks$"), 60, 15, 300, None
+    yield "gitleaks", "gitleaks", "blank", (r"^\s*[○│╲░ ]+$", r"\b(?:INF|DBG)\b (?:scan|\d+ commits)", r"gitleaks$"), 60, 15, 300, None
     yield "grype", "grype", "blank passed", (r"^\s*(?:├──|└──)",), 60, 15, 300, None
     yield "hadolint", "hadolint", "blank", (), 40, None, 120, None
     yield "shellcheck", "shellcheck", "blank", (), 50, None, None, None

@@ -9,12 +9,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from brevia import compressor_queries, queries  # noqa: E402
+from brevia import compressor_queries, queries, rule_queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = queries.QUERIES | compressor_queries.QUERIES
-ORACLE = queries.ORACLE_SQL | compressor_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | compressor_queries.QUERIES | rule_queries.QUERIES
+ORACLE = queries.ORACLE_SQL | compressor_queries.ORACLE_SQL | rule_queries.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
