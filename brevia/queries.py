@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia.functions import text as T
-from brevia.operators import dedup, fleet, meter, scan
+from brevia.operators import dedup, fleet, meter, scan, snapshot
 from brevia.plans import rules as R
 from brevia.sources import transcripts
+from brevia.sources.folders import shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -209,6 +210,61 @@ def meter_top_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meter.top_commands(live, rollup, 10)
 
 
+@query(
+    f"WITH {_FACTS}, s AS (SELECT {_SUMS} FROM every), t AS (SELECT command, {_SUMS} FROM every GROUP BY command ORDER BY saved_tokens DESC, command LIMIT 10) "
+    "SELECT 'Total commands:  ' || commands AS line FROM s UNION ALL SELECT 'Input tokens:    ' || input_tokens FROM s UNION ALL SELECT 'Output tokens:   ' || output_tokens FROM s "
+    "UNION ALL SELECT printf('Tokens saved:    %d (%.1f%%)', greatest(input_tokens - output_tokens, 0), savings_pct) FROM s UNION ALL SELECT unnest(['', 'Top commands by savings:']) FROM s "
+    "UNION ALL SELECT '  ' || rpad(command, greatest(20, length(command))::INTEGER, ' ') || ' ' || lpad(saved_tokens::VARCHAR, greatest(8, length(saved_tokens::VARCHAR))::INTEGER, ' ') || ' tokens' FROM t"
+)
+def meter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, rollup, now = _facts(spark, sf_dir)
+    return meter.report(live, rollup, F.to_date(now))["summary"]
+
+
+@query(
+    f"WITH {_FACTS}, d AS (SELECT date, {_SUMS} FROM every, n WHERE date >= now::DATE - 14 GROUP BY date) "
+    "SELECT date::VARCHAR || ' ' || lpad(saved_tokens::VARCHAR, greatest(6, length(saved_tokens::VARCHAR))::INTEGER, ' ') || ' ' || repeat('█', round(saved_tokens::DOUBLE / greatest((SELECT max(saved_tokens) FROM d), 1) * 40)::INTEGER) AS line FROM d"
+)
+def meter_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, rollup, now = _facts(spark, sf_dir)
+    return meter.report(live, rollup, F.to_date(now), days=14)["graph"]
+
+
+@query(
+    f"WITH {_FACTS}, s AS (SELECT {_SUMS} FROM every), t AS (SELECT command, {_SUMS} FROM every GROUP BY command ORDER BY saved_tokens DESC, command LIMIT 10), d AS (SELECT {_SUMS} FROM every, n WHERE date = now::DATE) "
+    "SELECT sha256('ann:/home/ann/.config') AS installation_id, s.commands AS total_commands, s.saved_tokens AS total_saved_tokens, s.savings_pct AS avg_savings_pct, "
+    "(SELECT string_agg(command || '=' || saved_tokens, ',' ORDER BY saved_tokens DESC, command) FROM t) AS top_commands, d.commands AS today FROM s, d"
+)
+def meter_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live, rollup, now = _facts(spark, sf_dir)
+    d = meter.telemetry(live, rollup, F.to_date(now), "ann", "/home/ann/.config", "1.0.0", "linux")
+    top = F.array_join(F.transform("top_commands", lambda c: F.concat(c["command"], F.lit("="), c["saved_tokens"].cast("string"))), ",")
+    return d.select("installation_id", "total_commands", "total_saved_tokens", "avg_savings_pct", top.alias("top_commands"), F.col("today.commands").alias("today"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS facts, sum(o_custkey)::BIGINT AS o_custkey FROM orders GROUP BY 1, 2")
+def snapshot_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums kept over three refreshes: of a part of the facts, within the time limit, and of all."""
+    facts = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    middle = facts.agg(F.avg("o_orderkey")).first()[0]
+    kept = snapshot.Snapshot(shared_folder(spark), ["o_orderstatus", "o_orderpriority"], ["o_custkey"], "o_orderkey")
+    kept.refresh(facts.filter(F.col("o_orderkey") < middle), now=0)
+    kept.refresh(facts, now=1)
+    return kept.refresh(facts, now=100)
+
+
+@query(
+    "WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_type, count(*) AS facts, max(ts) AS newest FROM events, n WHERE ts >= now - INTERVAL 9 DAY AND ts < now - INTERVAL 2 DAY GROUP BY event_type"
+)
+def facts_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a week, from the files that an index of least and greatest times names."""
+    e = table(spark, sf_dir, "events").select("ts", "event_type")
+    now, folder = F.lit(e.agg(F.max("ts")).first()[0]), shared_folder(spark)
+    snapshot.write_clustered(e, folder, "ts", 16)
+    d = snapshot.read_between(spark, folder, "ts", now - F.expr("interval 9 days"), now - F.expr("interval 2 days"))
+    return d.groupBy("event_type").agg(F.count("*").alias("facts"), F.max("ts").alias("newest"))
+
+
 _COMPACT = (
     "days AS (SELECT timestamp::DATE AS day FROM live, n WHERE timestamp::DATE < now::DATE GROUP BY 1 HAVING count(*) > 100), "
     "moved AS (SELECT timestamp::DATE AS date, command, count(*) AS commands, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, sum(saved_tokens) AS saved_tokens, avg(savings_pct) AS avg_savings_pct FROM live WHERE timestamp::DATE IN (SELECT day FROM days) GROUP BY 1, 2)"
