@@ -286,6 +286,21 @@ MORE_TOOLS = {
     "prisma": ("prisma generate", "CASE WHEN p_size % 2 = 0 THEN concat('built in ', k) ELSE 'x' END", "CASE WHEN p_size % 2 = 0 THEN line END", "concat(coalesce(concat(string_agg(want, chr(10) ORDER BY k), chr(10)), ''), '✔ Generated Prisma Client')", "", "\n✔ Generated Prisma Client"),
     "inspect": ("docker inspect x", "concat(k, ',')", "CASE WHEN rn <= 16 THEN CAST(k AS VARCHAR) END", "concat('[', chr(10), array_to_string(list(want ORDER BY k) FILTER (want IS NOT NULL), concat(',', chr(10))), ',', chr(10), CASE WHEN count(*) >= 16 THEN concat('\"…', count(*) - 15, ' more…\"') ELSE '0' END, chr(10), ']')", "[", "\n0]"),
 }
+#: As ``TOOLS``: single runs and views of forges, other forms of builds, and certificates.
+OTHER_TOOLS = {
+    "runs": ("gh run list", "concat('✓  Fix ', k, '  CI build  main  push  123  1m')", "concat('✓ Fix ', k, ' (CI build)')", JOINED, "STATUS  TITLE\n", ""),
+    "issues": ("gh issue list", "concat('#', k, '  Bug ', p_size, '  bug, urgent  about 2 days ago')", "concat('#', k, ' Bug ', p_size, ' [bug]')", JOINED, "Showing 9 of 9\n", ""),
+    "pr": ("gh pr view 1", "concat('author:', chr(9), 'a', k)", "line", "concat('title: Hello', chr(10), 'state: OPEN')", "title:\tHello\nstate:\tOPEN\n", ""),
+    "issue": ("gh issue view 1", "concat('comments:', chr(9), k)", "line", "concat('title: Hello', chr(10), 'state: OPEN')", "title:\tHello\nstate:\tOPEN\n", ""),
+    "run": ("gh run view 1", "concat(CASE WHEN p_size % 2 = 0 THEN '✓' ELSE 'X' END, ' build', k, ' in 2m', chr(10), '  ✓ Set up', chr(10), '  X Run ', p_size, ' (5s)')", "concat(CASE WHEN p_size % 2 = 0 THEN '✓' ELSE 'X' END, ' build', k, ' (2m)', CASE WHEN p_size % 2 = 1 THEN concat(chr(10), '  X Run ', p_size) ELSE '' END)", f"concat('✓ main CI', chr(10), {JOINED}, chr(10), chr(10), 'ANNOTATIONS', chr(10), 'X bad', CASE WHEN arg_max(p_size, k) % 2 = 1 THEN concat(chr(10), 'X build', max(k), ' (2m)') ELSE '' END)", "✓ main CI\nTriggered via push\n\nJOBS\n", "\n\nANNOTATIONS\nX bad"),
+    "vitest": ("vitest run", "concat(CASE WHEN p_size % 2 = 0 THEN ' ✓ a' ELSE ' ✗ b' END, k, '.test.ts (1)')", "CASE WHEN p_size % 2 = 1 THEN line END", "concat(' ✗ b.test.ts (1)', chr(10), '   Error: y', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''), chr(10), chr(10), 'Tests: 1 failed')", " RUN  v1\n ✗ b.test.ts (1)\n   ✓ x\n   Error: y\n", "\n\nTests: 1 failed"),
+    "route": ("next build", "concat('┌ ○ /p', k)", "line", f"concat('▲ Next.js 14', chr(10), 'Route (app)', chr(10), {JOINED}, chr(10), '○  (Static)')", "▲ Next.js 14\nx\nRoute (app)\n", "\n○  (Static)"),
+    "dev": ("vite", "CASE WHEN p_size % 2 = 0 THEN concat('noise ', k) ELSE 'transforming' END", "line", "concat('VITE v5.0 ready in 1 ms', chr(10), '➜  Local: x')", "VITE v5.0 ready in 1 ms\n➜  Local: x\n", ""),
+    "migrate": ("prisma migrate dev", "CASE WHEN p_size % 2 = 0 THEN concat('Applying migration ', k) ELSE 'foo' END", "CASE WHEN p_size % 2 = 0 THEN line END", "concat('Applying migration', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''))", "Environment variables loaded\nApplying migration\n", ""),
+    "push": ("prisma db push", "concat('a', k)", "CASE WHEN rn <= 20 THEN line END", JOINED, "Environment variables loaded\n", ""),
+    "describe": ("kubectl describe pod x", "concat('Priority:     ', k)", "line", "concat('Name: x', chr(10), 'Conditions:', chr(10), '  Type  Status')", "Name:         x\n", "\nConditions:\n  Type  Status"),
+    "certificate": ("openssl x509 -text", "concat('                0', p_size % 10, ':aa:bb')", "line", "concat('Certificate:', chr(10), '    Data:', chr(10), '        Version: 3', chr(10), '        Issuer: CN=x')", "Certificate:\n    Data:\n        Version: 3\n        Serial Number:\n", "\n        Issuer: CN=x\n    Signature Value:\n        aa:bb"),
+}
 HOW = {"lint": "rule", "fix": "rule", "other": "none"}
 
 
@@ -315,3 +330,8 @@ def compress_mixed_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_mixed_sql(MORE_TOOLS))
 def compress_more_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, MORE_TOOLS)
+
+
+@query(_mixed_sql(OTHER_TOOLS))
+def compress_other_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, OTHER_TOOLS)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ def parse(events: DataFrame, body: str = "body") -> DataFrame:
         "total_commands": p["total_commands"] >= 0,
         "total_saved_tokens": p["total_saved_tokens"] >= 0,
         "avg_savings_pct": p["avg_savings_pct"].between(0, 100),
-        "top_commands": (F.size(p["top_commands"]) <= 50) & F.forall(p["top_commands"], lambda x: text(x["command"], 100) & (x["count"] >= 0) & (x["saved_tokens"] >= 0)),
-        "today": today.isNull() | (today["date"].rlike(r"^\d{4}-\d{2}-\d{2}$") & counts(today["commands"])[0] & counts(today["saved_tokens"])[0]),
+        "top_commands": p["top_commands"].isNull() | (F.size(p["top_commands"]) <= 50) & F.forall(p["top_commands"], lambda x: text(x["command"], 100) & (x["count"] >= 0) & (x["saved_tokens"] >= 0)),
+        "today": today.isNull() | (today["date"].rlike(r"^\d{4}-\d{2}-\d{2}$") & reduce(and_, counts(*[today[c] for c in ("commands", "input_tokens", "output_tokens", "saved_tokens")]))),
     }
     failed = F.concat_ws(",", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
     status = F.when(F.octet_length(body) > LARGEST_BODY, 413).when(p.isNull() | (failed != ""), 400).otherwise(200)

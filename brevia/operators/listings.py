@@ -185,12 +185,14 @@ gh_pr_view, gh_issue_view = gh_view(*PR_KEYS), gh_view(*ISSUE_KEYS)
 
 
 def gh_run_view(raw: Column) -> Column:
-    """The first line, jobs with their time, failed steps of failed jobs, and annotations."""
+    """The first line, jobs with their time, failed steps of failed jobs, and annotations, after which the last job is told again if it failed."""
     parts = F.split(raw, r"(?dm)^[ \t]*ANNOTATIONS[ \t\r]*$", 2)
     jobs = T.blocks(F.regexp_replace(parts[0], r"\A.*", ""), r"[ \t]*[✓X✗\-][ \t]+.+?[ \t]+in[ \t]+.")
     failed = lambda b: F.transform(F.filter(T.lines(b), lambda x: x.rlike(RUN_STEP)), lambda x: _say("  X ", _part(x, RUN_STEP)))
     job = lambda b: T.let(T.trimmed(T.lines(b)[0]), lambda x: F.concat(F.array(_say(_part(x, RUN_JOB), " ", _part(x, RUN_JOB, 2), " (", _part(x, RUN_JOB, 3), ")")), F.when(F.startswith(x, F.lit("X")), failed(b)).otherwise(_no_lines())))
-    notes = F.when(F.size(parts) > 1, F.concat(F.array(F.lit(""), F.lit("ANNOTATIONS")), F.transform(_full(F.get(parts, F.lit(1))), T.trimmed))).otherwise(_no_lines())
+    last = F.filter(F.slice(_flat(F.slice(jobs, -1, 1), job), 1, 1), lambda x: F.startswith(x, F.lit("X")))
+    again = F.when(F.size(jobs) > 0, last).otherwise(_no_lines())
+    notes = F.when(F.size(parts) > 1, F.concat(F.array(F.lit(""), F.lit("ANNOTATIONS")), F.transform(_full(F.get(parts, F.lit(1))), T.trimmed), again)).otherwise(_no_lines())
     return _or_raw(raw, F.concat(_flat(jobs, job), notes), lambda a: T.joined(F.concat(F.slice(T.lines(raw), 1, 1), a)))
 
 

@@ -4,7 +4,8 @@ from brevia.operators import findings, tools
 from brevia.plans import rules as R
 
 CASES = {
-    "gh run view 1": ("✓ main CI\nTriggered via push\n\nJOBS\n✓ build in 2m\n  ✓ Set up\nX test in 3m\n  ✓ Set up\n  X Run tests (5s)\n      detail\n\nANNOTATIONS\nX failed here\n", "✓ main CI\n✓ build (2m)\nX test (3m)\n  X Run tests\n\nANNOTATIONS\nX failed here"),
+    "gh run view 1": ("✓ main CI\nTriggered via push\n\nJOBS\n✓ build in 2m\n  ✓ Set up\nX test in 3m\n  ✓ Set up\n  X Run tests (5s)\n      detail\n\nANNOTATIONS\nX failed here\n", "✓ main CI\n✓ build (2m)\nX test (3m)\n  X Run tests\n\nANNOTATIONS\nX failed here\nX test (3m)"),
+    "gh run view 2": ("✓ main CI\n\nJOBS\nX test in 3m\n  X Run (5s)\n✓ build in 2m\n\nANNOTATIONS\nX bad\n", "✓ main CI\nX test (3m)\n  X Run\n✓ build (2m)\n\nANNOTATIONS\nX bad"),
     "gh run list": ("STATUS  TITLE\n✓  Fix it  CI build  main  push  123  1m", "✓ Fix it (CI build)"),
     "gh issue list": ("#5  Bug in parser  bug, urgent  about 2 days ago", "#5 Bug in parser [bug]"),
     "gh pr view 1": ("title:\tHello\nstate:\tOPEN\nauthor:\tme\nreviewers:\ta\n--\nurl:\tno\n", "title: Hello\nstate: OPEN\nreviewers: a"),
