@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -95,21 +96,47 @@ def daily_tokens(facts: DataFrame, late: str = "1 day") -> DataFrame:
     return d.agg(F.count("*").alias("commands"), F.sum("input_tokens").alias("input_tokens"), F.sum("saved_tokens").alias("saved_tokens")).select(F.col("window.start").cast("date").alias("date"), "command", "commands", "input_tokens", "saved_tokens")
 
 
-def ingest_fleet(pings: DataFrame, path: str, checkpoint: str):
-    """Start a query that keeps the table of installations at ``path``, merging each micro-batch into the version before it.
+def ingest_fleet(pings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that adds each micro-batch of pings to the table of installations below ``path``: a row for each installation that it saw.
 
-    Versions are folders by batch number, so a batch that is run again writes the same version.
+    A batch writes its own folder and nothing else, so its work is that of its pings, and a batch that is run again writes the same. ``read_fleet`` merges
+    the rows; ``compact_fleet`` does so once for all.
     """
-    spark = pings.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        new = fleet.instances(batch)
-        if number > 0:
-            old = spark.read.parquet(f"{path}/version={number - 1}")
-            both = old.unionByName(new).groupBy("installation_id")
-            latest = [F.max_by(c, "last_seen").alias(c) for c in ("os", "version", "total_commands", "total_saved_tokens", "avg_savings_pct")]
-            country = F.max_by("country", F.when(F.col("country").isNotNull(), F.col("last_seen"))).alias("country")
-            new = both.agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("seen"), country, *latest).withColumnRenamed("seen", "last_seen")
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return pings.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+
+    def add(batch: DataFrame, number: int) -> None:
+        fleet.instances(batch).write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+
+    return pings.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    latest = [F.max_by(c, F.struct("last_seen", "batch")).alias(c) for c in ("os", "version", "total_commands", "total_saved_tokens", "avg_savings_pct")]
+    country = F.max_by("country", F.when(F.col("country").isNotNull(), F.struct("last_seen", "batch"))).alias("country")
+    d = rows.groupBy("installation_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("seen"), country, *latest, F.max("batch").alias("batch"))
+    return d.withColumnRenamed("seen", "last_seen")
+
+
+def _since(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """The last batch that is compacted (-1 if none), and rows of that with those of later batches."""
+    batches = spark.read.parquet(f"{path}/batches")
+    try:
+        done = spark.read.parquet(f"{path}/compacted")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return -1, batches
+    upto = done.agg(F.max("upto")).first()[0]
+    return upto, done.filter(F.col("upto") == upto).drop("upto").unionByName(batches.filter(F.col("batch") > upto))
+
+
+def read_fleet(spark: SparkSession, path: str) -> DataFrame:
+    """The table of installations as of the last batch: what was compacted, merged with later batches; older ones aren't read."""
+    return _merged(_since(spark, path)[1]).drop("batch")
+
+
+def compact_fleet(spark: SparkSession, path: str) -> None:
+    """Merge all batches up to now into one table beside the ones before, whose folder says how far it reaches."""
+    upto, rows = _since(spark, path)
+    newest = spark.read.parquet(f"{path}/batches").agg(F.max("batch")).first()[0]
+    if newest is not None and newest > upto:
+        _merged(rows.filter(F.col("batch") <= newest)).write.mode("overwrite").parquet(f"{path}/compacted/upto={newest}")

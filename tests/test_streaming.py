@@ -119,11 +119,23 @@ def test_fleet_ingest_merges_batches(spark, tmp_path):
     rows = spark.range(60).selectExpr("id as ping_id", "cast(id % 7 as string) as installation_id", "timestamp_seconds(id * 60) as ts", "if(id % 5 = 0, 'DE', null) as country", "concat('os', id % 4) as os", "'1' as version", "id as total_commands", "id as total_saved_tokens", "1.0D as avg_savings_pct")
     for i in range(3):
         rows.filter(F.col("ping_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = jobs.ingest_fleet(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    start = lambda: jobs.ingest_fleet(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
+    q = start()
+    q.processAllAvailable()
+    q.stop()
+    columns = ["installation_id", "first_seen", "last_seen", "country", "os", "total_commands"]
+    found = lambda: sorted(tuple(r) for r in jobs.read_fleet(spark, str(tmp_path / "out")).select(columns).collect())
+    want = lambda d: sorted(tuple(r) for r in fleet.instances(d).select(columns).collect())
+    assert found() == want(rows)
+    assert len(list((tmp_path / "out" / "batches").glob("batch=*"))) == 3  # each wrote its own rows only
+    jobs.compact_fleet(spark, str(tmp_path / "out"))
+    jobs.compact_fleet(spark, str(tmp_path / "out"))
+    assert found() == want(rows)
+    more = rows.withColumns({"ping_id": F.col("ping_id") + 60, "ts": F.col("ts") + F.expr("interval 1 day"), "country": F.lit(None).cast("string")})
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = start()
     q.processAllAvailable()
     q.stop()
-    last = max((tmp_path / "out").glob("version=*"), key=lambda p: int(p.name.split("=")[1]))
-    columns = ["installation_id", "first_seen", "last_seen", "os", "total_commands"]
-    got = sorted(tuple(r) for r in spark.read.parquet(str(last)).select(columns).collect())
-    assert got == sorted(tuple(r) for r in fleet.instances(rows).select(columns).collect())
+    assert found() == want(rows.union(more))
+    jobs.compact_fleet(spark, str(tmp_path / "out"))
+    assert found() == want(rows.union(more))
