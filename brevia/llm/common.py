@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +44,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on, and what it keeps is missing to the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator, rows: int = SLICE) -> Iterator[pd.DataFrame]:
-    """The same rows in smaller pieces, so that what a worker makes of a batch of long texts isn't held for all of them; an empty batch is one piece."""
-    for b in batches:
-        for i in range(0, max(1, len(b)), rows):
-            yield b.iloc[i : i + rows]
+    """The same rows in smaller pieces, so that what a worker makes of a batch of long texts isn't held for all of them; an empty batch is one piece.
+
+    What earlier tasks of the worker left is given back first, and what this one leaves in the end.
+    """
+    give_back()
+    try:
+        for b in batches:
+            for i in range(0, max(1, len(b)), rows):
+                yield b.iloc[i : i + rows]
+    finally:
+        b = None
+        give_back()
 
 
 def cut(df: DataFrame) -> DataFrame:

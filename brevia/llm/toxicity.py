@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia.llm.common import cut, table
+from brevia.llm.common import cut, table, slices
 
 #: Labelled rows that a model is fitted on at most, by order of a hash; a lexicon has so many entries at most.
 TRAIN_ROWS = 12_000
@@ -113,7 +113,7 @@ class ToxicityModel:
         @F.pandas_udf("array<double>")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             cache: dict = {}
-            for texts in batches:
+            for texts in slices(batches):
                 yield pd.Series([dense_features(t, lexicon, cache) for t in texts])
 
         return of(text)
