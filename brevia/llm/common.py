@@ -69,12 +69,15 @@ def slices(batches: Iterator, rows: int = SLICE) -> Iterator[pd.DataFrame]:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder, so that lost executors lose no data.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session that names none (a test)
-    gets a temporary one.
+    The folder is the session's ``spark.checkpoint.dir``; a local session that names none (a test) gets a temporary one, and on a
+    cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia.llm.common import cut, table, slices
+from brevia.llm.common import cut, slices, table
 
 #: Labelled rows that a model is fitted on at most, by order of a hash; a lexicon has so many entries at most.
 TRAIN_ROWS = 12_000
@@ -94,7 +94,7 @@ def dense_features(text: str | None, lexicon: dict[str, float], cache: dict) ->
     return [
         total / n, float(len(hits)), most, stem_total / n, float(len(stems)), near / n, len(second) / n,
         upper / letters, capitals / n, text.count("!") / n, len(_PUNCT.findall(text)) / size, len(_SYMBOL.findall(text)) / size,
-        obfuscated / n, float(min(n, 100_000)).__pow__(0.25),
+        obfuscated / n, float(n) ** 0.25,
     ]
 
 
