@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brevia.operators import compressors as C
 from brevia.operators import tools
 from brevia.plans.rules import Rule
+from brevia.sources.tables import read as table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,10 +24,6 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def runs_of(rows: DataFrame, run: str, order: str, line: str, header: str = "", footer: str = "") -> DataFrame:
     """(run_id, raw): the rows' lines put together in order, by SQL expressions.
 

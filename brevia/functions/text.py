@@ -53,8 +53,17 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Lines without their ends (LF or CRLF); a last end makes no further line, and an empty text has none."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1))
+    """Lines without their ends (LF or CRLF); a last end makes no further line, and an empty text has none.
+
+    Texts without CRLF, nearly all, are cut at a plain character, which takes a quarter of the time that the pattern takes.
+    """
+
+    def of(t: Column) -> Column:
+        body = F.when(F.endswith(t, F.lit("\n")), F.left(t, F.char_length(t) - 1)).otherwise(t)
+        with_returns = F.split(F.regexp_replace(t, r"\r?\n\z", ""), r"\r?\n", -1)
+        return F.when(t == "", F.array().cast("array<string>")).when(t.contains("\r\n"), with_returns).otherwise(F.split(body, "\n", -1))
+
+    return let(text, of)
 
 
 def joined(array: Column) -> Column:
@@ -75,7 +84,8 @@ def count_tokens(text: Column) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, ANSI, "")
+    """Texts without an escape character aren't searched."""
+    return let(text, lambda t: F.when(t.contains("\x1b"), F.regexp_replace(t, ANSI, "")).otherwise(t))
 
 
 def strip_progress_noise(text: Column) -> Column:
@@ -94,12 +104,13 @@ def truncate_words(text: Column, most: int) -> Column:
     return F.when(F.char_length(t) > most, F.concat(F.regexp_replace(F.left(t, F.lit(most - 1)), r"(?U)\s+\z", ""), F.lit("…"))).otherwise(t)
 
 
-def head_tail(array: Column, head: int, tail: int) -> Column:
+def head_tail(array: Column, head: int | Column, tail: int | Column) -> Column:
     """First and last elements around a line that tells how many were left out."""
+    head, tail = (x if isinstance(x, Column) else F.lit(x) for x in (head, tail))
     n = F.size(array)
     gap = F.concat(F.lit("... ("), (n - head - tail).cast("string"), F.lit(" lines omitted) ..."))
-    last = F.slice(array, n - tail + 1, F.lit(tail)) if tail else F.array().cast("array<string>")
-    return F.when(n > head + tail, F.concat(F.slice(array, F.lit(1), F.lit(head)), F.array(gap), last)).otherwise(array)
+    last = F.when(tail > 0, F.slice(array, n - tail + 1, tail)).otherwise(F.array().cast("array<string>"))
+    return F.when(n > head + tail, F.concat(F.slice(array, F.lit(1), head), F.array(gap), last)).otherwise(array)
 
 
 def window(array: Column, head: int | None, tail: int | None) -> Column:
@@ -226,21 +237,24 @@ def post_pass(text: Column, ultra: bool = False) -> Column:
 
 def policy_cap(text: Column, tool: Column) -> Column:
     """The output cap of the tool's policy; tools without one have that of ``unknown``."""
-    out = output_cap(text, *POLICIES["unknown"])
-    for name, policy in POLICIES.items():
-        out = F.when(tool == name, output_cap(text, *policy)).otherwise(out)
-    return out
+    policies = F.create_map(*[x for name, p in POLICIES.items() for x in (F.lit(name), F.struct(*[F.lit(n).alias(k) for k, n in zip(("most", "head", "tail"), p, strict=True)]))])
+    policy = F.coalesce(F.try_element_at(policies, tool), F.try_element_at(policies, F.lit("unknown")))
+    return let(policy, lambda p: output_cap(text, p["most"], p["head"], p["tail"]))
 
 
 def hard_cap(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(max(most - 16, 0))), F.lit("... (truncated)"))).otherwise(text)
 
 
-def output_cap(text: Column, most: int, head: int, tail: int) -> Column:
+def output_cap(text: Column, most: int | Column, head: int | Column, tail: int | Column) -> Column:
     """Over ``most`` characters: head and tail lines around a mark, or a plain cut if there are few lines."""
-    array = lines(text)
-    cut = F.when(F.size(array) <= head + tail, F.left(text, F.lit(most))).otherwise(joined(head_tail(array, head, tail)))
-    return F.when(F.char_length(text) > most, cut).otherwise(text)
+    most, head, tail = (x if isinstance(x, Column) else F.lit(x) for x in (most, head, tail))
+
+    def cut(t: Column) -> Column:
+        shorter = let(lines(t), lambda a: F.when(F.size(a) <= head + tail, F.left(t, most)).otherwise(joined(head_tail(a, head, tail))))
+        return F.when(F.char_length(t) > most, shorter).otherwise(t)
+
+    return let(text, cut)
 
 
 def redact_paths(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -299,15 +300,16 @@ def native(words: Column, raw: Column) -> Column:
     return reduce(lambda out, c: out.when(c[0], T.let(raw, c[1])), others, F.when(condition, T.let(raw, first)))
 
 
-_BUILT: dict[str, Column] = {}
+_BUILT: dict[str, tuple[Column, Column]] = {}
 
 
-def _native_once(spark: SparkSession) -> Column:
-    """``native`` over the columns ``__words`` and ``__raw``. Making the expression takes the driver some ten seconds, so each application makes it once."""
+def _native_once(spark: SparkSession) -> tuple[Column, Column]:
+    """Whether there is a filter, and ``native``, over the columns ``__words`` and ``__raw``. Making the expression takes the driver some ten seconds, so each application makes it once."""
     application = spark.sparkContext.applicationId
     if application not in _BUILT:
+        words, raw = F.col("__words"), F.col("__raw")
         _BUILT.clear()
-        _BUILT[application] = native(F.col("__words"), F.col("__raw"))
+        _BUILT[application] = reduce(or_, [condition for condition, _ in _families(words)]), native(words, raw)
     return _BUILT[application]
 
 
@@ -318,31 +320,35 @@ def prints_json(words: Column) -> Column:
     return F.coalesce(tool.isin("docker", "podman", "nerdctl") & (sub == "inspect") | tool.isin("kubectl", "k") & (sub == "get") & (T.output_format(args) == "json"), F.lit(False))
 
 
-def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str = "command", raw: str = "raw", out: str = "compressed", agent: str = "unknown", ultra: bool = False, nested: bool = True) -> DataFrame:
+def compress(runs: DataFrame, rules: list[R.Rule] | None = None, command: str = "command", raw: str = "raw", out: str = "compressed", agent: str | Column = "unknown", ultra: bool = False, nested: bool = True) -> DataFrame:
     """Add ``out`` and ``how``: a tool's own filter, else the rule whose beginning fits best, else the text with secrets and paths redacted.
 
-    What filters and rules give is capped by the agent's policy and passes the last clean-up. Null texts count as empty, and a null command
+    What filters and rules give is capped by the policy of the agent, a name or a column of names (unknown and null ones have the
+    smallest), and passes the last clean-up. Null texts count as empty, and a null command
     has no filter. ``nested`` compacts JSON that a command prints, in Python workers that get only such texts; without it all stays in the JVM.
     Runs aren't shuffled; rules are joined as data. Other columns stay as they are; columns named like ``out`` or ``how`` are replaced.
     """
-    kept = runs.select(F.struct(*[c for c in runs.columns if c not in (out, "how")]).alias("__row"), F.col(command).alias("__command"), F.coalesce(F.col(raw), F.lit("")).alias("__given"))
+    kept = runs.select(F.struct(*[c for c in runs.columns if c not in (out, "how")]).alias("__row"), F.col(command).alias("__command"), F.coalesce(F.col(raw), F.lit("")).alias("__given"), F.coalesce(agent if isinstance(agent, Column) else F.lit(agent), F.lit("unknown")).alias("__agent"))
     words = F.filter(F.split(T.trimmed(F.coalesce("__command", F.lit(""))), r"\s+"), lambda w: w != "")
     d = T.once(kept, __words=words, __raw=T.strip_progress_noise(T.strip_ansi(F.col("__given"))))
-    own = _native_once(runs.sparkSession)
+    has_own, own = _native_once(runs.sparkSession)
+    d = d.withColumn("__has_own", has_own)
     if nested:
         d = d.withColumn("__json", S.compact_json(F.when(prints_json(F.col("__words")), F.col("__raw"))))
-        own = F.coalesce(F.col("__json"), own)
-    d = T.once(d, __own=own)
+        d, own = d.withColumn("__has_own", F.col("__has_own") | F.col("__json").isNotNull()), F.coalesce(F.col("__json"), own)
     if rules:
-        d = R.match_rules(d, R.rule_table(d.sparkSession, rules), F.array_join("__words", " ")).withColumn("rule", F.when(F.col("__own").isNull(), F.col("rule")))
+        d = R.match_rules(d, R.rule_table(d.sparkSession, rules), F.array_join("__words", " ")).withColumn("rule", F.when(~F.col("__has_own"), F.col("rule")))
         d = R.apply_rules(d, rules, "__raw", "__ruled")
     else:
         d = d.withColumns({"rule": F.lit(None).cast("string"), "__ruled": F.col("__raw")})
-    found = T.once(d, __found=F.coalesce("__own", F.when(F.col("rule").isNotNull(), F.col("__ruled"))))
-    capped = T.post_pass(T.output_cap(F.col("__found"), *T.POLICIES[agent]), ultra)
-    how = F.when(F.col("__own").isNotNull(), "native").when(F.col("rule").isNotNull(), "rule").otherwise("none")
+    # the filters' expression comes last, as each later step would look through all of it again
+    found = T.once(d, __found=F.when(F.col("__has_own"), own).when(F.col("rule").isNotNull(), F.col("__ruled")))
+    capped = T.post_pass(T.policy_cap(F.col("__found"), F.col("__agent")), ultra)
+    how = F.when(F.col("__has_own"), "native").when(F.col("rule").isNotNull(), "rule").otherwise("none")
     text = F.when(F.col("__found").isNotNull(), capped).otherwise(T.sanitize_output(F.col("__raw")))
-    return found.select("__row.*", text.alias(out), how.alias("how"))
+    # in a step of its own, as within a lambda a name may mean a column that the row brings along
+    done = found.select("__row", text.alias("__text"), how.alias("__how"))
+    return done.select("__row.*", F.col("__text").alias(out), F.col("__how").alias("how"))
 
 
 def env_flag(value: Column) -> Column:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
-from brevia.plans.rules import Rule
+from brevia.plans.rules import Rule, by_precedence, extended, load_rules
 
 #: Kinds of lines that tell a reader nothing, each with the patterns by which it is known.
 NOISE: dict[str, tuple[str, ...]] = {
@@ -200,3 +201,18 @@ def library() -> tuple[Rule, ...]:
         patterns = tuple(p for k in kinds.split() for p in NOISE[k]) + own
         rules.append(Rule(name, tuple(beginnings.split(", ")), patterns, head, tail, width, empty_message=message))
     return tuple(rules)
+
+
+def extension_rules(folder: str) -> list[Rule]:
+    """Rules of all extensions below a folder, each in its subfolder ``rules``; none if there is no such folder."""
+    return [r for path in sorted(Path(folder).glob("*/rules")) if path.is_dir() for r in load_rules(str(path), "extension")]
+
+
+def active_rules(project: str | None = None, trusted: bool = False, extensions: str | None = None) -> list[Rule]:
+    """The rules that count: a project's, if it is trusted, then those of extensions, then the library's, less those whose name came before.
+
+    Rules that extend one that there isn't are left out.
+    """
+    found = [*(load_rules(project, "project", trusted) if project else ()), *(extension_rules(extensions) if extensions else ()), *library()]
+    names = {r.name for r in found}
+    return by_precedence(extended(r for r in found if r.extends is None or r.extends in names))

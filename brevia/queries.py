@@ -13,6 +13,8 @@ from brevia.operators import dedup, fleet, meter, scan, snapshot
 from brevia.plans import rules as R
 from brevia.sources import transcripts
 from brevia.sources.folders import shared_folder
+from brevia.sources.tables import read as table
+from brevia.sources.tables import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,8 +30,9 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents for work on their texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
 
 
 #: The rule that documents are compressed with in the queries below.
@@ -53,7 +56,7 @@ p AS (SELECT doc_id, lang, source, text, CASE WHEN NOT regexp_matches(text, '\\S
 
 
 def compressed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    d = texts(spark, sf_dir, "lang", "source")
     return R.apply_rule(d, DOC_RULE, "text", "out")
 
 
@@ -73,7 +76,7 @@ def rule_pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT lang, sum({_TOKENS.format('text')})::BIGINT AS tokens, sum(len({_LINES.format('text')}))::BIGINT AS n_lines FROM documents GROUP BY lang")
 def count_tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "lang")
     return d.groupBy("lang").agg(F.sum(T.count_tokens(F.col("text"))).alias("tokens"), F.sum(F.size(T.lines(F.col("text")))).cast("long").alias("n_lines"))
 
 
@@ -89,7 +92,7 @@ _LITERALS = " UNION ALL SELECT * FROM (VALUES (-1, 'auth: Bearer abc.def token=x
 )
 def redact_secrets_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = [(-1, "auth: Bearer abc.def token=xyz"), (-2, "/home/ann/x /Users/bob.b/y ghp_" + "a" * 36), (-3, "AKIA" + "Q" * 16 + " sk-" + "b" * 48 + " -----BEGIN RSA PRIVATE KEY-----")]
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    d = texts(spark, sf_dir).union(spark.createDataFrame(more, "doc_id long, text string"))
     d = d.withColumn("clean", T.sanitize_output(F.col("text"))).filter("clean <> text")
     return d.select("doc_id", F.md5("clean").alias("digest"), F.regexp_count("clean", F.lit(r"\[REDACTED\]")).cast("long").alias("hits"))
 
@@ -100,7 +103,7 @@ def redact_secrets_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, md5(plain) AS plain, md5(regexp_replace(array_to_string(list_transform(ls, lambda l: regexp_replace(l, '(?s)^.*\\r', '')), chr(10)), '[█▓▒░╱╲│─━═]{2,}', '', 'g')) AS quiet FROM u"
 )
 def strip_ansi_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     x, y = F.concat(F.lit("\x1b[31m"), "text", F.lit("\x1b[0m")), F.concat(F.lit("10%\r50%██░░\r"), "text")
     return d.select("doc_id", F.md5(T.strip_ansi(x)).alias("plain"), F.md5(T.strip_progress_noise(y)).alias("quiet"))
 
@@ -113,7 +116,7 @@ def strip_ansi_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, count(*)::BIGINT AS runs, sum(CASE WHEN n >= 3 THEN 1 ELSE n END)::BIGINT AS lines_left, count_if(n >= 3)::BIGINT AS folded FROM n GROUP BY doc_id"
 )
 def dedupe_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.once(table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", "text"), a=T.lines(F.col("text")))
+    d = T.once(texts(spark, sf_dir).filter("text <> ''"), a=T.lines(F.col("text")))
     d = T.once(d, runs=F.size(T.dedupe_repeated_lines(F.col("a"), 2)).cast("long"), out=T.dedupe_repeated_lines(F.col("a")))
     folded = F.size(F.filter("out", lambda x: x.rlike(" \\(×[0-9]+\\)$"))).cast("long")
     return d.select("doc_id", "runs", F.size("out").cast("long").alias("lines_left"), folded.alias("folded"))
@@ -127,7 +130,7 @@ def dedupe_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "md5(CASE WHEN length(text) > 1000 THEN text[1:984] || '... (truncated)' ELSE text END) AS capped FROM d"
 )
 def head_tail_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.once(table(spark, sf_dir, "documents").select("doc_id", "text"), a=T.lines(F.col("text")))
+    d = T.once(texts(spark, sf_dir), a=T.lines(F.col("text")))
     a = F.col("a")
     return d.select(
         "doc_id", F.md5(T.joined(T.head_tail(a, 5, 3))).alias("marked"), F.md5(T.joined(T.window(a, 5, 3))).alias("plain"),
@@ -143,7 +146,7 @@ def head_tail_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, (CASE WHEN total <= 100 OR h + t >= n OR (h = 0 AND t = 0) THEN n ELSE h + t + 1 END)::BIGINT AS lines_left FROM g"
 )
 def head_tail_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = T.once(table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", "text"), a=T.lines(F.col("text")))
+    d = T.once(texts(spark, sf_dir).filter("text <> ''"), a=T.lines(F.col("text")))
     return d.select("doc_id", F.size(T.head_tail_by_tokens(F.col("a"), 100)).cast("long").alias("lines_left"))
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia import sql
-from brevia.compressor_queries import runs_of, table
+from brevia.compressor_queries import runs_of
 from brevia.functions import text as T
 from brevia.operators import rule_reports, scan, tools
 from brevia.plans import rules as R
 from brevia.plans.library import library
+from brevia.queries import texts
 from brevia.sources import transcripts
+from brevia.sources.tables import read as table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,7 +79,7 @@ def rule_library_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") SELECT *, coalesce(lag(tokens) OVER (ORDER BY position), tokens) - tokens AS lost_tokens, round(100.0 * (1 - tokens::DOUBLE / first_value(tokens) OVER (ORDER BY position)), 6) AS savings_pct FROM n"
 )
 def profile_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rule_reports.profile(table(spark, sf_dir, "documents"), "text")
+    d = rule_reports.profile(texts(spark, sf_dir), "text")
     return d.withColumn("savings_pct", F.round("savings_pct", 6))
 
 
@@ -144,7 +146,7 @@ def hook_payload_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.register(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = texts(spark, sf_dir)
     return spark.sql(
         "SELECT d.doc_id, brevia_count_tokens(text) AS tokens, brevia_n_lines(text) AS n_lines, md5(brevia_head_tail(text, 3, 2)) AS ends, brevia_content_hash(text) AS hash, brevia_saved(brevia_n_lines(text), 7) AS saved, "
         r"(SELECT count(*) FROM brevia_kept_lines(text, r'^\s*$')) AS kept FROM {d} d",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from brevia.functions import text as T
 from brevia.operators import rule_reports, tools
 from brevia.plans import rules as R
-from brevia.plans.library import NOISE, library
+from brevia.plans.library import NOISE, active_rules, library
 
 #: A command, what its tool prints, what must stay, and percents of tokens that must go at least.
 RUNS = {
@@ -114,7 +114,7 @@ def test_profile_of_nothing(spark):
     assert rule_reports.profile(d.limit(0)).count() == 4
 
 
-@pytest.mark.parametrize("columns", [{"__words": "w", "__own": 1, "__found": 2, "rule": "mine", "__row": 3, "__rule": 4}, {}])
+@pytest.mark.parametrize("columns", [{"__words": "w", "__own": 1, "__found": 2, "rule": "mine", "__row": 3, "__rule": 4, "__text": 5, "__how": 6, "__agent": 7, "__given": 8}, {}])
 def test_compress_keeps_columns_and_reads_single_blanks(spark, columns):
     d = spark.createDataFrame([("  pack   x ", "n\nkept"), ("git push", ""), (None, "/home/ann/")], "command string, raw string").select("*", *[F.lit(v).alias(k) for k, v in columns.items()])
     out = tools.compress(d, [R.Rule("p", ("pack x",), ("^n",))])
@@ -137,3 +137,25 @@ def test_caps_footers_and_short_forms(spark):
     assert len(lines) == 91 and lines[60] == "... (110 lines omitted) ..." and lines[-1].startswith("line 199 ") and out["many"]["wide"] == many
     assert out["few"]["cap"] == few[:30_000] and out["few"]["wide"] == few
     assert out["node"]["post"] == "a" and out["done"]["ultra"] == "ok" and out["some"]["ultra"] == "kept" and out["some"]["post"] == "kept\nDone in 3 s"
+
+
+def test_active_rules(spark, tmp_path):
+    project, extension = tmp_path / "project", tmp_path / "ext" / "pack" / "rules"
+    project.mkdir()
+    extension.mkdir(parents=True)
+    (project / "a.toml").write_text('[filter]\nname = "jest"\ncommands = ["jest"]\n')
+    (extension / "a.toml").write_text('[filter]\nname = "jest"\ncommands = ["j"]\n')
+    (extension / "b.toml").write_text('[filter]\nname = "mine"\ncommands = ["mine"]\nextends = "mypy"\n')
+    (extension / "c.toml").write_text('[filter]\nname = "lost"\ncommands = ["lost"]\nextends = "none"\n')
+    of = lambda **k: {r.name: r for r in active_rules(**k)}
+    found = of(project=str(project), trusted=True, extensions=str(tmp_path / "ext"))
+    assert found["jest"].source == "project" and found["mine"].head_lines == 80 and "lost" not in found and len(found) == 129
+    assert of(project=str(project), extensions=str(tmp_path / "ext"))["jest"].commands == ("j",)
+    assert active_rules(extensions=str(tmp_path / "none")) == active_rules() == list(library())
+
+
+def test_policies_by_agent(spark):
+    text = "\n".join(f"line {i} " + "x" * 400 for i in range(200))
+    d = spark.createDataFrame([("pack", text, a) for a in ("claude_code", "gemini", "other", None)], "command string, raw string, who string")
+    out = tools.compress(d, [R.Rule("p", ("pack",))], agent=F.col("who"), nested=False).collect()
+    assert [len(r["compressed"].split("\n")) for r in out] == [200, 200, 91, 91]
