@@ -290,7 +290,7 @@ OTHER_TOOLS = {
     "pr": ("gh pr view 1", "concat('author:', chr(9), 'a', k)", "line", "concat('title: Hello', chr(10), 'state: OPEN')", "title:\tHello\nstate:\tOPEN\n", ""),
     "issue": ("gh issue view 1", "concat('comments:', chr(9), k)", "line", "concat('title: Hello', chr(10), 'state: OPEN')", "title:\tHello\nstate:\tOPEN\n", ""),
     "run": ("gh run view 1", "concat(CASE WHEN p_size % 2 = 0 THEN '✓' ELSE 'X' END, ' build', k, ' in 2m', chr(10), '  ✓ Set up', chr(10), '  X Run ', p_size, ' (5s)')", "concat(CASE WHEN p_size % 2 = 0 THEN '✓' ELSE 'X' END, ' build', k, ' (2m)', CASE WHEN p_size % 2 = 1 THEN concat(chr(10), '  X Run ', p_size) ELSE '' END)", f"concat('✓ main CI', chr(10), {JOINED}, chr(10), chr(10), 'ANNOTATIONS', chr(10), 'X bad', CASE WHEN arg_max(p_size, k) % 2 = 1 THEN concat(chr(10), 'X build', max(k), ' (2m)') ELSE '' END)", "✓ main CI\nTriggered via push\n\nJOBS\n", "\n\nANNOTATIONS\nX bad"),
-    "vitest": ("vitest run", "concat(CASE WHEN p_size % 2 = 0 THEN ' ✓ a' ELSE ' ✗ b' END, k, '.test.ts (1)')", "CASE WHEN p_size % 2 = 1 THEN line END", "concat(' ✗ b.test.ts (1)', chr(10), '   Error: y', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''), chr(10), chr(10), 'Tests: 1 failed')", " RUN  v1\n ✗ b.test.ts (1)\n   ✓ x\n   Error: y\n", "\n\nTests: 1 failed"),
+    "vitest": ("vitest run", "concat(CASE WHEN p_size % 2 = 0 THEN ' ✓ a' ELSE ' ✗ b' END, k, '.test.ts (1)')", "CASE WHEN p_size % 2 = 1 THEN line END", "concat(' ✗ b.test.ts (1)', chr(10), '   Error: y', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''), chr(10), ' ✗ z.test.ts (1)', chr(10), chr(10), 'Tests: 1 failed')", " RUN  v1\n ✗ b.test.ts (1)\n   ✓ x\n   Error: y\n", "\n ✗ z.test.ts (1)\n\nTests: 1 failed"),
     "route": ("next build", "concat('┌ ○ /p', k)", "line", f"concat('▲ Next.js 14', chr(10), 'Route (app)', chr(10), {JOINED}, chr(10), '○  (Static)')", "▲ Next.js 14\nx\nRoute (app)\n", "\n○  (Static)"),
     "dev": ("vite", "CASE WHEN p_size % 2 = 0 THEN concat('noise ', k) ELSE 'transforming' END", "line", "concat('VITE v5.0 ready in 1 ms', chr(10), '➜  Local: x')", "VITE v5.0 ready in 1 ms\n➜  Local: x\n", ""),
     "migrate": ("prisma migrate dev", "CASE WHEN p_size % 2 = 0 THEN concat('Applying migration ', k) ELSE 'foo' END", "CASE WHEN p_size % 2 = 0 THEN line END", "concat('Applying migration', coalesce(concat(chr(10), string_agg(want, chr(10) ORDER BY k)), ''))", "Environment variables loaded\nApplying migration\n", ""),
