@@ -104,6 +104,22 @@ SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_SOURCE_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    pow((('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656,
+      1 / coalesce(greatest(pow(length(translate(text, '#*$%&|<>', ''))::DOUBLE / greatest(length(text), 1), 2), 0.1), 0.1)) AS key FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (SELECT *, [3.0::DOUBLE, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM s
+), l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (SELECT *, least(cap, coalesce(max(CASE WHEN level < cap / w THEN level END) OVER () * w, cap)) AS target FROM l
+), r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs, CASE WHEN source_size > 0 THEN round(target)::BIGINT % source_size ELSE 0 END AS rest FROM t
+), k AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source
+"""
+
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _RANKED_SEARCH = f"""
 WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents
@@ -147,6 +163,7 @@ FROM ranks JOIN start USING (k) JOIN ends USING (k) LEFT JOIN proofs USING (k)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": _SOURCE_MIX,
     "op6_repeated_strings": _REPEATED_STRINGS,
     "op8_url_filter": _URL_FILTER,
     "op9_shingle_join": _similar(90),

@@ -43,3 +43,19 @@ def test_linked_pages_are_judged_as_their_sql_says(spark, tmp_path):
     assert got == want
     # the second link of page 13 joins both components, and in one of them a page of net.org is allowed
     assert urls.filter_urls(spark.read.parquet(str(tmp_path / "pages.parquet")).filter("page_id <> 13")).filter("verdict = 'block' and rule is null").count() == 4
+
+
+#: The last bits of a sum depend on its order, so that scores are compared to twelve digits.
+_NEIGHBOURS = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20
+"""
+
+
+def test_neighbours_are_those_of_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{SF}/embeddings.parquet')")
+    want = sorted((q, r, v, round(s, 12)) for q, r, v, s in con.execute(_NEIGHBOURS).fetchall())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in queries.QUERIES["op7_nearest_neighbours"](spark, SF).collect())
+    assert got == want
