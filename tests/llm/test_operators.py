@@ -431,3 +431,36 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
 def test_every_query_is_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in queries.QUERIES) == 1
+
+
+def test_toxicity_features_by_hand():
+    """Each feature again from its definition, on texts with look-alikes, capitals, pronouns and lexicon words."""
+    lexicon = {"idiot": 2.0, "idio+": 1.0, "stupi+": 3.0}
+    texts = ["You are an IDIOT!! Truly", "a b c d idiot f g h you", "1d10t stupidity @ your HOUSE #1", "", None, "été ÄÖ x", "you", "word " * 50]
+    for text in texts:
+        words = (text or "").split()
+        plain = [w.strip("\"'.,;:!?()[]{}<>*#%&|~`-_") for w in words]
+        mixed = [len(w) > 2 and w.isascii() and any(c.isalpha() for c in w) and any(c in "0123456789@$!*" for c in w) and all(c.isalnum() or c in "@$!*" for c in w) for w in plain]
+        plain = [(w.translate(str.maketrans("013457@$!", "oieastasi")).replace("*", "") if m else w).lower() for w, m in zip(plain, mixed, strict=True)]
+        hits = [i for i, w in enumerate(plain) if w in lexicon]
+        stem = [max([lexicon.get(w[:k] + "+", 0.0) for k in (4, 5) if len(w) > k], default=0.0) for w in plain]
+        second = [i for i, w in enumerate(plain) if w in toxicity.SECOND_PERSON]
+        near = [i for i in hits + [i for i, s in enumerate(stem) if s] if any(abs(i - j) <= 3 for j in second)]
+        n, t = len(words) or 1, text or ""
+        want = [
+            sum(lexicon[plain[i]] for i in hits) / n, len(hits), max([lexicon[plain[i]] for i in hits], default=0.0), sum(stem) / n, sum(s > 0 for s in stem), len(near) / n, len(second) / n,
+            sum(c.isupper() for c in t) / (sum(c.isalpha() for c in t) or 1), sum(len(w) > 2 and w.isupper() for w in words) / n, t.count("!") / n,
+            sum(not (c.isalnum() or c == "_" or c.isspace()) for c in t) / (len(t) or 1), sum(c in "#*$%&|<>" for c in t) / (len(t) or 1), sum(mixed) / n, n**0.25,
+        ]
+        assert np.allclose(toxicity.dense_features(text, lexicon, {}), want), text
+
+
+def test_toxicity_calibration_keeps_the_share_of_its_fold(spark):
+    """Isotonic regression fits means: over the fold that it is fitted on, scores add up to the labels, and they rise with the margin."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    d = model.score(docs).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").filter(toxicity.fold_of(F.col("doc_id")) == 2)
+    score, toxic = d.agg(F.sum("score"), F.sum("toxic")).first()
+    assert abs(score - toxic) < 0.02 * d.count()
+    p = model.calibration.predictions.toArray()
+    assert (np.diff(p) >= 0).all() and p.min() >= 0 and p.max() <= 1
