@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevia.functions import text as T
+
 #: The payload's schema, as DDL.
 PAYLOAD_DDL = (
     "installation_id string, os string, version string, total_commands long, total_saved_tokens long, avg_savings_pct double, "
@@ -97,3 +99,23 @@ def top_commands(stats: DataFrame, today: Column, days: int = 30, n: int = 10) -
 def daily_series(daily: DataFrame, since: str) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("commands", "input_tokens", "output_tokens", "saved_tokens")]
     return daily.filter(F.col("date") >= since).groupBy("date").agg(F.countDistinct("installation_id").alias("instances"), *sums).orderBy("date")
+
+
+def statistics(inst: DataFrame, stats: DataFrame, daily: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """One row, the dashboard's answer: totals, maps of active installations by country, system and version, the top commands and a series of days, with ``generated_at``.
+
+    Each part is aggregated where its rows are and is small by then (one row, or one for each value of a dimension, each of the top
+    commands, each day of the window), so that the parts are put together by broadcast.
+    """
+    one = lambda d: d.withColumn("__one", F.lit(1))  # noqa: E731 - each side is a single row
+    since = F.date_sub(F.to_date(now), days)
+    top = top_commands(stats, F.to_date(now), days).agg(F.array_sort(F.collect_list(F.struct((-F.col("saved_tokens")).alias("o"), "command", "count", "saved_tokens"))).alias("x"))
+    top = top.select(F.transform("x", lambda r: F.struct(r["command"].alias("command"), r["count"].alias("count"), r["saved_tokens"].alias("saved_tokens"))).alias("top_commands"))
+    series = daily.filter(F.col("date") >= F.date_format(since, "yyyy-MM-dd")).groupBy("date").agg(F.count_distinct("installation_id").alias("active_instances"), *[F.sum(c).alias(c) for c in ("commands", "input_tokens", "output_tokens", "saved_tokens")])
+    series = series.withColumn("avg_savings_pct", T.savings_pct_rounded(F.col("input_tokens"), F.col("output_tokens")))
+    series = series.agg(F.array_sort(F.collect_list(F.struct("date", "active_instances", "commands", "input_tokens", "output_tokens", "saved_tokens", "avg_savings_pct"))).alias("daily"))
+    total = totals(inst, now).select("active_instances", "total_instances", F.lit(ACTIVE_DAYS).alias("inactive_threshold_days"), F.col("saved_tokens").alias("total_saved_tokens"), (F.floor(F.col("avg_savings_pct") * 100 + 0.5) / 100).alias("avg_savings_pct"))
+    d = one(total)
+    for dim in ("country", "os", "version"):
+        d = d.join(F.broadcast(one(as_map(by(inst, now, dim), dim, "instances").withColumnRenamed(dim, f"by_{dim}"))), "__one")
+    return d.join(F.broadcast(one(top)), "__one").join(F.broadcast(one(series)), "__one").drop("__one").withColumn("generated_at", now)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,25 @@ class Snapshot:
         return self.read(spark, number)
 
 
+def cached(spark: SparkSession, path: str, now: float, make: Callable[[], DataFrame], ttl_s: float = TTL_S) -> DataFrame:
+    """What ``make`` gives, at most ``ttl_s`` seconds old: kept below ``path``, and made and kept again after that. ``now`` is in seconds.
+
+    A result is written before it is named, as in ``Snapshot``.
+    """
+    path = path.rstrip("/")
+    try:
+        last = spark.read.schema("made_at double").parquet(f"{path}/made").agg(F.max("made_at")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        last = None
+    if last is None or now - last >= ttl_s:
+        make().write.mode("overwrite").parquet(f"{path}/result={float(now)}")
+        spark.createDataFrame([(float(now),)], "made_at double").coalesce(1).write.mode("append").parquet(f"{path}/made")
+        last = float(now)
+    return spark.read.parquet(f"{path}/result={last}")
+
+
 def index_files(facts: DataFrame, column: str) -> DataFrame:
     """(file, low, high, n) of a table read from files: the least and greatest value of a column in each."""
     d = facts.select(F.col("_metadata.file_path").alias("file"), F.col(column).alias("v"))

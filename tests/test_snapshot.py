@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from brevia.operators import meter
-from brevia.operators.snapshot import Snapshot, index_files, read_between, retention, write_clustered
+from brevia.operators.snapshot import Snapshot, cached, index_files, read_between, retention, write_clustered
 
 
 def sums(d):
@@ -39,6 +39,16 @@ def test_refresh_of_nothing(spark, tmp_path):
     assert sums(kept.refresh(some, now=100)) == [("a", 1, 1)]
 
 
+def test_a_kept_result_has_its_time(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    assert [cached(spark, str(tmp_path / "r"), now, make, 60).count() for now in (0, 59.5, 60, 100, 130)] == [1, 1, 2, 2, 3]
+
+
 def test_files_that_hold_nothing_wanted_are_skipped(spark, tmp_path):
     path = str(tmp_path)
     facts = spark.range(10_000).selectExpr("timestamp_seconds((id * 7919) % 10000 * 3600) as ts", "id as v")
