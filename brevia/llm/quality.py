@@ -12,12 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia.llm.common import table
+from brevia.llm.common import slices, table
 
 #: Labelled documents that the field is fitted on at most, by order of a hash.
 TRAIN_ROWS = 3_000
 #: Lines of a training sequence; longer documents make several.
 TRAIN_LINES = 32
+#: Such sequences that the field is fitted on at most, and so some 30 MB that come to the driver, however long the documents are.
+TRAIN_SEQUENCES = 20_000
 #: Share of a document's characters in content lines from which it is kept.
 LEAST_CONTENT = 0.5
 
@@ -123,8 +125,8 @@ def _fit_field(seqs: list[tuple[np.ndarray, np.ndarray]], chain: bool, start: Li
     return LineField(w[: len(FEATURES)], float(w[len(FEATURES)]), w[-4:].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = TRAIN_ROWS, seed: int = 0) -> LineField:
-    """Fit the field on at most ``max_rows`` labelled documents, the first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = TRAIN_ROWS, max_sequences: int = TRAIN_SEQUENCES, seed: int = 0) -> LineField:
+    """Fit the field on at most ``max_rows`` labelled documents, the first by a hash of the id, and ``max_sequences`` of TRAIN_LINES lines of theirs, the first by a hash of id and place.
 
     Labels are of documents, so lines are labelled in two passes: first each line has its document's label and the
     field no transitions; then those lines of bad documents that look like content become content, and the chain is
@@ -136,22 +138,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("__id").agg(F.max("__label").alias("__label"))
         .orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(max_rows)
     )
-    # max_rows bounds what is broadcast; features of lines rather than texts come to the driver
+    # max_rows bounds what is broadcast, and max_sequences the features of lines, rather than texts, that come to the driver
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").filter("__text is not null")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = [line_features(t.split("\n")).astype(np.float32).ravel().tolist() for t in b["__text"]]
-            yield pd.DataFrame({"__id": b["__id"].astype(str), "__label": b["__label"], "x": pd.Series(x, dtype=object)})
-
-    got = rows.select("__id", "__label", "__text").mapInPandas(features, "__id string, __label int, x array<float>").toPandas()
-    got = got.sort_values("__id", kind="stable")
+        for b in slices(batches):
+            out = []
+            for i, label, t in zip(b["__id"].astype(str), b["__label"], b["__text"], strict=True):
+                x = line_features(t.split("\n")).astype(np.float32)
+                out += [(i, at, label, x[at : at + TRAIN_LINES].ravel().tolist()) for at in range(0, len(x), TRAIN_LINES)]
+            yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=t) for k, (c, t) in enumerate((("__id", object), ("__at", "int64"), ("__label", "int64"), ("x", object)))})
+
+    got = rows.select("__id", "__label", "__text").mapInPandas(features, "__id string, __at bigint, __label bigint, x array<float>")
+    got = got.orderBy(F.xxhash64("__id", "__at", F.lit(seed)), "__id", "__at").limit(max_sequences).toPandas().sort_values(["__id", "__at"], kind="stable")
     if got["__label"].nunique() < 2:
         return LineField(np.zeros(len(FEATURES)), 1.0, np.zeros((2, 2)))
-    seqs = []
-    for x, label in zip(got["x"], got["__label"], strict=True):
-        x = np.asarray(x, dtype=float).reshape(-1, len(FEATURES))
-        seqs += [(x[i : i + TRAIN_LINES], np.full(len(x[i : i + TRAIN_LINES]), int(label > 0))) for i in range(0, len(x), TRAIN_LINES)]
+    found = [np.asarray(x, dtype=float).reshape(-1, len(FEATURES)) for x in got["x"]]
+    seqs = [(x, np.full(len(x), int(label > 0))) for x, label in zip(found, got["__label"], strict=True)]
     plain = _fit_field(seqs, chain=False)
     seqs = [(x, np.where(x @ plain.emit + plain.bias > 0, 1, 0) if not y[0] else y) for x, y in seqs]
     return _fit_field(seqs, chain=True, start=plain)
