@@ -207,5 +207,6 @@ def default_path() -> str:
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, repeated ones and null ids too; a null text is empty, with no tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(encode_documents(docs, default_path(), out="__ids", check="__decoded"))

@@ -147,6 +147,7 @@ def _digest(text: str, spans: str) -> Column:
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, n_chunks, n_repeated, kept_sha256) of each row; a null text is empty, a row with a null id loses nothing, rows of one id are of equal rank and keep what they share."""
     d = repeated_passages(table(spark, sf_dir, "documents"))
     d = d.select(F.col("id").alias("doc_id"), "n_chunks", "n_repeated", F.size("spans").cast("long").alias("n_spans"), _digest("text", "spans").alias("x"))
     return d.select("doc_id", "x.n_bytes", "x.n_removed", "n_spans", "n_chunks", "n_repeated", "x.kept_sha256")

@@ -301,5 +301,6 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; a null text has no shingles and no links, a null id has a null component, and rows of one id share theirs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return similar_documents(docs, words=3, num=90, den=100).withColumnRenamed("id", "doc_id")

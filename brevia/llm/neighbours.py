@@ -197,5 +197,6 @@ def search(
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score) of 20 neighbours at most; vectors null, zero or not finite take no part, and equal scores go by vec_id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.filter("vec_id % 20 = 0"))

@@ -213,6 +213,7 @@ def quality_rules(docs: DataFrame, field: LineField, text_col: str = "text", lea
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of each row; a null text is empty and fails, as texts of fewer than 50 words do."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     field = fit(docs, table(spark, sf_dir, "labels"))
     d = quality_rules(docs, field, out="q").select("doc_id", "q.*")

@@ -215,6 +215,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **op
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row, repeated ones and null ids too; a null text is empty and holds nothing."""
     d = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="__s").select("doc_id", "__s")
     n = lambda kind: F.size(F.filter("__s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return d.select(

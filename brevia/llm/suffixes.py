@@ -474,5 +474,6 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
 
 
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row; a null text is empty, a row with a null id loses nothing, and rows of one id are no smaller ids to each other."""
     d = repeated_spans(table(spark, sf_dir, "documents"))
     return d.select(F.col("id").alias("doc_id"), span_digest("text", "spans").alias("x")).select("doc_id", "x.*")

@@ -112,4 +112,5 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of each row; a url that is null or without :// has an empty host and path, fits no rule and has no aliases."""
     return filter_urls(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")

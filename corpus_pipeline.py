@@ -24,7 +24,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group whose five-word shingle sets are linked by similarities of 0.8 or more."""
+    """One document, that with the smallest id, of each group whose five-word shingle sets are linked by similarities of 0.8 or more.
+
+    Null texts and those without words have no shingles and stay; so do rows with a null id, and all rows of an id that stays.
+    """
     return jaccard.without_near_copies(docs, words=5, num=80, den=100)
 
 
@@ -39,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, round_trip) of each document of the mix; ids are little-endian 32-bit integers."""
+    """(doc_id, lang, source, n_tokens, ids, round_trip) of each document of the mix; ids are little-endian 32-bit integers. A null text is empty, and repeated rows are encoded alone."""
     d = bpe.encode_documents(docs, bpe.default_path(), out="__ids", check="__decoded")
     same: Column = F.coalesce(F.col("text"), F.lit("")) == F.col("__decoded")
     return d.select("doc_id", "lang", "source", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), same.alias("round_trip"))
@@ -58,6 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, from the table of documents. An empty table gives no rows; what nulls and repeated rows give is said at each stage."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

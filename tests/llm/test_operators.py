@@ -464,3 +464,13 @@ def test_toxicity_calibration_keeps_the_share_of_its_fold(spark):
     assert abs(score - toxic) < 0.02 * d.count()
     p = model.calibration.predictions.toArray()
     assert (np.diff(p) >= 0).all() and p.min() >= 0 and p.max() <= 1
+
+
+def test_quality_field_is_fitted_on_bounded_lines(spark):
+    """Few sequences do, and very long documents give no more of them; the same bound gives the same field."""
+    rows = [(i, ("menu | home | login\n" if i % 2 else "A plain sentence, with a few words in it.\n") * (20 if i < 39 else 50_000), i % 2 ^ 1) for i in range(40)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    a, b = (quality.fit(docs, labels, max_sequences=30) for _ in range(2))
+    assert np.allclose(a.emit, b.emit) and a.bias == b.bias
+    whole = quality.fit(docs, labels)
+    assert np.isfinite(whole.emit).all()
