@@ -193,14 +193,40 @@ def _lines() -> Iterator[tuple]:
     yield "ollama", "ollama run", "spinner", (r"^(?:pulling|verifying|writing|success)\b",), None, None, None, None
 
 
+def _rest() -> Iterator[tuple]:
+    """As ``_lines``, for whatever else tools with filters or rules of their own for some commands print."""
+    yield "apt-catchall", "apt, apt-get", "blank fetch install meter", (r"^(?:Get|Hit|Ign):\d+ ", r"^(?:Reading|Building) (?:package|dependency|state)", r"^WARNING: apt does not have a stable"), 20, 5, 140, "apt: ok"
+    yield "brew-catchall", "brew", "blank fetch install meter", (r"^==> (?:Downloading|Fetching|Pouring|Auto-updat|Updated)", r"^#+\s"), 20, 5, 140, "brew: ok"
+    yield "cargo-catchall", "cargo", "blank timing", (r"^\s*(?:Compiling|Checking|Downloading|Downloaded|Updating|Fresh|Locking|Adding|Blocking|Running|Finished|Packaging|Verifying) ",), 20, 5, 140, "cargo: ok"
+    yield "docker-catchall", "docker, podman", "blank layer fetch", (r"^#\d+ (?:DONE|CACHED|extracting|sha256:|transferring)", r"^(?:Using default tag|Sending build context)", r"^ ---> "), 20, 5, 140, "docker: ok"
+    yield "dotnet-catchall", "dotnet", "blank timing", (r"^\s*(?:Determining projects|All projects are up-to-date|Restored|Welcome to \.NET)", r"^MSBuild version"), 20, 5, 140, "dotnet: ok"
+    yield "gh-catchall", "gh", "blank notice", (r"^Showing \d+ of \d+",), 20, 5, 140, None
+    yield "go-catchall", "go", "blank", (r"^go: (?:downloading|finding|extracting|found) ",), 20, 5, 140, "go: ok"
+    yield "kubectl-catchall", "kubectl, k", "blank klog", (r"^Warning: .* is deprecated", r"^\s+(?:uid|resourceVersion|creationTimestamp|generation): "), 40, 5, 140, "kubectl: ok"
+    yield "npm-catchall", "npm, pnpm, yarn, bun", "blank fetch timing notice deprecated spinner", (r"^npm (?:warn|info|http)\b", r"^> \S+@\S+ ", r"^Progress: resolved"), 20, 5, 140, "ok"
+    yield "pip-catchall", "pip, pip3, uv", "blank fetch meter notice", (r"^\s*(?:Requirement already satisfied|Using cached|Preparing metadata|Building wheel|Created wheel|Stored in directory|Attempting uninstall)", r"^(?:Resolved|Prepared|Audited) \d+ packages?"), 20, 5, 140, "pip: ok"
+    yield "redis-catchall", "redis-cli", "blank", (r"^# \w+$",), 20, 5, 140, None
+    yield "terraform-catchall", "terraform, tf, tofu", "blank provider lock", (r"^(?:Terraform|OpenTofu) has (?:been successfully initialized|created a lock file)",), 20, 5, 140, "terraform: ok"
+
+
+def _rules(lines: Iterator[tuple]) -> tuple[Rule, ...]:
+    out = []
+    for name, beginnings, kinds, own, head, tail, width, message in lines:
+        patterns = tuple(p for k in kinds.split() for p in NOISE[k]) + own
+        out.append(Rule(name, tuple(beginnings.split(", ")), patterns, head, tail, width, empty_message=message))
+    return tuple(out)
+
+
 @lru_cache(maxsize=1)
 def library() -> tuple[Rule, ...]:
-    """The rules, built-in ones, in order of the list above."""
-    rules = []
-    for name, beginnings, kinds, own, head, tail, width, message in _lines():
-        patterns = tuple(p for k in kinds.split() for p in NOISE[k]) + own
-        rules.append(Rule(name, tuple(beginnings.split(", ")), patterns, head, tail, width, empty_message=message))
-    return tuple(rules)
+    """The rules that count by default, built-in ones, in order of the list above."""
+    return _rules(_lines())
+
+
+@lru_cache(maxsize=1)
+def catchalls() -> tuple[Rule, ...]:
+    """Rules for the rest of what twelve families of tools print. They don't count by default; give them after those of ``library``."""
+    return _rules(_rest())
 
 
 def extension_rules(folder: str) -> list[Rule]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from brevia.functions import text as T
 from brevia.operators import rule_reports, tools
 from brevia.plans import rules as R
-from brevia.plans.library import NOISE, active_rules, library
+from brevia.plans.library import NOISE, active_rules, catchalls, library
 
 #: A command, what its tool prints, what must stay, and percents of tokens that must go at least.
 RUNS = {
@@ -53,7 +53,7 @@ RUNS = {
 def test_rules_are_whole(spark):
     rules = library()
     assert len(rules) == 128 == len({r.name for r in rules})
-    assert all(R.usable(p) for r in rules for p in r.strip_patterns)
+    assert all(R.usable(p) for r in rules + catchalls() for p in r.strip_patterns) and len(catchalls()) == 12
     assert all(any(set(v) <= set(r.strip_patterns) for r in rules) for v in NOISE.values())
 
 
@@ -159,3 +159,12 @@ def test_policies_by_agent(spark):
     d = spark.createDataFrame([("pack", text, a) for a in ("claude_code", "gemini", "other", None)], "command string, raw string, who string")
     out = tools.compress(d, [R.Rule("p", ("pack",))], agent=F.col("who"), nested=False).collect()
     assert [len(r["compressed"].split("\n")) for r in out] == [200, 200, 91, 91]
+
+
+def test_rules_for_the_rest_come_last(spark):
+    runs = {"pnpm install": "pnpm", "pnpm dlx x": "npm-catchall", "terraform plan -x": "terraform-plan", "terraform import": "terraform-catchall", "pip list": "pip-catchall", "uv sync": "uv-sync"}
+    rules = [*library(), *catchalls()]
+    d = spark.createDataFrame([(c, "Requirement already satisfied: x\n  Downloading y\nInitializing the backend...\nkept") for c in runs], "command string, raw string")
+    got = {r["command"]: (r["rule"], r["compressed"]) for r in R.apply_rules(R.match_rules(d, R.rule_table(spark, rules)), rules).collect()}
+    assert {c: r for c, (r, _) in got.items()} == runs and all(text.endswith("kept") for _, text in got.values())
+    assert got["pip list"][1] == "Initializing the backend...\nkept"
