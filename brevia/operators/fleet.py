@@ -119,3 +119,25 @@ def statistics(inst: DataFrame, stats: DataFrame, daily: DataFrame, now: Column,
     for dim in ("country", "os", "version"):
         d = d.join(F.broadcast(one(as_map(by(inst, now, dim), dim, "instances").withColumnRenamed(dim, f"by_{dim}"))), "__one")
     return d.join(F.broadcast(one(top)), "__one").join(F.broadcast(one(series)), "__one").drop("__one").withColumn("generated_at", now)
+
+
+REPORT_DDL = "array<struct<command: string, input_tokens: long, output_tokens: long, savings_pct: long, timestamp_secs: long>>"
+
+
+def report_events(reports: DataFrame, body: str = "body") -> DataFrame:
+    """The events of batch reports, a JSON array in each ``body``, a row each beside the report's other columns.
+
+    A report that is no array, or holds an event without one of its fields or with a negative number, is rejected as a whole and gives no rows.
+    """
+    whole = lambda e: e["command"].isNotNull() & reduce(and_, [F.coalesce(e[c] >= 0, F.lit(False)) for c in ("input_tokens", "output_tokens", "savings_pct", "timestamp_secs")])
+    d = reports.select(F.struct(*[c for c in reports.columns if c != body]).alias("__report"), F.from_json(body, REPORT_DDL).alias("__events"))
+    d = d.filter(F.col("__events").isNotNull() & F.forall("__events", whole))
+    return d.select("__report", F.explode("__events").alias("__event")).select("__report.*", "__event.*")
+
+
+def team_stats(events: DataFrame, team: str = "team", member: str = "member") -> DataFrame:
+    """(team, total_input_tokens, total_output_tokens, savings_pct, total_commands, members); percents are whole, rounded down."""
+    d = events.groupBy(team).agg(
+        F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens"), F.count("*").alias("total_commands"), F.count_distinct(member).alias("members")
+    )
+    return d.withColumn("savings_pct", T.savings_pct_floor(F.col("total_input_tokens"), F.col("total_output_tokens")))

@@ -425,6 +425,20 @@ def fleet_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("active_instances", "total_instances", "total_saved_tokens", "avg_savings_pct", *maps, top.alias("top_commands"), daily.alias("daily"))
 
 
+@query(
+    "WITH e AS (SELECT user_id % 5 AS team, user_id AS member, floor(value)::BIGINT AS i, floor(value / 3)::BIGINT AS o FROM events WHERE event_id % 11 > 1) "
+    "SELECT team, sum(2 * i)::BIGINT AS total_input_tokens, sum(o)::BIGINT AS total_output_tokens, 2 * count(*) AS total_commands, count(DISTINCT member) AS members, "
+    "CASE WHEN sum(2 * i) > 0 THEN (greatest(sum(2 * i) - sum(o), 0) * 100 // sum(2 * i))::BIGINT ELSE 0 END AS savings_pct FROM e GROUP BY team"
+)
+def fleet_team_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch reports of two events each, of which some are malformed or lack a field."""
+    event = lambda o: F.struct(F.col("event_type").alias("command"), F.floor("value").alias("input_tokens"), o.alias("output_tokens"), F.lit(50).alias("savings_pct"), F.unix_timestamp("ts").alias("timestamp_secs"))
+    good = F.to_json(F.array(event(F.floor(F.col("value") / 3)), event(F.lit(0).cast("long"))))
+    bad = F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).otherwise(F.to_json(F.array(F.struct(F.lit("git").alias("command"), F.lit(1).alias("input_tokens")))))
+    reports = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("team"), F.col("user_id").alias("member"), F.when(F.col("event_id") % 11 > 1, good).otherwise(bad).alias("body"))
+    return fleet.team_stats(fleet.report_events(reports))
+
+
 @query(
     "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 400 WHEN event_id % 10 = 0 THEN 400 ELSE 200 END AS status, CASE WHEN event_id % 9 = 0 AND event_id % 10 = 0 THEN 'installation_id,avg_savings_pct' WHEN event_id % 9 = 0 THEN 'installation_id' WHEN event_id % 10 = 0 THEN 'avg_savings_pct' END AS reason FROM events"
 )
