@@ -4,7 +4,7 @@ import duckdb
 
 from brevia import compressor_queries
 from brevia.functions import text as T
-from brevia.operators import tools
+from brevia.operators import compressors, tools
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,3 +35,16 @@ def test_compress_on_odd_runs(spark):
     assert [got[i][1] for i in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15)] == ["(empty file: a.txt)", "ok", "", "nothing wrong", "nothing wrong", "no table", "error: x", "", "ok", "Successfully installed x"]
     assert got[14][1].startswith("b  (101 lines, showing first 40 + last 20)\n   1  0\n") and "\n\n... (41 lines omitted) ...\n\n  82  81\n" in got[14][1]
     assert tools.compress(d.limit(0)).count() == 0
+
+
+def plan_of(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diff_is_cut_run_by_run(spark):
+    two = "before\ndiff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-old\n+new\n+++\n---\ndiff --git a/x b/y\ndiff --git a/x b/x\n+z\n"
+    d = compressors.git_diff(spark.createDataFrame([(1, two), (2, None), (3, ""), (4, "no header\n+x"), (5, two.replace("\n", "\r\n"))], "run_id long, raw string"))
+    want = [(1, "x", 2, 2, 1), (9, "y", 0, 0, 0), (10, "x", 1, 0, 0)]
+    assert sorted(map(tuple, d.collect())) == [(run, *x) for run in (1, 5) for x in want]
+    # all lines of all runs in a partition were sorted at once
+    assert not any(x in plan_of(d) for x in ("Exchange", "Sort", "Window"))
