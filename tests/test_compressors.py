@@ -48,3 +48,10 @@ def test_diff_is_cut_run_by_run(spark):
     assert sorted(map(tuple, d.collect())) == [(run, *x) for run in (1, 5) for x in want]
     # all lines of all runs in a partition were sorted at once
     assert not any(x in plan_of(d) for x in ("Exchange", "Sort", "Window"))
+
+
+def test_log_is_cut_run_by_run(spark):
+    log = "x\ncommit 0123456789\nAuthor: A\n\n    Fix it  \n\n    Body\ncommit abcdef\n    of no commit\ncommit abcdef0\nDate: d\n"
+    d = compressors.git_log(spark.createDataFrame([(1, log), (2, None), (3, ""), (4, "nothing")], "run_id long, raw string"))
+    assert sorted(map(tuple, d.collect())) == [(1, 1, "0123456", "Fix it"), (1, 9, "abcdef0", None)]
+    assert not any(x in plan_of(d) for x in ("Exchange", "Sort", "Window"))
