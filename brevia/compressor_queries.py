@@ -10,6 +10,9 @@ from brevia.operators import tools
 from brevia.plans.rules import Rule
 from brevia.sources.tables import read as table
 
+#: Lines of the mixed runs that one task makes and compresses, about.
+LINES_A_TASK = 200_000
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -311,11 +314,14 @@ def _mixed_sql(all_tools: dict) -> str:
 
 
 def _mixed(spark: SparkSession, sf_dir: str, all_tools: dict) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
-    lines = [F.struct(F.lit(t).alias("tool"), F.lit(c[0]).alias("command"), F.expr(c[1]).alias("line"), F.lit(c[4]).alias("header"), F.lit(c[5]).alias("footer")) for t, c in all_tools.items()]
-    d = rows.select(F.expr("k div 200").alias("run_id"), "k", F.inline(F.array(*lines)))
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 200").alias("run_id"), F.col("p_partkey").alias("k"), "p_size")
+    # a row becomes a line of each tool, so rows are dealt out before that, by run, in as many tasks as there are lines for
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, 1 + rows.count() * len(all_tools) // LINES_A_TASK), "run_id")
+    lines = F.array(*[F.struct(F.lit(t).alias("tool"), F.expr(c[1]).alias("line")) for t, c in all_tools.items()])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
-    runs = d.groupBy("run_id", "tool", "command", "header", "footer").agg(text.alias("text")).withColumn("raw", F.concat("header", "text", "footer"))
+    runs = rows.select("run_id", "k", F.inline(lines)).groupBy("run_id", "tool").agg(text.alias("text"))
+    fixed = [F.element_at(F.create_map(*[F.lit(x) for t, c in all_tools.items() for x in (t, c[i])]), F.col("tool")) for i in (0, 4, 5)]
+    runs = runs.select("run_id", "tool", fixed[0].alias("command"), F.concat(fixed[1], "text", fixed[2]).alias("raw"))
     return tools.compress(runs, RULES).select("run_id", "tool", "how", "compressed")
 
 

@@ -55,3 +55,14 @@ def test_log_is_cut_run_by_run(spark):
     d = compressors.git_log(spark.createDataFrame([(1, log), (2, None), (3, ""), (4, "nothing")], "run_id long, raw string"))
     assert sorted(map(tuple, d.collect())) == [(1, 1, "0123456", "Fix it"), (1, 9, "abcdef0", None)]
     assert not any(x in plan_of(d) for x in ("Exchange", "Sort", "Window"))
+
+
+def test_mixed_runs_are_made_in_tasks_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(compressor_queries, "LINES_A_TASK", 1_000)
+    made = []
+    monkeypatch.setattr(tools, "compress", lambda runs, rules: made.append(runs) or runs.selectExpr("run_id", "tool", "'' as how", "raw as compressed"))
+    compressor_queries.compress_more_commands(spark, SF)
+    plan = plan_of(made[0])
+    # 2,000 parts make a line each for every tool; before, all were made in the one task that reads the file, and then shuffled
+    assert plan.count("Exchange") == 1 and "Generate" not in plan[plan.index("Exchange") :]
+    assert made[0].rdd.getNumPartitions() == 1 + 2 * len(compressor_queries.MORE_TOOLS)
