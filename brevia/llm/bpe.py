@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia.llm.common import slices, table
+from brevia.llm.common import slices, small_batches, table
 
 #: The split into words that byte-level vocabularies of this kind are made for.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -185,6 +185,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", out: st
 
     A null text counts as empty. Rows, repeated ones too, are encoded alone; other columns may have any names but these.
     """
+    small_batches(docs.sparkSession)
     tokenizer = BpeTokenizer(docs.sparkSession, path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     if check is None:

@@ -27,6 +27,9 @@ EDGES = 200_000
 #: Rows that a Python worker holds the results of at once.
 SLICE = 500
 
+#: Bytes of a batch that goes to a Python worker, about; a batch is in memory on both sides, several times over.
+BATCH_BYTES = 2 << 20
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -66,6 +69,11 @@ def slices(batches: Iterator, rows: int = SLICE) -> Iterator[pd.DataFrame]:
         give_back()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python workers in batches of about BATCH_BYTES; Spark's own bounds are 10,000 rows and 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder, so that lost executors lose no data.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brevia.llm.common import connected_components, cut, slices, table
+from brevia.llm.common import connected_components, cut, slices, small_batches, table
 from brevia.llm.shingles import digest, mixed, shingle_set
 
 #: Second-level parts of a group, and how many of them may differ.
@@ -237,6 +237,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and get a null component_id. An id on several rows stands for each of their texts. Other columns aren't looked at; an
     empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sign_set = sign or (lambda s: signatures(s, num, den))
 

@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia.llm.common import cut, slices, table
+from brevia.llm.common import cut, slices, small_batches, table
 
 #: Labelled rows that a model is fitted on at most, by order of a hash; a lexicon has so many entries at most.
 TRAIN_ROWS = 12_000
@@ -123,6 +123,7 @@ class ToxicityModel:
 
         A null text scores as an empty one. Rows and other columns stay and may have any names.
         """
+        small_batches(docs.sparkSession)
         if self.trees is None:
             return docs.withColumn(out, F.lit(self.prior))
         d = docs.select(F.struct("*").alias("__row"), array_to_vector(self.features(F.col(text_col))).alias("__features"))
@@ -148,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     than others; its weights are log odds. Labels of one id are combined by their maximum; null labels and ids are
     left out. Without rows the prior is 0.
     """
+    small_batches(docs.sparkSession)
     sample = (
         labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__label"))
         .filter("__id is not null and __label is not null")

@@ -1,9 +1,12 @@
 """The pipeline's stages in order, their decisions, and odd documents."""
 
 import corpus_pipeline
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from brevia.llm import jaccard
+from brevia.llm.common import BATCH_BYTES
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +32,19 @@ def test_stages_on_odd_documents(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0, name
         stage(spark, odd, SF).collect()
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_copies", "encode"])
+def test_texts_go_to_python_in_bounded_batches(spark, docs, stage):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, SF)
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [int(b["t"].str.len().sum())]})
+
+    # 20 MB in one partition came in one batch
+    texts = spark.range(0, 2_000, 1, 1).select(F.repeat(F.lit("word "), 2_000).alias("t"))
+    got = [r[0] for r in texts.mapInPandas(sizes, "n long").collect()]
+    assert sum(got) == 20_000_000 and max(got) < 2 * BATCH_BYTES
