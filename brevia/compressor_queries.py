@@ -12,6 +12,8 @@ from brevia.sources.tables import read as table
 
 #: Lines of the mixed runs that one task makes and compresses, about.
 LINES_A_TASK = 200_000
+#: Rows that one task puts together as runs, about.
+ROWS_A_TASK = 300_000
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,14 +29,27 @@ def query(sql: str | None = None):
     return register
 
 
+def dealt(rows: DataFrame, run: str) -> DataFrame:
+    """The rows with their ``run_id``, dealt out by it in as many tasks as there are rows for.
+
+    Grouping sorts the rows of a task once it holds many runs, so a task's rows mustn't become more as a table grows.
+    """
+    return rows.withColumn("run_id", F.expr(run)).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 1 + rows.count() // ROWS_A_TASK), "run_id")
+
+
+def together(rows: DataFrame, order: str, line: str, header: str = "", footer: str = "") -> DataFrame:
+    """(run_id, raw): the lines of dealt rows put together in order, by SQL expressions."""
+    d = rows.select("run_id", F.expr(order).alias("o"), F.expr(line).alias("l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), "\n")
+    return d.groupBy("run_id").agg(F.concat(F.lit(header), text, F.lit(footer)).alias("raw"))
+
+
 def runs_of(rows: DataFrame, run: str, order: str, line: str, header: str = "", footer: str = "") -> DataFrame:
     """(run_id, raw): the rows' lines put together in order, by SQL expressions.
 
     Runs are ranges of a unique key, so that they stay as short and become more as a table grows.
     """
-    d = rows.select(F.expr(run).alias("run_id"), F.expr(order).alias("o"), F.expr(line).alias("l"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), "\n")
-    return d.groupBy("run_id").agg(F.concat(F.lit(header), text, F.lit(footer)).alias("raw"))
+    return together(dealt(rows, run), order, line, header, footer)
 
 
 @query(
@@ -147,9 +162,9 @@ def git_log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey // 2000 AS run_id, 'src/' || l_suppkey || '.py' AS file, sum(l_linenumber)::BIGINT AS added, count(*) AS deleted, count(*) AS hunks FROM lineitem GROUP BY 1, 2")
 def git_diff_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 2000").alias("r"), "l_suppkey").agg(F.array_join(F.collect_list(F.expr("concat('@@ -1 +1 @@\n-old\n', repeat('+new\n', l_linenumber), ' same')")), "\n").alias("hunks"))
+    d = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey div 2000").groupBy("run_id", "l_suppkey").agg(F.array_join(F.collect_list(F.expr("concat('@@ -1 +1 @@\n-old\n', repeat('+new\n', l_linenumber), ' same')")), "\n").alias("hunks"))
     line = "concat('diff --git a/src/', l_suppkey, '.py b/src/', l_suppkey, '.py\nindex 1..2 100644\n--- a/src/', l_suppkey, '.py\n+++ b/src/', l_suppkey, '.py\n', hunks)"
-    return C.git_diff(runs_of(d, "r", "l_suppkey", line)).drop("pos")
+    return C.git_diff(together(d, "l_suppkey", line)).drop("pos")
 
 
 @query(
@@ -159,9 +174,9 @@ def git_diff_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def git_status_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = "case s when 0 then 'Changes to be committed:' when 1 then 'Changes not staged for commit:' else 'Untracked files:' end"
-    d = table(spark, sf_dir, "part").selectExpr("p_partkey div 500 as r", "p_size % 3 as s", "p_partkey", "concat('\t', case when p_size % 3 = 2 then '' else 'modified:   ' end, 'f', p_partkey) as l")
-    d = d.groupBy("r", "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "l"))), lambda x: x["l"]), "\n").alias("files"))
-    return C.git_status(runs_of(d, "r", "s", f"concat({titles}, '\n  (use it)\n', files, '\n')", header="On branch main\n\n"))
+    d = dealt(table(spark, sf_dir, "part"), "p_partkey div 500").selectExpr("run_id", "p_size % 3 as s", "p_partkey", "concat('\t', case when p_size % 3 = 2 then '' else 'modified:   ' end, 'f', p_partkey) as l")
+    d = d.groupBy("run_id", "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "l"))), lambda x: x["l"]), "\n").alias("files"))
+    return C.git_status(together(d, "s", f"concat({titles}, '\n  (use it)\n', files, '\n')", header="On branch main\n\n"))
 
 
 @query("SELECT p_partkey // 500 AS run_id, 'E' || p_size AS code, arg_min('src/' || p_partkey || '.py:' || p_size || ':1: E' || p_size || ' bad', p_partkey) AS first, count(*) - 1 AS more FROM part GROUP BY 1, 2")
@@ -181,8 +196,8 @@ def tsc_cross_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey // 500 AS run_id, '/src/' || (p_partkey % 7) || '.js' AS file, count_if(p_size % 2 = 0) AS errors, count_if(p_size % 2 = 1) AS warnings FROM part GROUP BY 1, 2 HAVING count_if(p_size % 2 = 0) > 0")
 def eslint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 500").alias("r"), F.expr("p_partkey % 7").alias("f")).agg(F.array_join(F.collect_list(F.expr("concat('  ', p_size, ':1  ', if(p_size % 2 = 0, 'error', 'warning'), '  message  rule')")), "\n").alias("x"))
-    return C.eslint_files(runs_of(d, "r", "f", "concat('/src/', f, '.js\n', x, '\n')"))
+    d = dealt(table(spark, sf_dir, "part"), "p_partkey div 500").groupBy("run_id", F.expr("p_partkey % 7").alias("f")).agg(F.array_join(F.collect_list(F.expr("concat('  ', p_size, ':1  ', if(p_size % 2 = 0, 'error', 'warning'), '  message  rule')")), "\n").alias("x"))
+    return C.eslint_files(together(d, "f", "concat('/src/', f, '.js\n', x, '\n')"))
 
 
 @query("SELECT p_partkey // 500 AS run_id, 'f' || p_partkey || '.sh' AS file, p_size::BIGINT AS lineno, 'SC' || p_partkey AS code, p_name AS message FROM part")

@@ -66,3 +66,18 @@ def test_mixed_runs_are_made_in_tasks_that_grow_in_number(spark, monkeypatch):
     # 2,000 parts make a line each for every tool; before, all were made in the one task that reads the file, and then shuffled
     assert plan.count("Exchange") == 1 and "Generate" not in plan[plan.index("Exchange") :]
     assert made[0].rdd.getNumPartitions() == 1 + 2 * len(compressor_queries.MORE_TOOLS)
+
+
+def test_runs_are_put_together_in_tasks_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(compressor_queries, "ROWS_A_TASK", 1_000)
+    d = compressor_queries.git_log_compact(spark, SF)
+    # before, the tasks that read the file grouped, and so sorted, all of their rows, and what they made was shuffled
+    plan = plan_of(d)
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    assert d.rdd.getNumPartitions() == 16
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from read_parquet('{SF}/orders.parquet')")
+    assert sorted(map(tuple, d.collect())) == sorted(con.execute(compressor_queries.ORACLE_SQL["git_log_compact"]).fetchall())
+    for name in ("git_diff_stat", "git_status_sections", "eslint_summary"):
+        plan = plan_of(compressor_queries.QUERIES[name](spark, SF))
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
